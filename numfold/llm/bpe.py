@@ -23,12 +23,19 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, id_text
-from .text import chunks, flat
+from .text import BASES, BYTE, Rolling, chunks, flat
 
 #: Fixed value: the pre-tokenizer's pattern. It takes no white space, so the normalizer's replacement of white space changes nothing.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LONGEST_KEPT = 48
-KEPT = 300_000
+#: Texts of these characters alone are split on bytes: all their bytes above ASCII belong to letters.
+UNUSUAL = regex.compile(r"[^\t\n\r -~À-ÖØ-öø-ɏ]")
+#: What the pattern splits off after an apostrophe.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+KEPT = 400_000
+_class = np.full(256, 3, np.uint8)
+_class[[9, 10, 11, 12, 13, 32]] = 0
+_class[97:123] = _class[65:91] = _class[128:] = 1
+_class[48:58] = 2
 
 
 def byte_chars() -> list[str]:
@@ -41,6 +48,59 @@ def byte_chars() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def normal(text: str) -> str:
+    """NFC, then each letter lower-cased by itself, so a final sigma is an ordinary one."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+class Kept:
+    """Ids of frequent words by hash, in flat arrays."""
+
+    def __init__(self):
+        self.hash = np.zeros(0, np.uint64)
+        self.start = self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where(self.hash[at] == hashes, at, -1)
+
+    def add(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.hash) + len(hashes) > KEPT:
+            self.__init__()
+        start = start + len(self.ids)
+        self.ids = np.concatenate([self.ids, ids])
+        order = np.argsort(np.concatenate([self.hash, hashes]), kind="stable")
+        for name, new in (("hash", hashes), ("start", start), ("size", size)):
+            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
+
+
+def split_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pattern's words in lower-cased texts without unusual characters."""
+    kind = _class[data]
+    begin = np.ones(len(data), bool)
+    begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    begin[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    quote = np.flatnonzero((data == 39) & begin)
+    if len(quote):
+        last = offsets[np.searchsorted(offsets, quote, "right")]
+        padded = np.append(data, [0, 0])
+        for tail in CONTRACTIONS:
+            at = quote[quote + len(tail) < last]
+            for n, c in enumerate(tail.encode(), 1):
+                at = at[padded[at + n] == c]
+            begin[at + 1] = False
+            after = at + 1 + len(tail)
+            after = after[after < len(data)]
+            begin[after[kind[after] == 1]] = True
+    edge = np.append(np.flatnonzero(begin), len(data))
+    word = np.flatnonzero(kind[edge[:-1]] != 0)
+    return edge[word], edge[word + 1]
+
+
 class Bpe:
     """A word-end BPE vocabulary read from a tokenizers JSON file."""
 
@@ -71,28 +131,31 @@ class Bpe:
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept()
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word, given as its UTF-8 bytes."""
-        if not words:
-            return []
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, given as UTF-8 bytes, in one flat array, and their number by word."""
         size = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
-        symbol = self.inner[data]
-        ends = np.cumsum(size)
-        symbol[ends - 1] = self.final[data[ends - 1]]
+        symbol = self.inner[data].astype(np.int64)
+        if len(words):
+            ends = np.cumsum(size)
+            symbol[ends - 1] = self.final[data[ends - 1]]
         word = np.repeat(np.arange(len(words)), size)
-        done_symbols, done_words = [], []
         none = len(self.rank)
-        while len(symbol):
-            key = (symbol.astype(np.int64) << 32) | np.append(symbol[1:], 0)
+        done_symbols, done_words = [symbol[:0]], [word[:0]]
+
+        def lookup(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rank and made symbol of the pairs that begin at these places."""
+            right = np.minimum(left + 1, len(symbol) - 1)
+            key = (symbol[left] << 32) | symbol[right]
             at = np.searchsorted(self.keys, key)
             at[at == none] = 0
-            known = self.keys[at] == key
-            known[:-1] &= word[:-1] == word[1:]
-            known[-1] = False
-            rank = np.where(known, self.rank[at], none)
+            known = (self.keys[at] == key) & (word[left] == word[right]) & (left != right)
+            return np.where(known, self.rank[at], none), self.made[at]
+
+        rank, made = lookup(np.arange(len(symbol)))
+        while len(symbol):
             begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, begin)
             best = np.repeat(best, np.diff(np.append(begin, len(word))))
@@ -100,47 +163,75 @@ class Bpe:
             if over.any():
                 done_symbols.append(symbol[over])
                 done_words.append(word[over])
-                symbol, word, rank, at, best = (x[~over] for x in (symbol, word, rank, at, best))
+                symbol, word, rank, made, best = (x[~over] for x in (symbol, word, rank, made, best))
             place = np.flatnonzero(rank == best)
             if len(place) > 1:  # of a run of overlapping places every second one stays
                 run = np.flatnonzero(np.r_[True, np.diff(place) != 1])
                 nth = np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))
                 place = place[nth % 2 == 0]
-            symbol[place] = self.made[at[place]]
+            symbol[place] = made[place]
             stay = np.ones(len(symbol), bool)
             stay[place + 1] = False
-            symbol, word = symbol[stay], word[stay]
+            symbol, word, rank, made = (x[stay] for x in (symbol, word, rank, made))
+            place = place - np.arange(len(place))
+            changed = np.zeros(len(symbol) + 1, bool)
+            changed[place] = changed[place - 1] = True  # place -1 is the spare last one
+            place = np.flatnonzero(changed[:-1])
+            rank[place], made[place] = lookup(place)
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_words)
-        order = np.argsort(owner, kind="stable")
-        return np.split(symbols[order].astype("<u4"), np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
+        return symbols[np.argsort(owner, kind="stable")].astype(np.uint32), np.bincount(owner, minlength=len(words))
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text, in order; special tokens stand as themselves."""
         out: list[str] = []
         for i, part in enumerate(self.special_split.split(text) if any(x in text for x in self.special) else [text]):
-            if i % 2:
-                out.append(part)
-            elif part:
-                # each letter is lower-cased by itself, so a final sigma is an ordinary one
-                out += self.pattern.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+            out += [part] if i % 2 else self.pattern.findall(normal(part))
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        found = [self.pieces(t) if t else [] for t in texts]
-        new = set().union(*found).difference(self.kept)
-        coded = {w: np.array([self.special[w]], "<u4").tobytes() for w in new if w in self.special}
-        ordinary = [w for w in new if w not in coded]
-        coded.update(zip(ordinary, (ids.tobytes() for ids in self.merge([w.encode() for w in ordinary])), strict=True))
-        if len(self.kept) + len(coded) > KEPT:
-            coded |= {w: self.kept[w] for words in found for w in words if w not in new}
-            self.kept = {}
-        long = {w: coded.pop(w) for w in new if len(w) > LONGEST_KEPT}
-        self.kept |= coded
-        if long:
-            return [b"".join([long[w] if w in long else self.kept[w] for w in words]) for words in found]
-        get = self.kept.__getitem__
-        return [b"".join(map(get, words)) for words in found]
+        low = [normal(t) if t else "" for t in texts]
+        odd = [i for i, (t, n) in enumerate(zip(texts, low, strict=True)) if n and (UNUSUAL.search(n) or any(x in t for x in self.special))]
+        out = [b""] * len(texts)
+        for i in odd:
+            out[i], low[i] = self.encode_words(self.pieces(texts[i])), ""
+        parts = [n.encode() for n in low]
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        if not len(data):
+            return out
+        offsets = np.cumsum([0, *map(len, parts)])
+        start, end = split_bytes(data, offsets)
+        hashes, first, inverse, times = np.unique(Rolling(BYTE[data], BASES[0]).of(start, end), return_index=True, return_inverse=True, return_counts=True)
+        at = self.kept.find(hashes)
+        new = np.flatnonzero(at < 0)
+        whole = data.tobytes()
+        ids, size = self.merge([whole[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        # kept ids stand before the new ones
+        begin, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        old = at >= 0
+        begin[old], count[old] = self.kept.start[at[old]], self.kept.size[at[old]]
+        begin[new], count[new] = len(self.kept.ids) + np.cumsum(size) - size, size
+        pool = np.concatenate([self.kept.ids, ids])
+        n = count[inverse]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        coded = pool[np.repeat(begin[inverse] - upto[:-1], n) + np.arange(upto[-1])].astype("<u4")
+        bound = upto[np.searchsorted(start, offsets)].tolist()
+        for i, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)):
+            if b > a:
+                out[i] = coded[a:b].tobytes()
+        again = times[new] > 1
+        if again.any():
+            chosen = np.repeat(again, size)
+            kept_size = size[again]
+            self.kept.add(hashes[new][again], np.cumsum(kept_size) - kept_size, kept_size, ids[chosen])
+        return out
+
+    def encode_words(self, words: list[str]) -> bytes:
+        ordinary = list({w for w in words if w not in self.special})
+        ids, size = self.merge([w.encode() for w in ordinary])
+        coded = {w: x.tobytes() for w, x in zip(ordinary, np.split(ids.astype("<u4"), np.cumsum(size)[:-1]), strict=False)}
+        coded |= {w: np.array([i], "<u4").tobytes() for w, i in self.special.items()}
+        return b"".join([coded[w] for w in words])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; special tokens stay, and without a decoder tokens are joined by a space."""
