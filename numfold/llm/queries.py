@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, minhash, quality, secrets, substring
+from . import bpe, ctw, decontaminate, langid, minhash, quality, secrets, substring
 from .common import fold
 
 
@@ -48,6 +48,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ctw.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return found.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = quality.score(docs, quality.fit(docs, labels.where(fold("doc_id", 5) != 0)))
@@ -59,7 +64,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_substring_dedup, op4_near_dedup, op5_secret_scan, op7_quality, op8_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_substring_dedup, op4_near_dedup, op5_secret_scan, op6_lm_score, op7_quality, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
