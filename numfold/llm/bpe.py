@@ -275,8 +275,8 @@ def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
     return arrow_map(coded.select("doc_id", "ids", "n_tokens"), run, "doc_id long, ids binary, n_tokens long, decoded string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes in one pass: (doc_id, n_tokens, ids_sha256, decoded_sha256), and ids if asked for."""
 
     def run(batch: pa.RecordBatch):
         coder = bpe(vocabulary)
@@ -290,8 +290,9 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                     pa.array([len(b) // 4 for b in ids], pa.int64()),
                     pa.array([hashlib.sha256(b).hexdigest() for b in ids]),
                     pa.array([hashlib.sha256(coder.decode(b).encode()).hexdigest() for b in ids]),
+                    *([pa.array(ids, pa.binary())] if with_ids else []),
                 ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids],
             )
 
-    return arrow_map(id_text(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(id_text(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

@@ -9,7 +9,7 @@ of byte 0xFF and ends with one, which UTF-8 never holds; its score is the log10
 probability of all its bytes and that end, and bits_per_byte its code length.
 
 All (DEPTH + 1)-grams of all training texts are counted in one distributed aggregation.
-The driver builds nodes from the `most_grams` most frequent ones (12 bytes each; a
+The driver builds nodes from the `most_grams` most frequent ones (16 bytes each; a
 documented size of the model, which bounds the broadcast).
 
 Base: counts of all tokens of all training texts. Tokens of both passes are dealt to
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map
 from .text import LOWER, U, Words, chunks, flat, mix
 
-DEPTH = 3
+DEPTH = 4
 END = U(0x5851F42D4C957F2D)
 PIECE = 8 << 20
 BUCKET_TOKENS = 2_000_000
@@ -43,16 +43,16 @@ LEAST_BUCKETS = 96
 
 
 def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """4-byte codes (three bytes of context, then the byte) of every byte and end, and their offsets."""
+    """Codes (DEPTH bytes of context, then the byte) of every byte and end, and their offsets."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     at = offsets + (DEPTH + 1) * np.arange(n + 1)
     line = np.full(int(at[-1]), 255, np.uint8)
     line[np.arange(len(data)) + np.repeat(at[:-1] + DEPTH - offsets[:-1], size)] = LOWER[data]
-    wide = line.astype(np.uint32)
+    wide = line.astype(np.uint64)
     code = wide.copy()
     for k in range(1, DEPTH + 1):
-        code[k:] |= wide[:-k] << np.uint32(8 * k)
+        code[k:] |= wide[:-k] << np.uint64(8 * k)
     own = np.ones(len(line), bool)
     for k in range(DEPTH):
         own[at[:-1] + k] = False
@@ -77,13 +77,13 @@ class ContextTree:
         self.keys, self.one, self.stop = [], [], []
         levels = []
         for depth in range(DEPTH + 1):
-            context = (grams >> np.uint32(8)) & np.uint32((1 << 8 * depth) - 1)
-            byte = grams & np.uint32(255)
+            context = (grams >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+            byte = grams & np.uint64(255)
             parts, bits = [], []
             for level in range(8):
-                node = (np.uint32(1 << level) | (byte >> np.uint32(8 - level))).astype(np.uint32)
+                node = (np.uint64(1 << level) | (byte >> np.uint64(8 - level))).astype(np.uint64)
                 parts.append((context.astype(np.uint64) << U(8)) | node)
-                bits.append((byte >> np.uint32(7 - level)) & np.uint32(1))
+                bits.append((byte >> np.uint64(7 - level)) & np.uint64(1))
             key, bit, c = np.concatenate(parts), np.concatenate(bits), np.tile(counts, 8).astype(np.float64)
             nodes, at = np.unique(key, return_inverse=True)
             n1 = np.bincount(at, c * bit, len(nodes))
@@ -108,20 +108,20 @@ class ContextTree:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.value = np.zeros(0, np.uint32), np.zeros(0, np.float32)
+        self.known, self.value = np.zeros(0, np.uint64), np.zeros(0, np.float32)
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each code after the others."""
         total = np.zeros(len(grams))
-        byte = grams & np.uint32(255)
+        byte = grams & np.uint64(255)
         for level in range(8):
-            node = (np.uint32(1 << level) | (byte >> np.uint32(8 - level))).astype(np.uint64)
+            node = (np.uint64(1 << level) | (byte >> np.uint64(8 - level))).astype(np.uint64)
             left, p, here = np.ones(len(grams)), np.zeros(len(grams)), np.full(len(grams), 0.5)
             open_ = np.ones(len(grams), bool)
             for depth in range(DEPTH + 1):
                 if not len(self.keys[depth]):
                     break
-                key = (((grams >> np.uint32(8)) & np.uint32((1 << 8 * depth) - 1)).astype(np.uint64) << U(8)) | node
+                key = (((grams >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)).astype(np.uint64) << U(8)) | node
                 at = np.minimum(np.searchsorted(self.keys[depth], key), len(self.keys[depth]) - 1)
                 open_ &= self.keys[depth][at] == key
                 here = np.where(open_, self.one[depth][at], here)
@@ -129,7 +129,7 @@ class ContextTree:
                 p += left * stop * here
                 left = left * (1 - stop)
             p += left * here
-            bit = (byte >> np.uint32(7 - level)) & np.uint32(1)
+            bit = (byte >> np.uint64(7 - level)) & np.uint64(1)
             total += np.log10(np.maximum(np.where(bit == 1, p, 1 - p), 1e-30))
         return total
 
@@ -169,7 +169,7 @@ def training_counts(docs: DataFrame) -> DataFrame:
                 tokens, c = np.unique(w.hash, return_counts=True)
                 held[0] += [(tokens, c), (np.array([END]), np.array([hi - lo]))]
                 grams, d = np.unique(codes(w.data, w.off)[0], return_counts=True)
-                held[1].append((grams.astype(np.uint64), d))
+                held[1].append((grams, d))
                 rows += len(tokens) + len(grams)
                 if rows > 4_000_000:
                     yield from flush()
@@ -274,7 +274,7 @@ def gather(rows: pa.Table) -> pa.Table:
     return pa.concat_tables([table] * times)
 
 
-def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", most_grams: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", most_grams: int = 1_500_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of all rows; the rows where `trains` holds are learnt from."""
     scratch = Scratch(docs.sparkSession, "ctw")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -283,7 +283,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     n_all, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = counts.where("kind = 1").select("key", "c").orderBy(F.desc("c"), "key").limit(most_grams)
     grams = frequent.toArrow()
-    tree = ContextTree(grams["key"].to_numpy().astype(np.uint32), grams["c"].to_numpy())
+    tree = ContextTree(grams["key"].to_numpy().view(np.uint64), grams["c"].to_numpy())
     buckets = max(LEAST_BUCKETS, math.ceil(n_all / BUCKET_TOKENS))
     sent = docs.sparkSession.sparkContext.broadcast(tree)
     rows = scratch.keep(packed(own, buckets, sent))

@@ -151,3 +151,18 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text has a language with a score of `least` or more."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch):
+        m = sent.value
+        _, offsets = flat(batch.column(at))
+        for lo, hi in chunks(offsets):
+            part = batch.slice(lo, hi - lo)
+            found = [m.predict(t) for t in part.column(at).to_pylist()]
+            yield part.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)

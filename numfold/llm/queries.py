@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, langid, minhash, quality, secrets, substring
+from . import bpe, ctw, decontaminate, langid, minhash, quality, secrets, substring, vectors, warc
 from .common import fold
 
 
@@ -63,8 +63,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, percent=80)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"), least=0)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_substring_dedup, op4_near_dedup, op5_secret_scan, op6_lm_score, op7_quality, op8_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_substring_dedup, op4_near_dedup, op5_secret_scan, op6_lm_score, op7_quality, op8_decontamination, op9_warc, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
