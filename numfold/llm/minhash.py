@@ -9,9 +9,9 @@ Documents with equal sets become one class (partial aggregation; a group of copi
 never gathered). The bands of class sketches form buckets. Round 1 compares each bucket's
 members with its smallest id only; sketches that agree in too few bins for the threshold
 (5 standard deviations below it) are out, the rest are verified on full sets. Round 2
-compares, in blocks, the members of buckets that still hold several components, so no link
-between different components is left out; again verified on full sets. Verified links go
-through distributed connected components.
+compares, in blocks and on full sets, the members of buckets that still hold several
+components, each pair in the first band that it shares, so no link between different
+components is left out. Verified links go through distributed connected components.
 
 Defined results: a null or empty text, or one of white space, has an empty set and stands
 alone; fewer words than a shingle are one shingle; equal texts share a component; rows
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, id_text
-from .graph import components
+from .graph import Union, components
 from .text import U, Words, binaries, chunks, distinct, flat, mix
 
 BINS, BANDS = 160, 32
-BLOCK = 2048
+BLOCK = 1024
 BROADCAST_IDS = 1_000_000
 EMPTY = U(2**64 - 1)
 
@@ -131,35 +131,75 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scra
     return scratch.keep(arrow_map(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb"), run, "a long, b long").distinct())
 
 
-def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within buckets, by sketch, in blocks.
-
-    rows: (key, id, comp, first, c, n, sketch). A bucket of c members is cut into
-    ceil(c / BLOCK) blocks, and each pair of blocks is one group of at most two blocks."""
-    least = least_agreement(percent)
+def dealt(rows: DataFrame) -> DataFrame:
+    """Bucket members in groups (key, i, j) of two blocks: a bucket of c members has ceil(c / BLOCK) blocks."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "first", "n", "sketch")
-
-    def run(group: pa.Table) -> pa.Table:
-        block, ids, comp, n = (group[c].to_numpy() for c in ("block", "id", "comp", "n"))
-        first = group["first"][0].as_py()
-        s = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        right = np.flatnonzero(block == j)
-        a, b = [], []
-        for x in np.flatnonzero(block == i).tolist():
-            y = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
-            if i == j:
-                y = y[y > x]
-            y = y[(s[y] == s[x]).sum(axis=1) >= least]
-            y = y[(ids[y] != first) & (ids[x] != first)]
-            a += [ids[x]] * len(y)
-            b += ids[y].tolist()
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    out = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return out.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "c")
+
+
+def open_pairs(group: pa.Table, percent: int):
+    """Yields (row, rows) of different components whose sketches and sizes allow the threshold.
+
+    A pair belongs to the first band that both share, so to one bucket only."""
+    least, key = least_agreement(percent), group["key"][0].as_py()
+    block, comp, n = (group[c].to_numpy() for c in ("block", "comp", "n"))
+    s = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+    bands = group["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    i, j = group["i"][0].as_py(), group["j"][0].as_py()
+    right = np.flatnonzero(block == j)
+    for x in np.flatnonzero(block == i).tolist():
+        y = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
+        if i == j:
+            y = y[y > x]
+        y = y[(s[y] == s[x]).sum(axis=1) >= least]
+        y = y[bands[x][(bands[y] == bands[x]).argmax(axis=1)] == key]
+        if len(y):
+            yield x, y
+
+
+def cross_links(rows: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Verified links (a, b) between different components within buckets.
+
+    rows: (key, id, comp, c, n, sketch, keys). A first pass names the members that have an
+    open partner; a second compares their full sets where they stand, in the bucket, and
+    returns a spanning forest of the links found, so neither pass emits pairs."""
+
+    def flag(group: pa.Table) -> pa.Table:
+        found = np.zeros(group.num_rows, bool)
+        for x, y in open_pairs(group, percent):
+            found[x] = found[y] = True
+        return group.select(["key", "id"]).filter(pa.array(found))
+
+    flagged = scratch.keep(dealt(rows).groupBy("key", "i", "j").applyInArrow(flag, "key long, id long").distinct())
+    ids = scratch.keep(flagged.select(F.col("id").alias("doc_id")).distinct())
+    small = ids.count() <= BROADCAST_IDS  # 8 bytes each; beyond, a shuffled join
+
+    def sets(batch: pa.RecordBatch):
+        data, offsets = flat(batch.column(1))
+        for lo, hi in chunks(offsets):
+            h, so = distinct(*Words(data, offsets, lo, hi, lower=True).shingles(shingle))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), binaries(h, so)], ["id", "hashes"])
+
+    full = scratch.keep(arrow_map(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), sets, "id long, hashes binary"))
+
+    def link(group: pa.Table) -> pa.Table:
+        ids, comp = group["id"].to_numpy(), group["comp"].to_pylist()
+        h = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
+        joined, a, b = Union(), [], []
+        for x, ys in open_pairs(group, percent):
+            for y in ys.tolist():
+                if joined.root(comp[x]) != joined.root(comp[y]):
+                    common = len(np.intersect1d(h[x], h[y], assume_unique=True))
+                    if 100 * common >= percent * (len(h[x]) + len(h[y]) - common):
+                        joined.link(comp[x], comp[y])
+                        a.append(max(ids[x], ids[y]))
+                        b.append(min(ids[x], ids[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    again = flagged.groupBy("key").agg(F.count("*").alias("c"))
+    members = rows.drop("c").join(flagged, ["key", "id"]).join(again, "key").join(full, "id")
+    return scratch.keep(dealt(members).groupBy("key", "i", "j").applyInArrow(link, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,15 +217,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links = verified(pairs, docs, shingle, percent, scratch)
     comps = components(links, scratch)
 
-    placed = held.where("c > 2").join(comps, "id", "left").select("key", "id", "first", "c", F.coalesce("comp", "id").alias("comp"))
+    placed = held.where("c > 2").join(comps, "id", "left").select("key", "id", "c", F.coalesce("comp", "id").alias("comp"))
     placed = scratch.keep(placed)
     mixed = scratch.keep(placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"))
-    rows = placed.join(mixed, "key").join(classes.select(F.col("rep").alias("id"), "n", "sketch"), "id")
-    more = scratch.keep(cross_pairs(rows, percent))
+    rows = scratch.keep(placed.join(mixed, "key").join(classes.select(F.col("rep").alias("id"), "n", "sketch", "keys"), "id"))
+    more = cross_links(rows, docs, shingle, percent, scratch)
     if not more.isEmpty():
-        links = links.union(verified(more, docs, shingle, percent, scratch))
-        comps = components(links, scratch)
-    scratch.drop(held, buckets, placed, mixed, pairs, more)
+        comps = components(links.union(more), scratch)
+    scratch.drop(held, buckets, placed, mixed, pairs, rows)
 
     member = signed.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left")
     out = member.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
