@@ -86,7 +86,7 @@ class ContextTree:
                 bits.append((byte >> np.uint64(7 - level)) & np.uint64(1))
             key, bit, c = np.concatenate(parts), np.concatenate(bits), np.tile(counts, 8).astype(np.float64)
             nodes, at = np.unique(key, return_inverse=True)
-            n1 = np.bincount(at, c * bit, len(nodes))
+            n1 = np.bincount(at, c * bit, len(nodes)).astype(np.float64)
             n0 = np.bincount(at, c, len(nodes)) - n1
             levels.append((nodes, n0, n1))
         below = None
