@@ -414,7 +414,7 @@ scalars(lambda x: special.betainc(F.lit(2.0), F.lit(3.0), x / 3), "6*pow(x/3,2)-
 scalars(lambda x: special.uniform_cdf(x, 0.5, 1.5), "CASE WHEN x<0.5 THEN 0 WHEN x>1.5 THEN 1 ELSE (x-0.5::DOUBLE)/1 END", "uniform_cdf")
 scalars(lambda x: special.exponential_cdf(x, 1.5), "1-exp(-1.5::DOUBLE*x)", "exponential_cdf")
 scalars(lambda x: special.gamma_pdf(x, 2.5, 1.5), "exp(2.5::DOUBLE*ln(1.5::DOUBLE)+1.5::DOUBLE*ln(x)-1.5::DOUBLE*x-lgamma(2.5::DOUBLE))", "gamma_pdf")
-scalars(lambda x: special.beta_pdf(x / 3.1, 2.0, 3.0), "12*(x/3.1::DOUBLE)*pow(1-x/3.1::DOUBLE,2)", "beta_pdf")
+scalars(lambda x: special.beta_pdf(x / 3.14159, 2.0, 3.0), "12*(x/3.14159::DOUBLE)*pow(1-x/3.14159::DOUBLE,2)", "beta_pdf")
 scalars(lambda x: special.chi_squared_pdf(x, 3.0), "exp(0.5::DOUBLE*ln(x)-x/2-1.5::DOUBLE*ln(2)-lgamma(1.5::DOUBLE))", "chi2_pdf")
 scalars(lambda x: special.student_t_pdf(x, 5.0), "exp(lgamma(3::DOUBLE)-lgamma(2.5::DOUBLE)-0.5::DOUBLE*ln(5*pi())-3*ln(1+x*x/5))", "student_t_pdf")
 scalars(lambda x: special.binomial_pmf(F.col("k"), 60, 0.3), "exp(lgamma(61::DOUBLE)-lgamma(k+1::DOUBLE)-lgamma(61::DOUBLE-k)+k*ln(0.3::DOUBLE)+(60-k)*ln(0.7::DOUBLE))", "binomial_pmf")
