@@ -8,14 +8,18 @@ A context that training never saw ends the path at its parent. A text starts in
 of byte 0xFF and ends with one, which UTF-8 never holds; its score is the log10
 probability of all its bytes and that end, and bits_per_byte its code length.
 
-All (DEPTH + 1)-grams of all training texts are counted in one distributed aggregation.
-The driver builds nodes from the `most_grams` most frequent ones (16 bytes each; a
-documented size of the model, which bounds the broadcast).
+All (DEPTH + 1)-grams of all training texts are counted in one distributed aggregation and
+all of them make the tree; it grows with the input. The two bytes before a byte decide the
+bucket of its nodes of depth 2 and more, so a bucket holds whole subtrees, and two bytes
+have at most 2^24 grams below them. Only the nodes of depths 0 and 1 are brought
+together, 65,536 + 256 of them at most, and broadcast.
 
-Base: counts of all tokens of all training texts. Tokens of both passes are dealt to
-buckets by ranges of their hash, whose number grows with the token count; each chunk of
-documents sends one packed row to a bucket, with its distinct tokens, and gets packed sums
-back, so a frequent token is one entry of each chunk and no vocabulary is ever broadcast.
+Base: counts of all tokens of all training texts, in buckets by ranges of their hash.
+
+Scoring: a chunk of documents asks each bucket once for each of its distinct tokens and
+grams, and gets counts and log probabilities back, which are then added up along its
+texts. A frequent token or gram is one entry of each chunk. A bucket that many chunks ask
+is dealt to several tasks by chunk, each with the bucket's model.
 
 Texts are lower-cased (A-Z) for both. Defined results: a null or empty text has the end
 token only; without training rows N and V are 0, known counts are 0, the base is log10(1)
@@ -26,6 +30,7 @@ row; ids may be null. Extra columns are not read.
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map
-from .text import LOWER, U, Words, chunks, flat, mix
+from .text import LOWER, U, Words, chunks, flat
 
 DEPTH = 4
 END = U(0x5851F42D4C957F2D)
+SHALLOW = 1
 PIECE = 8 << 20
-BUCKET_TOKENS = 2_000_000
+BUCKET_KEYS = 1_000_000
 LEAST_BUCKETS = 96
+ENTRIES = 2_000_000
 
 
 def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,80 +77,102 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z / 1260)) / y - shift
 
 
+def decisions(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the last byte decided before that level, after a leading 1, and the bit of the level."""
+    byte = grams & U(255)
+    return U(1 << level) | (byte >> U(8 - level)), (byte >> U(7 - level)) & U(1)
+
+
+def cut(context: np.ndarray, depth: int, node: np.ndarray) -> np.ndarray:
+    """Key of a node: the last `depth` bytes of the context, then the bits decided."""
+    return ((context & U((1 << 8 * depth) - 1)) << U(8)) | node
+
+
+def weigh(n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of nodes: log probability of their mixture, KT probability of bit 1, weight of stopping."""
+    own = log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - math.log(math.pi)
+    one = ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)
+    if below is None:
+        return own, one, np.ones(len(own), np.float32)
+    both = np.logaddexp(own, below) + math.log(0.5)
+    return both, one, np.exp(own + math.log(0.5) - both).astype(np.float32)
+
+
+def summed(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, x, n).astype(np.float64)  # bincount of nothing is of integers
+
+
+def lift(keys: np.ndarray, depth: int, *sums: np.ndarray) -> list[np.ndarray]:
+    """Parents at `depth` of sorted nodes one deeper, and sums over their children."""
+    up, at = np.unique(cut(keys >> U(8), depth, keys & U(255)), return_inverse=True)
+    return [up, *(summed(at, x, len(up)) for x in sums)]
+
+
+def deep(grams: np.ndarray, counts: np.ndarray, level: int) -> tuple[list, list[np.ndarray]]:
+    """One level's layers (keys, KT of bit 1, stopping) of depths SHALLOW + 1 to DEPTH, and
+    (keys, n0, n1, log probability of the children) of depth SHALLOW."""
+    node, bit = decisions(grams, level)
+    keys, at = np.unique(cut(grams >> U(8), DEPTH, node), return_inverse=True)
+    n1 = summed(at, counts * bit, len(keys))
+    n0, below, layers = summed(at, counts, len(keys)) - n1, None, []
+    for depth in range(DEPTH, SHALLOW, -1):
+        value, one, stop = weigh(n0, n1, below)
+        layers.insert(0, (keys, one, stop))
+        keys, n0, n1, below = lift(keys, depth - 1, n0, n1, value)
+    return layers, [keys, n0, n1, below]
+
+
+def shallow(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> list:
+    """Layers of depths 0 to SHALLOW, of all levels, from the nodes of depth SHALLOW in order of their keys."""
+    layers = []
+    for depth in range(SHALLOW, -1, -1):
+        value, one, stop = weigh(n0, n1, below)
+        layers.insert(0, (keys, one, stop))
+        if depth:
+            keys, n0, n1, below = lift(keys, depth - 1, n0, n1, value)
+    return layers
+
+
+def chance(layers: list, grams: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Probability of bit 1 after the contexts of codes and the bits decided."""
+    left, p, here = np.ones(len(grams)), np.zeros(len(grams)), np.full(len(grams), 0.5)
+    seen = np.ones(len(grams), bool)
+    for depth, (keys, one, stop) in enumerate(layers):
+        if not len(keys):
+            break
+        key = cut(grams >> U(8), depth, node)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        seen &= keys[at] == key
+        here = np.where(seen, one[at], here)
+        weight = np.where(seen, stop[at], 0.0)
+        p += left * weight * here
+        left *= 1 - weight
+    return p + left * here
+
+
+def log10_of(grams: np.ndarray, layers_of) -> np.ndarray:
+    """log10 probability of the last byte of each code after the others; layers_of(level) gives the nodes."""
+    total = np.zeros(len(grams))
+    for level in range(8):
+        node, bit = decisions(grams, level)
+        p = chance(layers_of(level), grams, node)
+        total += np.log10(np.maximum(np.where(bit == 1, p, 1 - p), 1e-30))
+    return total
+
+
 class ContextTree:
-    """Nodes of a trained tree by depth: sorted keys, KT probability of bit 1, weight of stopping."""
+    """A whole tree in memory, of grams and their counts."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        self.keys, self.one, self.stop = [], [], []
-        levels = []
-        for depth in range(DEPTH + 1):
-            context = (grams >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
-            byte = grams & np.uint64(255)
-            parts, bits = [], []
-            for level in range(8):
-                node = (np.uint64(1 << level) | (byte >> np.uint64(8 - level))).astype(np.uint64)
-                parts.append((context.astype(np.uint64) << U(8)) | node)
-                bits.append((byte >> np.uint64(7 - level)) & np.uint64(1))
-            key, bit, c = np.concatenate(parts), np.concatenate(bits), np.tile(counts, 8).astype(np.float64)
-            nodes, at = np.unique(key, return_inverse=True)
-            n1 = np.bincount(at, c * bit, len(nodes)).astype(np.float64)
-            n0 = np.bincount(at, c, len(nodes)) - n1
-            levels.append((nodes, n0, n1))
-        below = None
-        for depth in range(DEPTH, -1, -1):
-            nodes, n0, n1 = levels[depth]
-            own = log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - math.log(math.pi)
-            if below is None:
-                both, stop = own, np.ones(len(nodes))
-            else:
-                child, value = below
-                parent = (((child >> U(8)) & U((1 << 8 * depth) - 1)) << U(8)) | (child & U(255))
-                rest = np.bincount(np.searchsorted(nodes, parent), value, len(nodes)) if len(nodes) else own
-                both = np.logaddexp(own, rest) + math.log(0.5)
-                stop = np.exp(own + math.log(0.5) - both)
-            below = (nodes, both)
-            self.keys.insert(0, nodes)
-            self.one.insert(0, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32))
-            self.stop.insert(0, stop.astype(np.float32))
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.value = np.zeros(0, np.uint64), np.zeros(0, np.float32)
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each code after the others."""
-        total = np.zeros(len(grams))
-        byte = grams & np.uint64(255)
-        for level in range(8):
-            node = (np.uint64(1 << level) | (byte >> np.uint64(8 - level))).astype(np.uint64)
-            left, p, here = np.ones(len(grams)), np.zeros(len(grams)), np.full(len(grams), 0.5)
-            open_ = np.ones(len(grams), bool)
-            for depth in range(DEPTH + 1):
-                if not len(self.keys[depth]):
-                    break
-                key = (((grams >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)).astype(np.uint64) << U(8)) | node
-                at = np.minimum(np.searchsorted(self.keys[depth], key), len(self.keys[depth]) - 1)
-                open_ &= self.keys[depth][at] == key
-                here = np.where(open_, self.one[depth][at], here)
-                stop = np.where(open_, self.stop[depth][at], 0.0)
-                p += left * stop * here
-                left = left * (1 - stop)
-            p += left * here
-            bit = (byte >> np.uint64(7 - level)) & np.uint64(1)
-            total += np.log10(np.maximum(np.where(bit == 1, p, 1 - p), 1e-30))
-        return total
+        parts = [deep(grams, counts, level) for level in range(8)]
+        tops = [np.concatenate(x) for x in zip(*(top for _, top in parts), strict=True)]
+        order = np.argsort(tops[0])
+        top = shallow(*(x[order] for x in tops))
+        self.layers = [top + layers for layers, _ in parts]
 
     def score(self, code: np.ndarray) -> np.ndarray:
-        """log10 probabilities of codes; values once worked out are kept, up to a bound."""
-        distinct = np.unique(code)
-        if len(self.known) > 4_000_000:
-            self.forget()
-        new = np.setdiff1d(distinct, self.known, assume_unique=True)
-        if len(new):
-            known = np.concatenate([self.known, new])
-            order = np.argsort(known)
-            self.known, self.value = known[order], np.concatenate([self.value, self.log10(new).astype(np.float32)])[order]
-        return self.value[np.searchsorted(self.known, code)]
+        """log10 probabilities of codes."""
+        return log10_of(code, self.layers.__getitem__)
 
 
 def training_counts(docs: DataFrame) -> DataFrame:
@@ -179,120 +208,163 @@ def training_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind byte, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c"))
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+def token_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def packed(docs: DataFrame, buckets: int, sent) -> DataFrame:
-    """Rows (chunk, bucket, body): for bucket -1 a chunk's ids, token counts and scores, else its tokens of a bucket."""
+def gram_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """By the two bytes before the last one, which are the same for all nodes of a subtree."""
+    return ((((grams >> U(8)) & U(0xFFFF)) * U(40503) & U(0xFFFF)) * U(buckets) >> U(16)).astype(np.int64)
+
+
+def bucket_column(buckets: tuple[int, int]) -> Column:
+    """token_bucket() and gram_bucket() of (kind, key)."""
+    token = F.floor(F.shiftrightunsigned("key", 32) * buckets[0] / F.lit(2**32))
+    pair = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)) * 40503
+    gram = F.shiftright(pair.bitwiseAND(F.lit(0xFFFF)) * buckets[1], 16) + buckets[0]
+    return F.when(F.col("kind") == 0, token).otherwise(gram).cast("int")
+
+
+def shrunk(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences."""
+    return np.int64(len(keys)).tobytes() + pa.compress(np.diff(keys, prepend=U(0)).tobytes(), codec="zstd", asbytes=True)
+
+
+def grown(body: bytes) -> np.ndarray:
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    return np.cumsum(np.frombuffer(pa.decompress(body[8:], 8 * n, codec="zstd", asbytes=True), np.uint64), dtype=np.uint64)
+
+
+class Asked:
+    """Distinct tokens and grams of a chunk of texts, in order, and how they fall into buckets."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, buckets: tuple[int, int]):
+        tokens, grams = [np.array([END])], []
+        for a, b in chunks(offsets):
+            w = Words(data, offsets, a, b, lower=True)
+            tokens.append(np.unique(w.hash))
+            grams.append(np.unique(codes(w.data, w.off)[0]))
+        self.tokens, self.grams = np.unique(np.concatenate(tokens)), np.unique(np.concatenate(grams))
+        own = gram_bucket(self.grams, buckets[1])
+        self.order = np.argsort(own, kind="stable")
+        edges = np.searchsorted(token_bucket(self.tokens, buckets[0]), np.arange(buckets[0] + 1))
+        self.parts = [(self.tokens, edges), (self.grams[self.order], np.searchsorted(own[self.order], np.arange(buckets[1] + 1)))]
+
+    def __iter__(self):
+        first = 0
+        for keys, edges in self.parts:
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                yield first + k, keys[edges[k] : edges[k + 1]]
+            first += len(edges) - 1
+
+
+def packed(docs: DataFrame, buckets: tuple[int, int]) -> DataFrame:
+    """Rows (chunk, bucket, n, body): for bucket -1 a chunk's ids and texts, else its n keys of a bucket."""
 
     def run(batch: pa.RecordBatch):
-        tree: ContextTree = sent.value
         data, offsets = flat(batch.column(1))
         for lo, hi in chunks(offsets, PIECE):
-            n = hi - lo
+            n, own, off = hi - lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             ids = batch.column(0).slice(lo, n)
-            valid = np.array(ids.is_valid(), bool)
-            number = ids.fill_null(0).to_numpy().astype(np.int64)
-            score, tokens, hashes, owner = np.zeros(n), np.zeros(n, np.int64), [], []
-            for a, b in chunks(offsets[lo : hi + 1] - offsets[lo]):
-                w = Words(data, offsets, lo + a, lo + b, lower=True)
-                code, off = codes(w.data, w.off)
-                score[a:b] = np.add.reduceat(tree.score(code).astype(np.float64), off[:-1])
-                tokens[a:b] = w.counts + 1
-                hashes += [w.hash, np.full(b - a, END)]
-                owner += [w.doc() + a, np.arange(a, b)]
-            h, doc = np.concatenate(hashes), np.concatenate(owner)
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-            times = np.diff(np.append(first, len(h)))
-            h, doc = h[first], doc[first]
-            chunk = int(np.add.reduce(np.concatenate([mix(h + doc.astype(np.uint64)), mix(number.view(np.uint64) * U(3) + np.arange(n, dtype=np.uint64))])).astype(np.int64))
-            edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-            names, bodies = [-1], [b"".join([np.int64(n).tobytes(), number.tobytes(), valid.tobytes(), tokens.tobytes(), score.tobytes()])]
-            for k in np.flatnonzero(np.diff(edge)).tolist():
-                p, q = edge[k], edge[k + 1]
-                begin = np.flatnonzero(np.r_[True, h[p + 1 : q] != h[p : q - 1]])
-                size = np.diff(np.append(begin, q - p))
+            number, valid = ids.fill_null(0).to_numpy().astype(np.int64), np.array(ids.is_valid(), bool)
+            text = pa.compress(own.tobytes(), codec="zstd", asbytes=True) if len(own) else b""
+            names, sizes, bodies = [-1], [n], [b"".join([np.int64(n).tobytes(), number.tobytes(), valid.tobytes(), off.tobytes(), text])]
+            for k, keys in Asked(own, off, buckets):
                 names.append(k)
-                bodies.append(b"".join([np.array([len(begin), q - p], np.int64).tobytes(), h[p:q][begin].tobytes(), size.astype(np.int32).tobytes(), doc[p:q].astype(np.int32).tobytes(), times[p:q].astype(np.int32).tobytes()]))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(names), pa.int64()), pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], ["chunk", "bucket", "body"])
+                sizes.append(len(keys))
+                bodies.append(shrunk(keys))
+            # a name of its own: rows are written once and read from there
+            chunk = int.from_bytes(os.urandom(8), "little", signed=True)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(names), pa.int64()), pa.array(names, pa.int32()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], ["chunk", "bucket", "n", "body"])
 
-    return arrow_map(docs, run, "chunk long, bucket int, body binary")
+    return arrow_map(docs, run, "chunk long, bucket int, n long, body binary")
 
 
-def read(body: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
-    out, at = [], 0
-    for kind, n in kinds:
-        out.append(np.frombuffer(body, kind, n, at))
-        at += out[-1].nbytes
-    return out
+def tops(model: pa.Table) -> pa.Table:
+    """(key, n0, n1, below) of depth SHALLOW from one bucket's grams."""
+    grams, counts = model["key"].to_numpy().view(np.uint64), model["c"].to_numpy()
+    keys, *sums = (np.concatenate(x) for x in zip(*(deep(grams, counts, level)[1] for level in range(8)), strict=True))
+    return pa.table({"key": pa.array(keys.view(np.int64)), **{name: pa.array(x) for name, x in zip(("n0", "n1", "below"), sums, strict=True)}})
 
 
-def answer(n_all: int, distinct: int):
-    """Sums of a bucket's token log probabilities by chunk."""
+def answer(sent, token_buckets: int):
+    """For each chunk that asks a bucket: counts of its tokens (int64) or log10 probabilities of its grams (float32)."""
 
-    def run(requests: pa.Table, counts: pa.Table) -> pa.Table:
-        keys = counts["key"].to_numpy().view(np.uint64)
+    def run(requests: pa.Table, model: pa.Table) -> pa.Table:
+        keys, c = model["key"].to_numpy().view(np.uint64), model["c"].to_numpy()
         order = np.argsort(keys)
-        keys, c = keys[order], counts["c"].to_numpy()[order]
-        chunk, bodies = [], []
-        for name, body in zip(requests["chunk"].to_pylist(), requests["body"].to_pylist(), strict=True):
-            n, m = np.frombuffer(body, np.int64, 2)
-            _, h, size, doc, times = read(body, (np.int64, 2), (np.uint64, n), (np.int32, n), (np.int32, m), (np.int32, m))
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                seen = np.where(keys[at] == h, c[at], 0)
-            else:
-                seen = np.zeros(n, np.int64)
-            value = np.repeat(np.log10((seen + 1) / (n_all + distinct + 1)), size) * times
-            docs, place = np.unique(doc, return_inverse=True)
-            sums = np.bincount(place, value, len(docs))
-            known = np.bincount(place, np.repeat(seen > 0, size) * times, len(docs)).astype(np.int64)
-            chunk.append(name)
-            bodies.append(b"".join([np.int64(len(docs)).tobytes(), docs.astype(np.int32).tobytes(), sums.tobytes(), known.tobytes()]))
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array([0] * len(chunk), pa.int32()), "body": pa.array(bodies, pa.binary())})
+        keys, c = keys[order], c[order]
+        asked = [grown(b) for b in requests["body"].to_pylist()]
+        every, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *asked]), return_inverse=True)
+        if not asked:
+            values = np.zeros(0)
+        elif requests["bucket"][0].as_py() >= token_buckets:
+            values = log10_of(every, lambda level: sent.value + deep(keys, c, level)[0]).astype(np.float32)
+        elif len(keys):
+            place = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
+            values = np.where(keys[place] == every, c[place], 0).astype(np.int64)
+        else:
+            values = np.zeros(len(every), np.int64)
+        edges = np.cumsum([0, *(len(a) for a in asked)])
+        bodies = [values[at[i:j]].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"chunk": requests["chunk"].cast(pa.int64()), "bucket": requests["bucket"].cast(pa.int32()), "body": pa.array(bodies, pa.binary())})
+
+    return run
+
+
+def gather(n_all: int, distinct: int, buckets: tuple[int, int]):
+    """Adds up the answers along the texts of one chunk."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        got = dict(zip(rows["bucket"].to_pylist(), rows["body"].to_pylist(), strict=True))
+        head = got.pop(-1)
+        n = int(np.frombuffer(head, np.int64, 1)[0])
+        ids, valid = np.frombuffer(head, np.int64, n, 8), np.frombuffer(head, bool, n, 8 + 8 * n)
+        off = np.frombuffer(head, np.int64, n + 1, 8 + 9 * n)
+        data = np.frombuffer(pa.decompress(head[16 + 17 * n :], int(off[-1]), codec="zstd", asbytes=True) if off[-1] else b"", np.uint8)
+        asked = Asked(data, off, buckets)
+        c = np.frombuffer(b"".join(got[k] for k in sorted(got) if k < buckets[0]), np.int64)
+        value = np.empty(len(asked.grams), np.float32)
+        value[asked.order] = np.frombuffer(b"".join(got[k] for k in sorted(got) if k >= buckets[0]), np.float32)
+        log = np.log10((c + 1) / (n_all + distinct + 1))
+        end = int(np.searchsorted(asked.tokens, END))
+        base, known, tokens, total = np.full(n, log[end]), np.full(n, int(c[end] > 0)), np.ones(n, np.int64), np.zeros(n)
+        for a, b in chunks(off):
+            w = Words(data, off, a, b, lower=True)
+            at, doc = np.searchsorted(asked.tokens, w.hash), w.doc()
+            base[a:b] += np.bincount(doc, log[at], b - a)
+            known[a:b] += np.bincount(doc, c[at] > 0, b - a).astype(np.int64)
+            tokens[a:b] += w.counts
+            code, start = codes(w.data, w.off)
+            total[a:b] = np.add.reduceat(value[np.searchsorted(asked.grams, code)].astype(np.float64), start[:-1])
+        return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(total)})
 
     return run
 
 
-def gather(rows: pa.Table) -> pa.Table:
-    """Adds up the answers of one chunk. A chunk that stands twice (repeated files) counts apart."""
-    heads = [b for k, b in zip(rows["bucket"].to_pylist(), rows["body"].to_pylist(), strict=True) if k < 0]
-    n = int(np.frombuffer(heads[0], np.int64, 1)[0])
-    _, ids, valid, tokens, score = read(heads[0], (np.int64, 1), (np.int64, n), (bool, n), (np.int64, n), (np.float64, n))
-    base, known = np.zeros(n), np.zeros(n, np.int64)
-    for k, body in zip(rows["bucket"].to_pylist(), rows["body"].to_pylist(), strict=True):
-        if k >= 0:
-            m = int(np.frombuffer(body, np.int64, 1)[0])
-            _, doc, sums, seen = read(body, (np.int64, 1), (np.int32, m), (np.float64, m), (np.int64, m))
-            base[doc] += sums
-            known[doc] += seen
-    times = len(heads)
-    table = pa.table({"doc_id": pa.array(ids, mask=~valid), "n_tokens": pa.array(tokens), "n_known": pa.array(known // times), "base_score": pa.array(base / times), "score": pa.array(score)})
-    return pa.concat_tables([table] * times)
-
-
-def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", most_grams: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of all rows; the rows where `trains` holds are learnt from."""
-    scratch = Scratch(docs.sparkSession, "ctw")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "ctw")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = scratch.keep(training_counts(docs.where(trains).select(F.col(text_col).cast("string").alias("text"))))
-    words = counts.where("kind = 0")
-    n_all, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where("kind = 1").select("key", "c").orderBy(F.desc("c"), "key").limit(most_grams)
-    grams = frequent.toArrow()
-    tree = ContextTree(grams["key"].to_numpy().view(np.uint64), grams["c"].to_numpy())
-    buckets = max(LEAST_BUCKETS, math.ceil(n_all / BUCKET_TOKENS))
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-    rows = scratch.keep(packed(own, buckets, sent))
-    # the same ranges as bucket_of()
-    upper = F.shiftrightunsigned("key", 32)
-    dealt = words.select(F.floor(upper * buckets / F.lit(2**32)).cast("int").alias("bucket"), "key", "c")
-    answers = rows.where("bucket >= 0").groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(answer(n_all, distinct), "chunk long, bucket int, body binary")
+    sizes = {kind: (total, many) for kind, total, many in counts.groupBy("kind").agg(F.sum("c"), F.count("*")).collect()}
+    n_all, distinct = sizes.get(0, (0, 0))
+    least = [max(LEAST_BUCKETS, math.ceil(sizes.get(kind, (0, 0))[1] / BUCKET_KEYS)) for kind in (0, 1)]
+    buckets = least[0], min(least[1], 1 << 16)
+    model = counts.select("kind", bucket_column(buckets).alias("bucket"), "key", "c")
+    below = model.where("kind = 1").groupBy("bucket").applyInArrow(tops, "key long, n0 double, n1 double, below double")
+    # at most 255 nodes for each byte
+    first = below.groupBy("key").agg(*(F.sum(x).alias(x) for x in ("n0", "n1", "below"))).orderBy("key").toArrow()
+    sent = spark.sparkContext.broadcast(shallow(first["key"].to_numpy().view(np.uint64), *(first[x].to_numpy() for x in ("n0", "n1", "below"))))
+    rows = scratch.keep(packed(own, buckets))
+    asked = rows.where("bucket >= 0")
+    load = scratch.keep(asked.groupBy("bucket").agg(F.ceil(F.sum("n") / ENTRIES).cast("int").alias("tasks")))
+    salted = asked.join(load, "bucket").select("chunk", "bucket", F.pmod(F.xxhash64("chunk"), "tasks").cast("int").alias("salt"), "body")
+    dealt = model.join(load, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), "key", "c")
+    answers = salted.groupBy("bucket", "salt").cogroup(dealt.groupBy("bucket", "salt")).applyInArrow(answer(sent, buckets[0]), "chunk long, bucket int, body binary")
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    out = rows.where("bucket < 0").union(answers).groupBy("chunk").applyInArrow(gather, schema)
+    out = rows.where("bucket < 0").select("chunk", "bucket", "body").union(answers).groupBy("chunk").applyInArrow(gather(n_all, distinct, buckets), schema)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -167,7 +167,12 @@ def test_quality(spark):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
-def test_context_tree(spark, docs, texts):
+def grams_of(texts):
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    return ctw.codes(data, np.cumsum([0, *map(len, texts)]))
+
+
+def test_context_tree(spark, docs, texts, monkeypatch):
     got = {r.doc_id: r for r in ctw.score(docs, F.col("doc_id") % 7 != 2).collect()}
     c = Counter()
     for i, t in enumerate(texts):
@@ -179,6 +184,13 @@ def test_context_tree(spark, docs, texts):
         tokens = [*split(t), None]
         assert got[i].n_tokens == len(tokens) and got[i].n_known == sum(c[w] > 0 for w in tokens) and got[i].train_tokens == n
         assert got[i].base_score == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in tokens))
+    known = [(t or "").encode() for i, t in enumerate(texts) if i % 7 != 2]
+    tree = ctw.ContextTree(*np.unique(grams_of(known)[0], return_counts=True))
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx(tree.score(grams_of([(t or "").encode()])[0]).sum(), rel=1e-5)
+    monkeypatch.setattr(ctw, "ENTRIES", 40)
+    again = {r.doc_id: r for r in ctw.score(docs, F.col("doc_id") % 7 != 2).collect()}
+    assert all(again[i].score == pytest.approx(got[i].score, rel=1e-5) and again[i].n_known == got[i].n_known for i in range(len(texts)))
     none = {r.doc_id: r for r in ctw.score(docs, F.lit(False)).collect()}
     assert none[0].train_tokens == 0 and none[3].score == pytest.approx(32 * np.log10(0.5))
     assert ctw.score(empty(spark), F.lit(True)).count() == 0
