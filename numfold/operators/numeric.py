@@ -161,7 +161,26 @@ RKF45 = (
     (16 / 135 - 25 / 216, 0, 6656 / 12825 - 1408 / 2565, 28561 / 56430 - 2197 / 4104, -9 / 50 + 1 / 5, 2 / 55),
     5,
 )
-TABLEAUS = {"rkf45": RKF45}
+#: Tsitouras 5(4). A stage's first weight is its node less the weights named here.
+TSIT_NODES = (0.0, 0.161, 0.327, 0.9, 0.9800255409045097, 1.0)
+TSIT_STAGES = (
+    (),
+    (),
+    (0.335480655492357,),
+    (-6.359448489975075, 4.362295432869581),
+    (-11.74888356406283, 7.495539342889836, -0.09249506636175525),
+    (-12.92096931784711, 8.159367898576159, -0.071584973281401, -0.02826905039406838),
+)
+TSIT_WEIGHTS = (0.09646076681806523, 0.01, 0.4798896504144996, 1.379008574103742, -3.290069515436081, 2.324710524099774)
+TSIT_ERRORS = (0.001780011052226, 0.000816434459657, -0.007880878010262, 0.144711007173263, -0.582357165452555, 0.458082105929187, -1 / 66)
+TSIT54 = (
+    (*TSIT_NODES, 1.0),
+    ((), *((c - sum(rest), *rest) for c, rest in zip(TSIT_NODES[1:], TSIT_STAGES[1:], strict=True)), TSIT_WEIGHTS),
+    (*TSIT_WEIGHTS, 0.0),
+    TSIT_ERRORS,
+    5,
+)
+TABLEAUS = {"rkf45": RKF45, "tsit54": TSIT54}
 
 
 def solve_ivp(f: Callable[[float, np.ndarray], np.ndarray], t0: float, t1: float, y0: np.ndarray, method: str = "rkf45", rtol: float = 1e-10, atol: float = 1e-10, dense: bool = False):

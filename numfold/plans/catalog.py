@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from numfold.functions import mat, special, vec
-from numfold.operators import image, interp, linalg, numeric, scan
+from numfold.functions import design, mat, rng, special, vec
+from numfold.operators import image, interp, linalg, numeric, scan, stiff
 from numfold.sources.tables import HEIGHT, WIDTH, from_json, images, signal, table, to_json, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +266,38 @@ def pid_tune(spark: SparkSession, sf: str) -> DataFrame:
 
 register("pid_tune_zn", pid_tune, f"WITH t AS (SELECT p_partkey, p_retailprice/100 AS t, p_size+0.5::DOUBLE AS l FROM part) SELECT p_partkey, {sq('1.2::DOUBLE*t/(2*l)', 4)} AS kp, {sq('1.2::DOUBLE*t/(2*l)/(2*l)', 4)} AS ki, {sq('1.2::DOUBLE*t/(2*l)*l/2', 4)} AS kd FROM t")
 
+def tuned(name: str, rule: Callable[..., list[Column]], sql: str) -> None:
+    """Plants of gain 2 from parts; ti and td are given in SQL after kp."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        got = rule(F.lit(2.0), F.col("p_retailprice") / 100, F.col("p_size") + 0.5)
+        return table(spark, sf, "part").select("p_partkey", *(q(c, 4).alias(n) for n, c in zip(("kp", "ki", "kd"), got, strict=True)))
+
+    register(name, query, f"WITH t AS (SELECT p_partkey, p_retailprice/100 AS t, p_size+0.5::DOUBLE AS l FROM part), g AS (SELECT p_partkey, {sql} FROM t) SELECT p_partkey, {sq('kp', 4)} AS kp, {sq('kp/ti', 4)} AS ki, {sq('kp*td', 4)} AS kd FROM g")
+
+
+tuned("pid_tune_cohen_coon", design.cohen_coon, "t/(2*l)*(4::DOUBLE/3+l/t/4) AS kp, l*(32+6*l/t)/(13+8*l/t) AS ti, 4*l/(11+2*l/t) AS td")
+tuned("pid_tune_simc", lambda k, tau, delay: design.simc(k, tau, delay, delay), "t/(2*(l+l)) AS kp, least(t, 8*l) AS ti, l/2 AS td")
+tuned("pid_tune_ultimate", lambda k, tau, delay: design.ultimate(tau, delay), "0.6::DOUBLE*t AS kp, l/2 AS ti, l/8 AS td")
+
+
+def designed(name: str, found: list[design.Section], sql: str) -> None:
+    """SQL: tables of w and c before, then the section's (b0, b1, b2, a1, a2) over d."""
+    rows = [(k, *(math.floor(x * 1e6 + 0.5) / 1e6 for x in sec)) for k, sec in enumerate(found)]
+    register(name, lambda spark, sf: spark.createDataFrame(rows, "section int, b0 double, b1 double, b2 double, a1 double, a2 double"), sql)
+
+
+PAIR_SQL = f"SELECT 0::INT AS section, {sq('g/d')} AS b0, {sq('s*2*g/d')} AS b1, {sq('g/d')} AS b2, {sq('(2*w-2*c*c)/d')} AS a1, {sq('(c*c-a*c+w)/d')} AS a2 FROM (SELECT *, c*c+a*c+w AS d FROM p)"
+ELLIPSE_SQL = "e AS (SELECT 16000*tan(pi()/8) AS v, 16000::DOUBLE AS c, sqrt(pow(10, 0.1::DOUBLE)-1) AS r), h AS (SELECT *, asinh(1/r)/2 AS h FROM e), u AS (SELECT v, c, 1/sqrt(1+r*r) AS k, sinh(h)/sqrt(2) AS x, cosh(h)/sqrt(2) AS y FROM h)"
+designed("butterworth_highpass_design", design.butterworth_highpass(2, 1000.0, 8000.0), "WITH e AS (SELECT 16000*tan(pi()/8) AS v, 16000::DOUBLE AS c), p AS (SELECT c, v*v AS w, sqrt(2)*v AS a, c*c AS g, -1 AS s FROM e) " + PAIR_SQL)
+designed("chebyshev1_lowpass_design", design.chebyshev1(2, 1.0, 1000.0, 8000.0), f"WITH {ELLIPSE_SQL}, p AS (SELECT c, v*v*(x*x+y*y) AS w, 2*v*x AS a, k*v*v*(x*x+y*y) AS g, 1 AS s FROM u) " + PAIR_SQL)
+designed("chebyshev1_highpass_design", design.chebyshev1(2, 1.0, 1000.0, 8000.0, high=True), f"WITH {ELLIPSE_SQL}, p AS (SELECT c, v*v/(x*x+y*y) AS w, 2*v*x/(x*x+y*y) AS a, k*c*c AS g, -1 AS s FROM u) " + PAIR_SQL)
+FIRST_SQL = f"SELECT 0::INT AS section, {sq('k*(c+z)/(c+p)')} AS b0, {sq('k*(z-c)/(c+p)')} AS b1, 0::DOUBLE AS b2, {sq('(p-c)/(c+p)')} AS a1, 0::DOUBLE AS a2 FROM t"
+designed("lead_design", [design.lead(math.pi / 4, 10.0, 1.0, 1000.0)], "WITH m AS (SELECT (1-sin(pi()/4))/(1+sin(pi()/4)) AS m), t AS (SELECT 2000::DOUBLE AS c, 1/m AS k, 20*pi()*sqrt(m) AS z, 20*pi()/sqrt(m) AS p FROM m) " + FIRST_SQL)
+designed("lag_design", [design.lag(10.0, 1.0, 1000.0)], "WITH t AS (SELECT 2000::DOUBLE AS c, 1::DOUBLE AS k, 2*pi() AS z, 0.2::DOUBLE*pi() AS p) " + FIRST_SQL)
+register("chebyshev1_filter", scanned(scan.biquad_step(*design.chebyshev1(2, 1.0, 1000.0, 8000.0)[0]), [0.0, 0.0]))
+register("lead_filter", scanned(scan.biquad_step(*design.lead(math.pi / 4, 10.0, 1.0, 1000.0)), [0.0, 0.0]))
+
 # --- interpolation -------------------------------------------------------------------
 
 
@@ -419,6 +451,19 @@ scalars(lambda x: special.chi_squared_pdf(x, 3.0), "exp(0.5::DOUBLE*ln(x)-x/2-1.
 scalars(lambda x: special.student_t_pdf(x, 5.0), "exp(lgamma(3::DOUBLE)-lgamma(2.5::DOUBLE)-0.5::DOUBLE*ln(5*pi())-3*ln(1+x*x/5))", "student_t_pdf")
 scalars(lambda x: special.binomial_pmf(F.col("k"), 60, 0.3), "exp(lgamma(61::DOUBLE)-lgamma(k+1::DOUBLE)-lgamma(61::DOUBLE-k)+k*ln(0.3::DOUBLE)+(60-k)*ln(0.7::DOUBLE))", "binomial_pmf")
 scalars(lambda x: special.poisson_pmf(F.col("k"), 7.5), "exp(k*ln(7.5::DOUBLE)-7.5::DOUBLE-lgamma(k+1::DOUBLE))", "poisson_pmf")
+scalars(lambda x: special.gamma_cdf(x, 2.0, 1.5), "1-exp(-1.5::DOUBLE*x)*(1+1.5::DOUBLE*x)", "gamma_cdf")
+scalars(lambda x: special.beta_cdf(x / 3, 2.0, 3.0), "6*pow(x/3,2)-8*pow(x/3,3)+3*pow(x/3,4)", "beta_cdf")
+scalars(lambda x: special.chi_squared_cdf(x, 4.0), "1-exp(-x/2)*(1+x/2)", "chi2_cdf")
+scalars(lambda x: special.student_t_cdf(x - 1.5, 2.0), "0.5::DOUBLE+(x-1.5::DOUBLE)/(2*sqrt(2+(x-1.5::DOUBLE)*(x-1.5::DOUBLE)))", "student_t_cdf")
+scalars(lambda x: special.binomial_cdf(F.col("k"), 60, 0.3), "list_sum(list_transform(range(k+1), lambda i: exp(lgamma(61::DOUBLE)-lgamma(i+1::DOUBLE)-lgamma(61::DOUBLE-i)+i*ln(0.3::DOUBLE)+(60-i)*ln(0.7::DOUBLE))))", "binomial_cdf")
+scalars(lambda x: special.poisson_cdf(F.col("k"), 7.5), "list_sum(list_transform(range(k+1), lambda i: exp(i*ln(7.5::DOUBLE)-7.5::DOUBLE-lgamma(i+1::DOUBLE))))", "poisson_cdf")
+scalars(lambda x: special.gamma_quantile(x / 3, 1.0, 1.5), "-ln(1-x/3)/1.5::DOUBLE", "gamma_quantile")
+scalars(lambda x: special.beta_quantile(x / 3, 2.0, 1.0), "sqrt(x/3)", "beta_quantile")
+scalars(lambda x: special.chi_squared_quantile(x / 3, 2.0), "-2*ln(1-x/3)", "chi2_quantile")
+scalars(lambda x: special.student_t_quantile(x / 3, 2.0), "(2*x/3-1)*sqrt(2/(4*x/3*(1-x/3)))", "student_t_quantile")
+scalars(lambda x: special.uniform_quantile(x / 3, 0.5, 1.5), "0.5::DOUBLE+x/3", "uniform_quantile")
+scalars(lambda x: special.exponential_quantile(x / 3, 1.5), "-ln(1-x/3)/1.5::DOUBLE", "exponential_quantile")
+scalars(lambda x: special.bernoulli_pmf(F.col("k") % 3, 0.3), "CASE k%3 WHEN 1 THEN 0.3::DOUBLE WHEN 0 THEN 0.7::DOUBLE ELSE 0 END", "bernoulli_pmf")
 
 
 def horner_sql(cs: tuple[float, ...], x: str) -> str:
@@ -496,3 +541,16 @@ rotations("quat_to_euler", lambda p, v: dict(zip(("roll", "pitch", "yaw"), speci
 rotations("quat_slerp", lambda p, v: wxyz(special.quat_slerp(p, special.quaternion(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)), 0.3)), {"w": "(sin(0.7::DOUBLE*acos(abs(w)))*w+sin(0.3::DOUBLE*acos(abs(w)))*sign(w))/sin(acos(abs(w)))", "x": "sin(0.7::DOUBLE*acos(abs(w)))*i/sin(acos(abs(w)))", "y": "sin(0.7::DOUBLE*acos(abs(w)))*j/sin(acos(abs(w)))", "z": "sin(0.7::DOUBLE*acos(abs(w)))*k/sin(acos(abs(w)))"})
 register("matrix_json", lambda s, sf: vectors(s, sf).select("vec_id", F.posexplode(from_json(to_json(F.slice("a", 1, 6), 2, 3))).alias("pos", "v")).select("vec_id", "pos", q(F.col("v")).alias("v")), f"WITH {V_SQL} SELECT vec_id, pos, {sq('a')} AS v FROM v WHERE pos<6")
 register("vec_order", lambda s, sf: vectors(s, sf).select("vec_id", (F.slice("a", 1, 3) < F.slice("a", 4, 3)).alias("less")), f"WITH {S_SQL} SELECT vec_id, e0<e3 OR (e0=e3 AND (e1<e4 OR (e1=e4 AND e2<e5))) AS less FROM s")
+scalars(vectorised(lambda x: np.array([numeric.solve_ivp(lambda t, y: -y, 0.0, 1.0, [t], "tsit54")[0][0] for t in x])), "x*exp(-1::DOUBLE)", "ode_tsit54")
+scalars(vectorised(lambda x: np.array([stiff.solve_stiff(lambda t, y: -50 * (y - np.cos(t)), 0.0, 0.5, [t])[0][0] for t in x])), "(2500*cos(0.5::DOUBLE)+50*sin(0.5::DOUBLE))/2501+(x-2500::DOUBLE/2501)*exp(-25::DOUBLE)", "ode_rodas4")
+
+
+# --- random streams ------------------------------------------------------------------
+
+def sampled(kind: str, *parameters: float) -> None:
+    """16 draws of a stream for each part, seeded by its key."""
+    register(f"sample_{kind}", lambda spark, sf: table(spark, sf, "part").select("p_partkey", F.posexplode(rng.sample(F.col("p_partkey"), 16, kind, *parameters)).alias("n", "x")).select("p_partkey", "n", q(F.col("x")).alias("x")))
+
+
+for kind_, parameters_ in {"uniform": (0.5, 1.5), "exponential": (1.5,), "normal": (1.0, 2.0), "gamma": (2.5, 1.5), "chi_squared": (3.0,), "beta": (2.0, 3.0), "student_t": (5.0,), "bernoulli": (0.3,), "binomial": (60, 0.3), "poisson": (7.5,)}.items():
+    sampled(kind_, *parameters_)

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from numfold.functions import mat, special, vec
-from numfold.operators import image, interp, linalg, numeric, scan
+from numfold.functions import design, mat, rng, special, vec
+from numfold.operators import image, interp, linalg, numeric, scan, stiff
 
 
 def test_solve_literal(spark):
@@ -105,3 +105,53 @@ def test_queries_match_sql(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_design():
+    for order in (1, 2, 3, 5):
+        for high in (False, True):
+            z = -1.0 if high else 1.0
+            gain = math.prod((b0 + b1 * z + b2) / (1 + a1 * z + a2) for b0, b1, b2, a1, a2 in design.chebyshev1(order, 1.0, 900.0, 8000.0, high))
+            assert gain == pytest.approx(1.0 if order % 2 else 10 ** (-1 / 20))
+    assert np.allclose(design.prototype(3, 1000.0, 8000.0, False, None), special.butterworth(3, 1000.0, 8000.0))
+    b0, b1, _, a1, _ = design.lag(10.0, 1.0, 1000.0)
+    assert (b0 + b1) / (1 + a1) == pytest.approx(10.0) and (b0 - b1) / (1 - a1) == pytest.approx(1.0)
+    for bad in (lambda: design.lead(2.0, 10.0, 1.0, 1000.0), lambda: design.lag(1.0, 1.0, 1000.0), lambda: design.chebyshev1(2, 0.0, 10.0, 100.0)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_quantiles():
+    p = np.array([0.0, 1e-9, 0.01, 0.3, 0.5, 0.9, 0.999999, 1.0])
+    x = special.inverse(lambda v: special.lower_gamma(2.5, 1.5 * v), p, 0.0, math.inf)
+    assert special.lower_gamma(2.5, 1.5 * x[1:-1]) == pytest.approx(p[1:-1], rel=1e-9) and x[0] == 0 and x[-1] == math.inf
+    y = special.inverse(lambda v: special.regular_beta(0.5, 3.0, v), p, 0.0, 1.0)
+    assert special.regular_beta(0.5, 3.0, y[1:-1]) == pytest.approx(p[1:-1], rel=1e-9)
+    assert np.isnan(special.inverse(lambda v: special.lower_gamma(1.0, v), np.array([-0.1, 1.1, np.nan]), 0.0, math.inf)).all()
+
+
+def test_streams(spark):
+    s = rng.Streams(np.zeros(1))
+    s.state = np.array([[1], [2], [3], [4]], np.uint64)
+    assert [int(s.bits(np.arange(1))[0]) for _ in range(4)] == [41943041, 58720359, 3588806011781223, 3591011842654386]
+    together, rows = rng.Streams(np.arange(50)), np.arange(50)
+    both = [together.gamma(rows, 0.7) for _ in range(3)]
+    for i in (0, 17, 49):
+        alone = rng.Streams(np.array([i]))
+        assert [alone.gamma(np.arange(1), 0.7)[0] for _ in range(3)] == [b[i] for b in both]
+    many, rows = rng.Streams(np.arange(40_000)), np.arange(40_000)
+    for kind, parameters, mean, var in (("normal", (1.0, 2.0), 1, 4), ("gamma", (2.5, 1.5), 5 / 3, 10 / 9), ("beta", (2.0, 3.0), 0.4, 0.04), ("student_t", (5.0,), 0, 5 / 3), ("poisson", (7.5,), 7.5, 7.5), ("poisson", (40.0,), 40, 40), ("binomial", (60, 0.3), 18, 12.6), ("binomial", (9, 0.3), 2.7, 1.89), ("exponential", (1.5,), 2 / 3, 4 / 9)):
+        x = rng.DRAWS[kind](many, rows, *parameters)
+        assert abs(x.mean() - mean) < 5 * math.sqrt(var / len(x)) and x.var() == pytest.approx(var, rel=0.1)
+    got = spark.createDataFrame([(1,), (None,)], "seed long").select(rng.sample(F.col("seed"), 3, "uniform", 0.0, 1.0).alias("x")).collect()
+    assert len(got[0].x) == 3 and got[1].x is None
+
+
+def test_solvers():
+    turn = lambda t, y: np.array([y[1], -y[0]])
+    assert np.allclose(numeric.solve_ivp(turn, 0.0, 3.0, [0.0, 1.0], "tsit54")[0], [math.sin(3), math.cos(3)], atol=1e-8)
+    assert np.allclose(stiff.solve_stiff(turn, 3.0, 0.0, [math.sin(3), math.cos(3)])[0], [0.0, 1.0], atol=1e-6)
+    fast = stiff.solve_stiff(lambda t, y: -1000 * y, 0.0, 0.01, [1.0], lambda t, y: np.array([[-1000.0]]))
+    assert fast[0][0] == pytest.approx(math.exp(-10), abs=1e-8)
+    robertson = stiff.solve_stiff(lambda t, y: np.array([-0.04 * y[0] + 1e4 * y[1] * y[2], 0.04 * y[0] - 1e4 * y[1] * y[2] - 3e7 * y[1] ** 2, 3e7 * y[1] ** 2]), 0.0, 40.0, [1.0, 0.0, 0.0], rtol=1e-8, atol=1e-12)
+    assert robertson[0] == pytest.approx([0.7158270688, 9.185534765e-6, 0.2841637458], rel=1e-4) and robertson[1] < 1000
