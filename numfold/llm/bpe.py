@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, id_text
-from .text import BASES, BYTE, Rolling, chunks, flat
+from .text import chunks, flat, span_hash
 
 #: Fixed value: the pre-tokenizer's pattern. It takes no white space, so the normalizer's replacement of white space changes nothing.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -31,7 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 UNUSUAL = regex.compile(r"[^\t\n\r -~À-ÖØ-öø-ɏ]")
 #: What the pattern splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-KEPT = 400_000
+KEPT = 200_000
 _class = np.full(256, 3, np.uint8)
 _class[[9, 10, 11, 12, 13, 32]] = 0
 _class[97:123] = _class[65:91] = _class[128:] = 1
@@ -54,27 +54,27 @@ def normal(text: str) -> str:
 
 
 class Kept:
-    """Ids of frequent words by hash, in flat arrays."""
+    """Ids of repeated words by their 128-bit hash, in flat arrays; it starts anew when KEPT are held."""
 
     def __init__(self):
-        self.hash = np.zeros(0, np.uint64)
+        self.hash = self.hash2 = np.zeros(0, np.uint64)
         self.start = self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash, or -1."""
+    def find(self, hashes: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Place of each hash with the same second half, or -1."""
         if not len(self.hash):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashes, at, -1)
+        return np.where((self.hash[at] == hashes) & (self.hash2[at] == second), at, -1)
 
-    def add(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, second: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
         if len(self.hash) + len(hashes) > KEPT:
             self.__init__()
         start = start + len(self.ids)
         self.ids = np.concatenate([self.ids, ids])
         order = np.argsort(np.concatenate([self.hash, hashes]), kind="stable")
-        for name, new in (("hash", hashes), ("start", start), ("size", size)):
+        for name, new in (("hash", hashes), ("hash2", second), ("start", start), ("size", size)):
             setattr(self, name, np.concatenate([getattr(self, name), new])[order])
 
 
@@ -201,8 +201,13 @@ class Bpe:
             return out
         offsets = np.cumsum([0, *map(len, parts)])
         start, end = split_bytes(data, offsets)
-        hashes, first, inverse, times = np.unique(Rolling(BYTE[data], BASES[0]).of(start, end), return_index=True, return_inverse=True, return_counts=True)
-        at = self.kept.find(hashes)
+        both, second = span_hash(data, start, end)
+        hashes, first, inverse, times = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
+        if (second[first][inverse] != second).any():  # half a hash in common: told apart by the other half
+            pairs, first, inverse, times = np.unique(np.stack([both, second], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+            hashes, inverse = pairs[:, 0], inverse.reshape(-1)
+        second = second[first]
+        at = self.kept.find(hashes, second)
         new = np.flatnonzero(at < 0)
         whole = data.tobytes()
         ids, size = self.merge([whole[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
@@ -223,7 +228,7 @@ class Bpe:
         if again.any():
             chosen = np.repeat(again, size)
             kept_size = size[again]
-            self.kept.add(hashes[new][again], np.cumsum(kept_size) - kept_size, kept_size, ids[chosen])
+            self.kept.add(hashes[new][again], second[new][again], np.cumsum(kept_size) - kept_size, kept_size, ids[chosen])
         return out
 
     def encode_words(self, words: list[str]) -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,14 +15,36 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests in local mode) a local folder is set."""
+    Only in local mode, as in tests, a folder of this machine is set where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="numfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Folders made so far; clear() deletes those from a mark on.
+_roots: list[str] = []
+
+
+def mark() -> int:
+    return len(_roots)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the kept tables and archives made since a mark; no plan may need them any more."""
+    for root in _roots[since:]:
+        delete(spark, root)
+    del _roots[since:]
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor loses none of them."""
 
@@ -29,6 +52,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        _roots.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -40,15 +64,18 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._numfold_path)
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, df._numfold_path)
+
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow of a function of one batch."""
+    """mapInArrow of a function of one batch. Batches are held to 8 MB (or one row) unless the session says otherwise."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, "64MB") in ("64MB", "67108864b", "67108864"):
+        conf.set(BATCH, "8MB")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,3 +93,9 @@ def fold(id_col: str, mod: int) -> Column:
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under names of its own."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+
+
+def bounded_sample(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+    """About `size` rows, chosen by a hash of the key columns."""
+    share = min(1.0, size / max(1, rows.count()))
+    return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 24)) < int(share * (1 << 24)))

@@ -9,8 +9,10 @@ most; items under SMALL shingles keep all their shingles as coordinates instead.
 document that agrees with an item in one coordinate is verified on its whole set by exact
 containment of the item's shingles.
 
-Items go out in blocks of at most about BLOCK shingles (16 bytes each), each block against
-all documents, so what is broadcast is bounded for any number of items.
+Items go out in blocks of about BLOCK shingles (16 bytes each) at most. Benchmarks are one
+block as a rule, and then the query stays lazy. Of several blocks one is held at a time: its
+rows are written to the shared folder and its broadcast is destroyed before the next is built.
+Shingles are 64-bit hashes made from keyed 128-bit word hashes.
 
 Defined results: null and empty texts and items match nothing; a text of fewer words than
 a shingle is one shingle of all its words; a repeated item row counts once; repeated
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_text
+from .common import Scratch, arrow_map, id_text
 from .text import U, Words, chunks, distinct, flat, mix
 
 PART, SMALL, BLOCK = 2048, 12, 1_000_000
@@ -115,16 +117,19 @@ class Items:
                     yield lo + d, found
 
 
-def blocks(items: DataFrame, shingle: int, id_col: str, text_col: str):
-    """The items in blocks of bounded size, each as a broadcast."""
-    own = id_text(items, id_col, text_col).where("doc_id is not null and text is not null").distinct()
-    words = own.agg(F.sum(F.length("text")), F.count("*")).first()
+def blocks(items: DataFrame, shingle: int, id_col: str, text_col: str, scratch: Scratch):
+    """Yields (broadcast of a block of items, whether it is the only one); a block is destroyed once the next is asked for."""
+    own = scratch.keep(id_text(items, id_col, text_col).where("doc_id is not null and text is not null").distinct())
+    words = own.agg(F.sum(F.length("text").cast("double"))).first()
     n = max(1, math.ceil((words[0] or 0) / (4 * BLOCK)))
     for i in range(n):
-        rows = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) == i).collect()
+        rows = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) == i).collect()  # bounded by BLOCK
         rows = sorted((r[0], r[1]) for r in rows)
         if rows:
-            yield items.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], shingle))
+            sent = items.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], shingle))
+            yield sent, n == 1
+            if n > 1:
+                sent.destroy()
 
 
 PAIRS = "doc_id long, item_id long, item_shingles long, shared long, containment double"
@@ -133,6 +138,7 @@ PAIRS = "doc_id long, item_id long, item_shingles long, shared long, containment
 def search(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item with |item & document| / |item| >= percent / 100."""
     own, out = id_text(docs, id_col, text_col), None
+    scratch = Scratch(docs.sparkSession, "decontaminate")
 
     def searcher(sent):
         def run(batch: pa.RecordBatch):
@@ -143,15 +149,16 @@ def search(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 8
 
         return run
 
-    for sent in blocks(items, shingle, item_id, item_text):
+    for sent, only in blocks(items, shingle, item_id, item_text, scratch):
         part = arrow_map(own, searcher(sent), PAIRS)
+        part = part if only else scratch.keep(part)
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], PAIRS)
 
 
 def clean(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that contain no item; all columns stay and nothing is shuffled."""
-    at = docs.columns.index(text_col)
+    at, scratch = docs.columns.index(text_col), Scratch(docs.sparkSession, "decontaminate")
 
     def cleaner(sent):
         def run(batch: pa.RecordBatch):
@@ -161,6 +168,7 @@ def clean(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80
 
         return run
 
-    for sent in blocks(items, shingle, item_id, item_text):
-        docs = arrow_map(docs, cleaner(sent), docs.schema)
+    for sent, only in blocks(items, shingle, item_id, item_text, scratch):
+        left = arrow_map(docs, cleaner(sent), docs.schema)
+        docs = left if only else scratch.keep(left)
     return docs

@@ -47,7 +47,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (id, comp) of every id that has a smaller one in its component; comp is the smallest.
 
     links: two long columns. Only kept tables of links move between rounds; the driver sees
-    a count and a checksum."""
+    a count and checksums, which no id overflows."""
     now = scratch.keep(arrow_map(links.toDF("a", "b"), contract, "a long, b long").distinct())
     sign = None
     while True:
@@ -59,7 +59,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.keep(spread.select("x.a", "x.b").where("a <> b").distinct())
         scratch.drop(least, large, least2, now)
         now = new
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum("b")).first()
+        row = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if row[0] == 0 or row == sign:
             return now.toDF("id", "comp")
         sign = row

@@ -11,7 +11,10 @@ members with its smallest id only; sketches that agree in too few bins for the t
 (5 standard deviations below it) are out, the rest are verified on full sets. Round 2
 compares, in blocks and on full sets, the members of buckets that still hold several
 components, each pair in the first band that it shares, so no link between different
-components is left out. Verified links go through distributed connected components.
+components is left out. A bucket's largest component meets only the others, never itself.
+Verified links go through distributed connected components.
+
+Full sets are sets of 64-bit shingle hashes, made from keyed 128-bit word hashes.
 
 Defined results: a null or empty text, or one of white space, has an empty set and stands
 alone; fewer words than a shingle are one shingle; equal texts share a component; rows
@@ -31,7 +34,7 @@ from .graph import Union, components
 from .text import U, Words, binaries, chunks, distinct, flat, mix
 
 BINS, BANDS = 160, 32
-BLOCK = 1024
+BLOCK = 512
 BROADCAST_IDS = 1_000_000
 EMPTY = U(2**64 - 1)
 
@@ -131,11 +134,21 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scra
     return scratch.keep(arrow_map(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb"), run, "a long, b long").distinct())
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Bucket members in groups (key, i, j) of two blocks: a bucket of c members has ceil(c / BLOCK) blocks."""
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    out = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return out.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "c")
+def dealt(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Bucket members (key, id, comp, ...) in groups (key, main, i, j) of two blocks of about BLOCK members.
+
+    With `main`, block i holds members of the bucket's largest component and block j others;
+    without it both hold others. `first` says that a row is of the largest component."""
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    load = scratch.keep(sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).select("key", F.col("top.comp").alias("largest"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("others")))
+    own = rows.join(load, "key").withColumn("first", F.col("comp") == F.col("largest"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("first"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    place = lambda main, i, j: F.struct(main.alias("main"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    with_main = F.when(F.col("first"), F.transform(upto(F.col("others")), lambda j: place(F.lit(True), F.col("block"), j))).otherwise(F.transform(upto(F.col("mains")), lambda i: place(F.lit(True), i, F.col("block"))))
+    without = F.when(F.col("first"), F.array().cast("array<struct<main:boolean,i:int,j:int>>")).otherwise(F.transform(upto(F.col("others")), lambda j: place(F.lit(False), F.least("block", j), F.greatest("block", j))))
+    out = own.withColumn("at", F.explode(F.concat(with_main, without)))
+    return out.select(*rows.columns, "first", "block", "at.main", "at.i", "at.j")
 
 
 def open_pairs(group: pa.Table, percent: int):
@@ -144,13 +157,14 @@ def open_pairs(group: pa.Table, percent: int):
     A pair belongs to the first band that both share, so to one bucket only."""
     least, key = least_agreement(percent), group["key"][0].as_py()
     block, comp, n = (group[c].to_numpy() for c in ("block", "comp", "n"))
+    first = group["first"].to_numpy()
     s = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
     bands = group["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    i, j = group["i"][0].as_py(), group["j"][0].as_py()
-    right = np.flatnonzero(block == j)
-    for x in np.flatnonzero(block == i).tolist():
+    i, j, main = group["i"][0].as_py(), group["j"][0].as_py(), group["main"][0].as_py()
+    left, right = np.flatnonzero(first if main else block == i), np.flatnonzero(~first if main else block == j)
+    for x in left.tolist():
         y = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
-        if i == j:
+        if i == j and not main:
             y = y[y > x]
         y = y[(s[y] == s[x]).sum(axis=1) >= least]
         y = y[bands[x][(bands[y] == bands[x]).argmax(axis=1)] == key]
@@ -161,7 +175,7 @@ def open_pairs(group: pa.Table, percent: int):
 def cross_links(rows: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     """Verified links (a, b) between different components within buckets.
 
-    rows: (key, id, comp, c, n, sketch, keys). A first pass names the members that have an
+    rows: (key, id, comp, n, sketch, keys). A first pass names the members that have an
     open partner; a second compares their full sets where they stand, in the bucket, and
     returns a spanning forest of the links found, so neither pass emits pairs."""
 
@@ -171,7 +185,7 @@ def cross_links(rows: DataFrame, docs: DataFrame, shingle: int, percent: int, sc
             found[x] = found[y] = True
         return group.select(["key", "id"]).filter(pa.array(found))
 
-    flagged = scratch.keep(dealt(rows).groupBy("key", "i", "j").applyInArrow(flag, "key long, id long").distinct())
+    flagged = scratch.keep(dealt(rows, scratch).groupBy("key", "main", "i", "j").applyInArrow(flag, "key long, id long").distinct())
     ids = scratch.keep(flagged.select(F.col("id").alias("doc_id")).distinct())
     small = ids.count() <= BROADCAST_IDS  # 8 bytes each; beyond, a shuffled join
 
@@ -197,9 +211,8 @@ def cross_links(rows: DataFrame, docs: DataFrame, shingle: int, percent: int, sc
                         b.append(min(ids[x], ids[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    again = flagged.groupBy("key").agg(F.count("*").alias("c"))
-    members = rows.drop("c").join(flagged, ["key", "id"]).join(again, "key").join(full, "id")
-    return scratch.keep(dealt(members).groupBy("key", "i", "j").applyInArrow(link, "a long, b long").distinct())
+    members = scratch.keep(rows.join(flagged, ["key", "id"]).join(full, "id"))
+    return scratch.keep(dealt(members, scratch).groupBy("key", "main", "i", "j").applyInArrow(link, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +233,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     placed = held.where("c > 2").join(comps, "id", "left").select("key", "id", "c", F.coalesce("comp", "id").alias("comp"))
     placed = scratch.keep(placed)
     mixed = scratch.keep(placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"))
-    rows = scratch.keep(placed.join(mixed, "key").join(classes.select(F.col("rep").alias("id"), "n", "sketch", "keys"), "id"))
+    rows = scratch.keep(placed.drop("c").join(mixed, "key").join(classes.select(F.col("rep").alias("id"), "n", "sketch", "keys"), "id"))
     more = cross_links(rows, docs, shingle, percent, scratch)
     if not more.isEmpty():
         comps = components(links.union(more), scratch)

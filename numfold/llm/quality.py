@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_text
-from .langid import bounded_sample
+from .common import arrow_map, bounded_sample, id_text
 from .text import U, Words, chunks, flat, mix
 
 BITS = 18

@@ -2,8 +2,8 @@
 
 A window is `window` consecutive words. Of the k-grams inside it the one with the least
 hash (leftmost on ties) is its anchor, so equal windows have equal anchors. Consecutive
-windows with one anchor make a run; a run's record holds the anchor's hash and a hash of
-its whole span. Anchors that occur once are dropped (seed). Of equal spans only the first
+windows with one anchor make a run; a run's record holds the anchor's hash and a 128-bit hash
+of its whole span. Anchors that occur once are dropped (seed). Of equal spans only the first
 occurrence can hold first windows, so all later ones are removed as a whole: an extension
 both ways by up to a window at once. Where an anchor stands in different spans, the first
 occurrence of each span is extended window by window, and the earliest of equal windows
@@ -33,7 +33,7 @@ LAST = 2**63 - 1
 
 
 def runs(w: Words, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: document, first window (word index in w), windows, anchor hash, span hash."""
+    """Runs of windows with one anchor: document, first window (word index in w), windows, anchor hash, both halves of the span hash."""
     n = w.counts
     per = np.maximum(n - window + 1, 0)
     first = np.zeros(len(n) + 1, np.int64)
@@ -41,13 +41,14 @@ def runs(w: Words, window: int) -> tuple[np.ndarray, ...]:
     total = int(first[-1])
     if not total:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, *[none.astype(np.uint64)] * 3
     start = np.arange(total) + np.repeat(w.at[:-1] - first[:-1], per)
-    last = len(w.hash) - GRAM
+    size = min(GRAM, window)
+    gram = w.grams(size)
+    last = len(gram) - 1
     at = np.arange(last + 1)
-    gram = Rolling(w.hash, BASES[1]).of(at, at + GRAM)
     # place of the least gram among the `width` that begin at or after each word
-    width, have, best = window - GRAM + 1, 1, at
+    width, have, best = window - size + 1, 1, at
     while have < width:
         step = min(have, width - have)
         other = best[np.minimum(at + step, last)]
@@ -58,9 +59,9 @@ def runs(w: Words, window: int) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
     count = np.diff(np.append(begin, total))
     s, p = start[begin], anchor[begin]
-    span = Rolling(w.hash, BASES[2]).of(s, s + count + window - 1)
-    span = mix(span + (p - s).astype(np.uint64) * U(31) + count.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-    return doc[begin], s, count, gram[p], span
+    inner = (p - s).astype(np.uint64) * U(31) + count.astype(np.uint64) * U(0x9E3779B97F4A7C15)
+    spans = [mix(Rolling(h, b).of(s, s + count + window - 1) + inner) for h, b in zip((w.hash, w.hash2), BASES, strict=True)]
+    return doc[begin], s, count, gram[p], *spans
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -68,17 +69,18 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
         data, offsets = flat(batch.column(2))
         for lo, hi in chunks(offsets):
             w = Words(data, offsets, lo, hi, lower=False)
-            doc, s, count, h, span = runs(w, window)
+            doc, s, count, h, *spans = runs(w, window)
             take = pa.array(doc + lo)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(span.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((s - w.at[doc]).astype(np.int32)), pa.array(count.astype(np.int8))], ["h", "span", "id", "rid", "s", "c"])
+            hashes = [pa.array(x.view(np.int64)) for x in (h, *spans)]
+            yield pa.RecordBatch.from_arrays([*hashes, batch.column(0).take(take), batch.column(1).take(take), pa.array((s - w.at[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], ["h", "span", "span2", "id", "rid", "s", "c"])
 
-    return arrow_map(docs, run, "h long, span long, id long, rid int, s int, c byte")
+    return arrow_map(docs, run, "h long, span long, span2 long, id long, rid long, s int, c int")
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Documents joined with their lists, and those without one.
 
-    Ids of up to BROADCAST_IDS documents (12 bytes each) are sent to the scan, so other
+    Ids of up to BROADCAST_IDS documents (16 bytes each) are sent to the scan, so other
     texts are not shuffled; beyond, a shuffled left join does both."""
     ids = scratch.keep(lists.select("id", "rid"))
     if ids.count() > BROADCAST_IDS:
@@ -104,25 +106,25 @@ def first_windows(docs: DataFrame, doubtful: DataFrame, window: int, scratch: Sc
             doc = np.repeat(np.repeat(np.arange(hi - lo), size), c)
             at = np.repeat(s, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             word = at + w.at[doc]
-            one, two = (Rolling(w.hash, b).of(word, word + window).view(np.int64) for b in BASES[1:])
+            one, two = (Rolling(h, b).of(word, word + window).view(np.int64) for h, b in zip((w.hash, w.hash2), BASES, strict=True))
             take = pa.array(doc + lo)
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32))], ["k1", "k2", "id", "rid", "s"])
 
     # few of these windows exist: only spans that differ around a common anchor
-    keys = scratch.keep(arrow_map(some.select("id", "rid", "text", "spans"), run, "k1 long, k2 long, id long, rid int, s int"))
+    keys = scratch.keep(arrow_map(some.select("id", "rid", "text", "spans"), run, "k1 long, k2 long, id long, rid long, s int"))
     least = scratch.keep(keys.groupBy("k1", "k2").agg(F.min(F.struct("id", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = keys.join(least, ["k1", "k2"]).where(F.struct("id", "s") > F.col("first"))
-    return later.select("id", "rid", "s", F.lit(1).cast("byte").alias("c"))
+    return later.select("id", "rid", "s", F.lit(1).alias("c"))
 
 
 def repeats(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """Removed windows of docs (id, rid, text): rows (id, rid, s, c) for windows s .. s + c - 1."""
     twice = scratch.keep(anchors(docs, window).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     seeds = scratch.keep(anchors(docs, window).join(twice, "h"))
-    spans = scratch.keep(seeds.groupBy("h", "span").agg(F.min(F.struct("id", "s")).alias("first"), F.max("c").alias("c"), F.min("rid").alias("rid"), F.count("*").alias("n")))
+    spans = scratch.keep(seeds.groupBy("h", "span", "span2").agg(F.min(F.struct("id", "s")).alias("first"), F.count("*").alias("n")))
     several = scratch.keep(spans.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))
-    later = seeds.join(spans.where("n > 1").select("h", "span", "first"), ["h", "span"]).where(F.struct("id", "s") > F.col("first")).select("id", "rid", "s", "c")
-    firsts = seeds.join(spans.select("h", "span", "first"), ["h", "span"]).where(F.struct("id", "s") == F.col("first")).join(several, "h", "left_semi")
+    later = seeds.join(spans.where("n > 1").select("h", "span", "span2", "first"), ["h", "span", "span2"]).where(F.struct("id", "s") > F.col("first")).select("id", "rid", "s", "c")
+    firsts = seeds.join(spans.select("h", "span", "span2", "first"), ["h", "span", "span2"]).where(F.struct("id", "s") == F.col("first")).join(several, "h", "left_semi")
     doubtful = scratch.keep(firsts.select("id", "rid", "s", "c").distinct())
     found = scratch.keep(later.union(first_windows(docs, doubtful, window, scratch)))
     scratch.drop(twice, seeds, spans, several)
@@ -140,8 +142,10 @@ def cover(n: int, spans: pa.StructArray | None, window: int) -> np.ndarray:
 
 
 def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256), and kept_text if `texts`."""
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.hash(text_col).alias("rid"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    """(doc_id, n_words, n_removed, kept_sha256), and kept_text if `texts`; a window of one word or more."""
+    if window < 1:
+        raise ValueError("a window holds one word at least")
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     scratch = Scratch(docs.sparkSession, "substring")
     found = repeats(own.select("id", "rid", "text"), window, scratch)
     lists = scratch.keep(found.groupBy("id", "rid").agg(F.collect_list(F.struct("s", "c")).alias("spans")))

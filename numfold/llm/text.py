@@ -1,12 +1,16 @@
 """Vectorised words and hashes over the flat bytes of an Arrow string column.
 
 A word is a run of bytes outside space and \\t..\\r, which in UTF-8 is the same as
-`[^\\x20\\x09-\\x0D]+` over code points. Words and word sequences get 64-bit hashes:
-a polynomial over random byte values taken from prefix sums modulo 2^64, then mixed.
+`[^\\x20\\x09-\\x0D]+` over code points. A word has a keyed 128-bit hash in two halves: its
+length and its bytes, eight at a time, go through a non-linear mixer, so no two words of up
+to eight bytes share a half by construction of their bytes, and repeated halves (as those
+that defeat polynomials modulo 2^64) have no effect. Words over LONG bytes take a keyed
+cryptographic digest. Sequences of words combine both halves by independent random weights.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +21,14 @@ U = np.uint64
 CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-BYTE_LOWER = BYTE.copy()
-BYTE_LOWER[65:91] = BYTE[97:123]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASES = (0x9E3779B97F4A7C15 | 3, 0xD1B54A32D192ED03 | 3, 0x8CB92BA72F3D8DD7 | 3)
+LONG = 256
+_rng = np.random.Generator(np.random.PCG64(20240229))
+KEYS = _rng.integers(1, 2**63, 4, dtype=np.uint64) * U(2) + U(1)
+WEIGHTS = _rng.integers(1, 2**63, (2, 64), dtype=np.uint64) * U(2) + U(1)
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+BASES = (0xD1B54A32D192ED03 | 3, 0x8CB92BA72F3D8DD7 | 3)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -31,7 +36,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^0..n and its inverses modulo 2^64."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, CHUNK + 1)
+        size = max(n + 1, 1 << 18)
         pair = []
         for b in (base, pow(base, -1, 2**64)):
             steps = np.full(size, b, np.uint64)
@@ -51,6 +56,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the keyed hash of byte spans."""
+    lane = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    size = end - start
+    one, two = (KEYS[k] ^ (size.astype(np.uint64) * KEYS[k + 2]) for k in (0, 1))
+    open_ = np.flatnonzero(size <= LONG)
+    at, left = start[open_], size[open_]
+    while len(open_):
+        x = lane[at] & FIRST[np.minimum(left, 8)]
+        one[open_] = mix(one[open_] ^ x)
+        two[open_] = mix(two[open_] + x * KEYS[2])
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16, key=KEYS.tobytes()).digest()
+        one[i], two[i] = np.frombuffer(digest, np.uint64)
+    return one, two
+
+
 class Rolling:
     """Hash of any slice of a uint64 sequence from prefix sums."""
 
@@ -104,7 +128,7 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.at = np.searchsorted(self.start, self.off)
-        self.hash = Rolling((BYTE_LOWER if lower else BYTE)[self.data], BASES[0]).of(self.start, self.end)
+        self.hash, self.hash2 = span_hash(LOWER[self.data] if lower else self.data, self.start, self.end)
 
     @property
     def counts(self) -> np.ndarray:
@@ -113,15 +137,29 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.off) - 1), self.counts)
 
+    def grams(self, k: int) -> np.ndarray:
+        """Hash of the k words that begin at each word but the last k - 1, over document ends."""
+        n = max(len(self.hash) - k + 1, 0)
+        total = np.full(n, U(k))
+        for j in range(k):
+            total += self.hash[j : j + n] * WEIGHTS[0, j]
+            total += self.hash2[j : j + n] * WEIGHTS[1, j]
+        return mix(total)
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k-word shingles and offsets by document; a shorter document is one shingle."""
         n = self.counts
-        size = np.minimum(n, k)
         per = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
         so = np.zeros(len(n) + 1, np.int64)
         np.cumsum(per, out=so[1:])
         start = np.arange(so[-1]) - np.repeat(so[:-1] - self.at[:-1], per)
-        return Rolling(self.hash, BASES[1]).of(start, start + np.repeat(size, per)), so
+        whole = self.grams(k)
+        out = whole[np.minimum(start, len(whole) - 1)] if len(whole) else np.zeros(len(start), np.uint64)
+        for m in range(1, k):
+            short = np.flatnonzero(n == m)
+            if len(short):
+                out[so[short]] = self.grams(m)[self.at[short]]
+        return out, so
 
 
 def distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

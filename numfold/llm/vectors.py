@@ -27,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map
+from .common import Scratch, arrow_map, bounded_sample
 from .graph import components
-from .langid import bounded_sample
 
 LEADING, BLOCK, DIRECTORY, SAMPLE = 6, 1024, 65_536, 4096
 
