@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numfold.llm import bpe, decontaminate, langid, minhash, secrets
-from numfold.llm.common import Scratch
+from numfold.llm.common import Scratch, clear, mark
 from numfold.llm.queries import vocabulary
 
 BROADCAST_IDS = 1_000_000
@@ -23,17 +23,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the smallest id stays.
 
-    Of rows that share an id one stays; rows with a null id stay."""
+    Of rows that share an id the least one (by text, then the other columns) stays; rows with
+    a null id stay."""
     scratch = Scratch(spark, "near-dedup")
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
     found = scratch.keep(minhash.near_duplicates(docs, shingle=5, percent=80).where("doc_id is not null").select("doc_id", "kept"))
-    gone = scratch.keep(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    twice = scratch.keep(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__gone")))
+    gone = scratch.keep(found.where("not kept").select(F.col("doc_id").alias(name)).distinct())
+    twice = scratch.keep(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(name)))
     hint = F.broadcast if gone.count() <= BROADCAST_IDS else lambda x: x  # 8 bytes each
-    left = docs.join(hint(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    left = docs.join(hint(gone), docs["doc_id"] == F.col(name), "left_anti")
     if twice.isEmpty():
         return left
-    same = left["doc_id"] == F.col("__gone")
-    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    same = left["doc_id"] == F.col(name)
+    order = ["text", *(c for c in docs.columns if c != "text")]
+    least = left.join(twice, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*order)).alias(name)).select(f"{name}.*").select(*docs.columns)
+    return left.join(twice, same, "left_anti").union(least)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
+        since = mark()
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        clear(spark, since)  # the stage's own tables
     return STAGES[-1][1](spark, docs, sf_dir)
