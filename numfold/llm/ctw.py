@@ -9,10 +9,11 @@ of byte 0xFF and ends with one, which UTF-8 never holds; its score is the log10
 probability of all its bytes and that end, and bits_per_byte its code length.
 
 All (DEPTH + 1)-grams of all training texts are counted in one distributed aggregation and
-all of them make the tree; it grows with the input. The two bytes before a byte decide the
-bucket of its nodes of depth 2 and more, so a bucket holds whole subtrees, and two bytes
-have at most 2^24 grams below them. Only the nodes of depths 0 and 1 are brought
-together, 65,536 + 256 of them at most, and broadcast.
+all of them make the tree; it grows with the input. The SHALLOW + 1 bytes before a byte
+decide the bucket of its nodes deeper than SHALLOW, so a bucket holds whole subtrees, and a
+frequent pair of bytes spreads over many buckets. Only the nodes of depths 0 to SHALLOW are
+brought together and broadcast: at most 2^16 contexts with 255 nodes each, whatever the
+input, and some hundred thousand nodes for texts of a few scripts.
 
 Base: counts of all tokens of all training texts, in buckets by ranges of their hash.
 
@@ -40,17 +41,17 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map
 from .text import LOWER, U, Words, chunks, flat
 
-DEPTH = 4
+DEPTH = 5
 END = U(0x5851F42D4C957F2D)
-SHALLOW = 1
+SHALLOW = 2
 PIECE = 8 << 20
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 500_000
 LEAST_BUCKETS = 96
 ENTRIES = 2_000_000
 
 
 def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (DEPTH bytes of context, then the byte) of every byte and end, and their offsets."""
+    """Codes of every byte and end, and their offsets: DEPTH bytes of context, the nearest one on top, then the byte."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     at = offsets + (DEPTH + 1) * np.arange(n + 1)
@@ -59,22 +60,29 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     wide = line.astype(np.uint64)
     code = wide.copy()
     for k in range(1, DEPTH + 1):
-        code[k:] |= wide[:-k] << np.uint64(8 * k)
+        code[k:] |= wide[:-k] << np.uint64(8 * (DEPTH - k + 1))
     own = np.ones(len(line), bool)
     for k in range(DEPTH):
         own[at[:-1] + k] = False
     return code[own], offsets + np.arange(n + 1)
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after shifting the argument above 8."""
-    shift, y = np.zeros_like(x), x.copy()
-    for _ in range(8):
-        low = y < 8
-        shift[low] += np.log(y[low])
-        y[low] += 1
-    z = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z / 1260)) / y - shift
+def stirling(x: np.ndarray) -> np.ndarray:
+    """log gamma for arguments of 8 and more."""
+    z = 1 / (x * x)
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z / 1260)) / x
+
+
+KNOWN = 4096
+LOG_GAMMA = [np.array([math.lgamma(n + shift) for n in range(KNOWN)]) for shift in (0.5, 1.0)]
+
+
+def log_gamma(n: np.ndarray, which: int) -> np.ndarray:
+    """log gamma of n + 1/2 (0) or n + 1 (1) for whole numbers n."""
+    out = LOG_GAMMA[which][np.minimum(n, KNOWN - 1).astype(np.int64)]
+    big = np.flatnonzero(n >= KNOWN)
+    out[big] = stirling(n[big] + (0.5, 1.0)[which])
+    return out
 
 
 def decisions(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,14 +91,14 @@ def decisions(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return U(1 << level) | (byte >> U(8 - level)), (byte >> U(7 - level)) & U(1)
 
 
-def cut(context: np.ndarray, depth: int, node: np.ndarray) -> np.ndarray:
-    """Key of a node: the last `depth` bytes of the context, then the bits decided."""
-    return ((context & U((1 << 8 * depth) - 1)) << U(8)) | node
+def cut(code: np.ndarray, depth: int, node: np.ndarray) -> np.ndarray:
+    """Key of a node: the nearest `depth` bytes of the context, then the bits decided."""
+    return ((code >> U(8 * (DEPTH - depth + 1))) << U(8)) | node
 
 
 def weigh(n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of nodes: log probability of their mixture, KT probability of bit 1, weight of stopping."""
-    own = log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - math.log(math.pi)
+    own = log_gamma(n0, 0) + log_gamma(n1, 0) - log_gamma(n0 + n1, 1) - math.log(math.pi)
     one = ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)
     if below is None:
         return own, one, np.ones(len(own), np.float32)
@@ -98,28 +106,42 @@ def weigh(n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> tuple[np.
     return both, one, np.exp(own + math.log(0.5) - both).astype(np.float32)
 
 
-def summed(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(at, x, n).astype(np.float64)  # bincount of nothing is of integers
-
-
-def lift(keys: np.ndarray, depth: int, *sums: np.ndarray) -> list[np.ndarray]:
-    """Parents at `depth` of sorted nodes one deeper, and sums over their children."""
-    up, at = np.unique(cut(keys >> U(8), depth, keys & U(255)), return_inverse=True)
-    return [up, *(summed(at, x, len(up)) for x in sums)]
+class Subtrees:
+    """Nodes deeper than SHALLOW of some grams, sorted and distinct, with their counts.
 
+    A depth's rows are its distinct (context, byte), in order, so that the nodes of a level
+    are runs of rows; `up` says which row of the next smaller depth a row belongs to."""
 
-def deep(grams: np.ndarray, counts: np.ndarray, level: int) -> tuple[list, list[np.ndarray]]:
-    """One level's layers (keys, KT of bit 1, stopping) of depths SHALLOW + 1 to DEPTH, and
-    (keys, n0, n1, log probability of the children) of depth SHALLOW."""
-    node, bit = decisions(grams, level)
-    keys, at = np.unique(cut(grams >> U(8), DEPTH, node), return_inverse=True)
-    n1 = summed(at, counts * bit, len(keys))
-    n0, below, layers = summed(at, counts, len(keys)) - n1, None, []
-    for depth in range(DEPTH, SHALLOW, -1):
-        value, one, stop = weigh(n0, n1, below)
-        layers.insert(0, (keys, one, stop))
-        keys, n0, n1, below = lift(keys, depth - 1, n0, n1, value)
-    return layers, [keys, n0, n1, below]
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.rows, self.up = {DEPTH: (grams, counts.astype(np.int64))}, {}
+        for depth in range(DEPTH - 1, SHALLOW - 1, -1):
+            keys, counts = self.rows[depth + 1]
+            shorter, at = np.unique(((keys >> U(16)) << U(8)) | (keys & U(255)), return_inverse=True)
+            self.up[depth + 1] = at
+            self.rows[depth] = shorter, np.bincount(at, counts, len(shorter)).astype(np.int64)
+
+    def level(self, level: int) -> tuple[list, list[np.ndarray]]:
+        """Layers (keys, KT of bit 1, stopping) of depths SHALLOW + 1 to DEPTH, and
+        (keys, n0, n1, log probability of the children) of depth SHALLOW."""
+        layers, value, begin = [], None, None
+        for depth in range(DEPTH, SHALLOW - 1, -1):
+            keys, counts = self.rows[depth]
+            node, bit = decisions(keys, level)
+            lead = keys >> U(8 - level)
+            new = np.ones(len(keys), bool)
+            new[1:] = lead[1:] != lead[:-1]
+            start = np.flatnonzero(new)
+            total = np.add.reduceat(counts, start) if len(start) else counts
+            n1 = np.add.reduceat(np.where(bit == 1, counts, 0), start) if len(start) else counts
+            below = None
+            if value is not None:
+                below = np.bincount((np.cumsum(new) - 1)[self.up[depth + 1][begin]], value, len(start)).astype(np.float64)
+            names = ((keys >> U(8)) << U(8) | node)[start]
+            if depth == SHALLOW:
+                return layers, [names, (total - n1).astype(np.float64), n1.astype(np.float64), below]
+            value, one, stop = weigh(total - n1, n1, below)
+            layers.insert(0, (names, one, stop))
+            begin = start
 
 
 def shallow(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> list:
@@ -129,24 +151,27 @@ def shallow(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray)
         value, one, stop = weigh(n0, n1, below)
         layers.insert(0, (keys, one, stop))
         if depth:
-            keys, n0, n1, below = lift(keys, depth - 1, n0, n1, value)
+            shorter, at = np.unique(((keys >> U(16)) << U(8)) | (keys & U(255)), return_inverse=True)
+            n0, n1, below = (np.bincount(at, x, len(shorter)).astype(np.float64) for x in (n0, n1, value))
+            keys = shorter
     return layers
 
 
 def chance(layers: list, grams: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Probability of bit 1 after the contexts of codes and the bits decided."""
     left, p, here = np.ones(len(grams)), np.zeros(len(grams)), np.full(len(grams), 0.5)
-    seen = np.ones(len(grams), bool)
+    seen = np.arange(len(grams))
     for depth, (keys, one, stop) in enumerate(layers):
-        if not len(keys):
+        if not len(keys) or not len(seen):
             break
-        key = cut(grams >> U(8), depth, node)
+        key = cut(grams[seen], depth, node[seen])
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        seen &= keys[at] == key
-        here = np.where(seen, one[at], here)
-        weight = np.where(seen, stop[at], 0.0)
-        p += left * weight * here
-        left *= 1 - weight
+        found = keys[at] == key
+        seen, at = seen[found], at[found]
+        here[seen] = one[at]
+        share = left[seen] * stop[at]
+        p[seen] += share * here[seen]
+        left[seen] -= share
     return p + left * here
 
 
@@ -161,10 +186,11 @@ def log10_of(grams: np.ndarray, layers_of) -> np.ndarray:
 
 
 class ContextTree:
-    """A whole tree in memory, of grams and their counts."""
+    """A whole tree in memory, of grams (sorted, distinct) and their counts."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        parts = [deep(grams, counts, level) for level in range(8)]
+        trees = Subtrees(grams, counts)
+        parts = [trees.level(level) for level in range(8)]
         tops = [np.concatenate(x) for x in zip(*(top for _, top in parts), strict=True)]
         order = np.argsort(tops[0])
         top = shallow(*(x[order] for x in tops))
@@ -213,15 +239,15 @@ def token_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def gram_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
-    """By the two bytes before the last one, which are the same for all nodes of a subtree."""
-    return ((((grams >> U(8)) & U(0xFFFF)) * U(40503) & U(0xFFFF)) * U(buckets) >> U(16)).astype(np.int64)
+    """By the SHALLOW + 1 bytes before the last one, which are the same for all nodes of a subtree."""
+    return ((((grams >> U(8 * (DEPTH - SHALLOW))) & U(0xFFFFFF)) * U(10368889) & U(0xFFFFFF)) * U(buckets) >> U(24)).astype(np.int64)
 
 
 def bucket_column(buckets: tuple[int, int]) -> Column:
     """token_bucket() and gram_bucket() of (kind, key)."""
     token = F.floor(F.shiftrightunsigned("key", 32) * buckets[0] / F.lit(2**32))
-    pair = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)) * 40503
-    gram = F.shiftright(pair.bitwiseAND(F.lit(0xFFFF)) * buckets[1], 16) + buckets[0]
+    context = F.shiftright("key", 8 * (DEPTH - SHALLOW)).bitwiseAND(F.lit(0xFFFFFF)) * 10368889
+    gram = F.shiftright(context.bitwiseAND(F.lit(0xFFFFFF)) * buckets[1], 24) + buckets[0]
     return F.when(F.col("kind") == 0, token).otherwise(gram).cast("int")
 
 
@@ -280,10 +306,17 @@ def packed(docs: DataFrame, buckets: tuple[int, int]) -> DataFrame:
     return arrow_map(docs, run, "chunk long, bucket int, n long, body binary")
 
 
+def of_bucket(model: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one bucket, sorted, and their counts."""
+    keys, c = model["key"].to_numpy().view(np.uint64), model["c"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], c[order]
+
+
 def tops(model: pa.Table) -> pa.Table:
     """(key, n0, n1, below) of depth SHALLOW from one bucket's grams."""
-    grams, counts = model["key"].to_numpy().view(np.uint64), model["c"].to_numpy()
-    keys, *sums = (np.concatenate(x) for x in zip(*(deep(grams, counts, level)[1] for level in range(8)), strict=True))
+    trees = Subtrees(*of_bucket(model))
+    keys, *sums = (np.concatenate(x) for x in zip(*(trees.level(level)[1] for level in range(8)), strict=True))
     return pa.table({"key": pa.array(keys.view(np.int64)), **{name: pa.array(x) for name, x in zip(("n0", "n1", "below"), sums, strict=True)}})
 
 
@@ -291,15 +324,14 @@ def answer(sent, token_buckets: int):
     """For each chunk that asks a bucket: counts of its tokens (int64) or log10 probabilities of its grams (float32)."""
 
     def run(requests: pa.Table, model: pa.Table) -> pa.Table:
-        keys, c = model["key"].to_numpy().view(np.uint64), model["c"].to_numpy()
-        order = np.argsort(keys)
-        keys, c = keys[order], c[order]
+        keys, c = of_bucket(model)
         asked = [grown(b) for b in requests["body"].to_pylist()]
         every, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *asked]), return_inverse=True)
         if not asked:
             values = np.zeros(0)
         elif requests["bucket"][0].as_py() >= token_buckets:
-            values = log10_of(every, lambda level: sent.value + deep(keys, c, level)[0]).astype(np.float32)
+            trees = Subtrees(keys, c)
+            values = log10_of(every, lambda level: sent.value + trees.level(level)[0]).astype(np.float32)
         elif len(keys):
             place = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
             values = np.where(keys[place] == every, c[place], 0).astype(np.int64)
@@ -351,10 +383,10 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     sizes = {kind: (total, many) for kind, total, many in counts.groupBy("kind").agg(F.sum("c"), F.count("*")).collect()}
     n_all, distinct = sizes.get(0, (0, 0))
     least = [max(LEAST_BUCKETS, math.ceil(sizes.get(kind, (0, 0))[1] / BUCKET_KEYS)) for kind in (0, 1)]
-    buckets = least[0], min(least[1], 1 << 16)
+    buckets = least[0], min(least[1], 1 << 24)
     model = counts.select("kind", bucket_column(buckets).alias("bucket"), "key", "c")
     below = model.where("kind = 1").groupBy("bucket").applyInArrow(tops, "key long, n0 double, n1 double, below double")
-    # at most 255 nodes for each byte
+    # bounded by the number of pairs of bytes, not by the input
     first = below.groupBy("key").agg(*(F.sum(x).alias(x) for x in ("n0", "n1", "below"))).orderBy("key").toArrow()
     sent = spark.sparkContext.broadcast(shallow(first["key"].to_numpy().view(np.uint64), *(first[x].to_numpy() for x in ("n0", "n1", "below"))))
     rows = scratch.keep(packed(own, buckets))

@@ -6,11 +6,13 @@ by its class log-count ratio; the scaled vector, brought to unit length, feeds a
 hinge-loss model fitted by dual coordinate descent and interpolated with its mean weight.
 A logistic curve fitted on rows kept out of the fit turns margins into probabilities.
 
-The fit uses a bounded sample: about `sample_rows` labelled rows, chosen by a hash of the
-id; their features are all the driver holds. Label rows with null quality or without a
-document are left out; a repeated label row counts once more.
+The fit uses a bounded sample: about `sample_rows` distinct labels, chosen by a hash of id
+and label, and about twice as many distinct texts at most; their features are all the driver
+holds. Label rows with null quality or null id, or without a document, are left out; a
+repeated label row or document counts once, contradicting labels once each.
 
-Defined results: null and empty texts have no feature and get the curve's value at the
+Defined results: an empty table gives no rows; a null id is scored like any other and never
+trains; null and empty texts have no feature and get the curve's value at the
 bias alone; without any labelled row every score is 0.5; with one class only, scores come
 from the prior.
 """
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, id_text
+from .common import Scratch, arrow_map, bounded_sample, id_text
 from .text import U, Words, chunks, flat, mix
 
 BITS = 18
@@ -67,22 +69,20 @@ class Features:
 
 
 def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L2-regularised squared hinge loss, with a bias of value 1."""
+    """Dual coordinate descent for the L2-regularised hinge loss, with a bias of value 1: each dual value stays between 0 and `cost`."""
     w, bias = np.zeros(SIZE), 0.0
     alpha = np.zeros(len(rows))
-    diagonal = 0.5 / cost
-    norms = np.array([v @ v + 1.0 for v in values]) + diagonal
+    norms = np.array([v @ v + 1.0 for v in values])
     order = np.random.Generator(np.random.PCG64(7))
     for _ in range(rounds):
         for i in order.permutation(len(rows)).tolist():
             f, v = rows[i], values[i]
-            grad = y[i] * (w[f] @ v + bias) - 1 + diagonal * alpha[i]
-            if alpha[i] > 0 or grad < 0:
-                step = max(alpha[i] - grad / norms[i], 0.0) - alpha[i]
-                if step:
-                    alpha[i] += step
-                    w[f] += step * y[i] * v
-                    bias += step * y[i]
+            grad = y[i] * (w[f] @ v + bias) - 1
+            step = min(max(alpha[i] - grad / norms[i], 0.0), cost) - alpha[i]
+            if step:
+                alpha[i] += step
+                w[f] += step * y[i] * v
+                bias += step * y[i]
     return w, bias
 
 
@@ -142,9 +142,11 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6000) -> Model:
-    known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).where("label is not null and doc_id is not null")
-    sample = bounded_sample(known, sample_rows, "doc_id")
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # sample_rows bounds it
+    scratch = Scratch(docs.sparkSession, "quality")
+    known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).where("label is not null and doc_id is not null").distinct()
+    sample = bounded_sample(scratch.keep(known), sample_rows, "doc_id", "label")
+    rows = scratch.keep(id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").distinct())  # sample_rows bounds what is broadcast
+    rows = bounded_sample(rows, 2 * sample_rows, "doc_id", "label", "text")  # an id may have many texts
 
     def run(batch: pa.RecordBatch):
         found = [f.tobytes() for f in Features().of(*flat(batch.column(1)))]

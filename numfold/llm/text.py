@@ -102,13 +102,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])), offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with about `limit` bytes; always whole documents."""
+def chunks(offsets: np.ndarray, limit: int = CHUNK, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `rows` documents with about `limit` bytes; always whole documents."""
     n, lo = len(offsets) - 1, 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, lo + rows)
+        yield lo, hi
+        lo = hi
 
 
 class Words:

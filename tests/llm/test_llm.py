@@ -1,16 +1,19 @@
 """Pipeline operators against brute force on small fixtures with odd rows."""
 
 import base64
+import gzip
 import hashlib
+import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from numfold.llm import bpe, ctw, decontaminate, langid, minhash, quality, secrets, substring, vectors, warc
+from numfold.llm import bpe, common, ctw, decontaminate, langid, minhash, quality, secrets, substring, vectors, warc
 from numfold.llm.queries import vocabulary
 
 rng = np.random.default_rng(11)
@@ -153,6 +156,10 @@ def test_language(spark):
     got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()}
     assert [got[i].lang_pred for i in range(5)] == ["en", "de", "und", "und", "und"]
     assert all(0 <= r.score <= 1 for r in got.values())
+    more = [(0, "h²o"), (1, "the\u0301 the"), (2, "the " * 300_000 + "der"), (None, "und")]
+    seen = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame([(*r, "z") for r in more], "doc_id long, text string, lang_pred string"), model).collect()}
+    assert seen[0][0] != "und" and seen[1][0] == "en" and seen[2] == ("en", 1.0) and seen[None][0] == "de"
+    assert langid.predict(empty(spark), model).count() == 0 and langid.recognised(empty(spark), model).count() == 0
     blank = langid.fit(empty(spark))
     assert {r.lang_pred for r in langid.predict(spark.createDataFrame(odd, "doc_id long, text string"), blank).collect()} == {"und"}
 
@@ -197,41 +204,197 @@ def test_context_tree(spark, docs, texts, monkeypatch):
 
 
 def test_tree_is_a_distribution():
-    data = np.frombuffer(b"the cat sat on the mat", np.uint8)
+    data = np.frombuffer(b"the cat sat on the mat. the cat sat.", np.uint8)
     tree = ctw.ContextTree(*np.unique(ctw.codes(data, np.array([0, len(data)]))[0], return_counts=True))
-    context = int.from_bytes(b"the ", "big") << 8
+    context = int.from_bytes(b" the "[-ctw.DEPTH :][::-1], "big") << 8
     p = 10 ** tree.score(np.arange(256, dtype=np.uint64) + np.uint64(context))
     assert p.sum() == pytest.approx(1.0, abs=1e-4) and p[ord("c")] > 10 / 256
 
 
-def test_warc(spark):
+def textbook_tree(texts, depth):
+    """Probability of a byte after a context, by the definition: one node a context and decided bits, weights by recursion."""
+    counts = {}
+    for t in texts:
+        line = b"\xff" * depth + t + b"\xff"
+        for p in range(depth, len(line)):
+            for d in range(depth + 1):
+                for n in range(8):
+                    bits = format(line[p], "08b")
+                    counts.setdefault((line[p - d : p], bits[:n]), [0, 0])[int(bits[n])] += 1
+    children = {}
+    for context, bits in counts:
+        if context:
+            children.setdefault((context[1:], bits), []).append((context, bits))
+    known = {}
+
+    def own(node):
+        a, b = counts[node]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - 2 * math.lgamma(0.5)
+
+    def weighted(node):
+        if node not in known:
+            if len(node[0]) == depth:
+                known[node] = own(node)
+            else:
+                known[node] = math.log(0.5) + float(np.logaddexp(own(node), sum(map(weighted, children[node]))))
+        return known[node]
+
+    def one(context, bits):
+        left, p, here = 1.0, 0.0, 0.5
+        for d in range(depth + 1):
+            node = (context[len(context) - d :], bits)
+            if node not in counts:
+                break
+            a, b = counts[node]
+            here = (b + 0.5) / (a + b + 1)
+            stop = 1.0 if d == depth else math.exp(own(node) + math.log(0.5) - weighted(node))
+            p, left = p + left * stop * here, left * (1 - stop)
+        return p + left * here
+
+    def score(t):
+        line, total = b"\xff" * depth + t + b"\xff", 0.0
+        for p in range(depth, len(line)):
+            bits = format(line[p], "08b")
+            for n in range(8):
+                x = one(line[p - depth : p], bits[:n])
+                total += math.log10(x if bits[n] == "1" else 1 - x)
+        return total
+
+    return score
+
+
+def test_context_tree_by_its_definition(spark):
+    texts = ["The cat sat on the mat", "a cat", "the the the", "", None, "ÀÉ cat " * 5, "on the mat sat the cat", "zebra"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    low = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()) for t in texts]
+    want = textbook_tree([t for i, t in enumerate(low) if i % 4 != 3], ctw.DEPTH)
+    for r in ctw.score(docs, F.col("doc_id") % 4 != 3).collect():
+        assert r.score == pytest.approx(want(low[r.doc_id]), rel=1e-5), texts[r.doc_id]
+
+
+def test_warc(spark, monkeypatch):
     rows = [(1, "http://a.example.com/x", "p"), (2, "http://b.example.com/", "p"), (3, None, None), (4, "bad url\n[", ""), (5, "http://a.example.com/x", "q" * 5000), (5, "http://a.example.com/x", "q" * 5000), (None, "http://n/", "p")]
+    monkeypatch.setattr(warc, "LINES", 2)
+    monkeypatch.setattr(warc, "SHARD", 3)
+    before = common.mark()
     got = warc.archive(spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string").repartition(3)).collect()
+    root = common._roots[before]
     want = []
     for p, _, h in rows:
         last = max(x[0] for x in rows if x[0] is not None and (x[2] or "") == (h or ""))
         revisit = p is not None and p != last
         want.append((str(p), len(h or ""), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "revisit" if revisit else "response", last if revisit else None))
     assert sorted(((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+    whole = [gzip.decompress(p.read_bytes()) for p in sorted(Path(re.sub("^file:", "", root)).glob("warc/*.warc.gz"))]
+    kinds, names = Counter(), set()
+    for raw in whole:  # a reader of its own: header lines, then as many bytes as they say
+        at = 0
+        while at < len(raw):
+            head, rest = raw[at:].split(b"\r\n\r\n", 1)
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            assert head.startswith(b"WARC/1.1") and fields["WARC-Record-ID"].startswith("<urn:uuid:")
+            size = int(fields["Content-Length"])
+            assert rest[size : size + 4] == b"\r\n\r\n"
+            if fields["WARC-Type"] == "response":
+                payload = rest[:size].split(b"\r\n\r\n", 1)[1]
+                assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                names.add(fields["WARC-Record-ID"])
+            kinds[fields["WARC-Type"]] += 1
+            at += len(head) + 4 + size + 4
+    assert kinds["warcinfo"] == len(whole) and kinds["response"] + kinds["revisit"] == len(rows)
     assert warc.surt("https://A.Example.com:81/x?y=1#z") == "com,example,a:81)/x?y=1"
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def vector_links(rows, threshold):
+    """Links and components by definition; rows (id, vector, label), where a null id is a vector like any other."""
+    sound = [k for k, (_, v, lab) in enumerate(rows) if lab is not None and v and any(x for x in v if x is not None) and all(x is not None and math.isfinite(x) for x in v)]
+    up, links = list(range(len(rows))), Counter()
+    for a in sound:
+        for b in sound:
+            (_, u, p), (_, w, q) = rows[a], rows[b]
+            if a != b and p == q and len(u) == len(w) and np.dot(u, w) / np.linalg.norm(u) / np.linalg.norm(w) >= threshold:
+                links[a] += 1
+                s, t = up[a], up[b]
+                up = [min(s, t) if r in (s, t) else r for r in up]
+    out = []
+    for k, (i, _, _) in enumerate(rows):
+        comp = min((rows[j][0] for j in range(len(rows)) if up[j] == up[k] and rows[j][0] is not None), default=None)
+        out.append((i, links[k], comp, i == comp))
+    return sorted(out, key=str)
+
+
 def test_vectors(spark):
     base = rng.normal(size=(6, 8))
     x = [(base[i % 6] + rng.normal(size=8) * 0.12 * (i % 4)).tolist() for i in range(160)]
+    big = 2**63 - 1
     rows = [(i, v, i % 2) for i, v in enumerate(x)] + [(200, x[0], 0), (201, None, 0), (202, [0.0] * 8, 0), (203, [float("nan")] * 8, 0), (204, x[0], None), (205, [], 0), (206, [None] + x[0][1:], 0), (207, [2 * a for a in x[0]], 0)]
-    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, rep int").repartition(4)).collect()}
-    sound = [(i, np.array(v), lab) for i, v, lab in rows if i not in range(201, 207)]
-    up = {i: i for i, *_ in rows}
-    links = Counter()
-    for a, u, p in sound:
-        for b, w, q in sound:
-            if a != b and p == q and u @ w / np.linalg.norm(u) / np.linalg.norm(w) >= 0.93:
-                links[a] += 1
-                s, t = up[a], up[b]
-                up = {k: min(s, t) if r in (s, t) else r for k, r in up.items()}
-    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (links[i], up[i], up[i] == i) for i in up}
+    rows += [(None, x[0], 0), (None, [1.0] + [0.0] * 7, 7), (big, x[1], 1), (-big - 1, x[2], 0), (3, x[8], 0), (208, x[0][:5], 0)]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, rep int").repartition(4)
+    for block in (1024, 16):
+        got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(frame, block=block).collect()]
+        assert sorted(got, key=str) == vector_links(rows, 0.93)
+    assert vectors.near_duplicates(frame.limit(0)).count() == 0
+    assert vectors.near_duplicates(frame.where("embedding is null")).collect()[0].kept
+
+
+def test_distant_blocks_are_skipped(spark):
+    base = rng.normal(size=(40, 24))
+    rows = [(i, (base[i % 40] + rng.normal(size=24) * 0.02).tolist(), 1) for i in range(1600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    scratch = vectors.Scratch(spark, "test")
+    _, _, kept = vectors.grid_order(frame, 0.93, "vec_id", "embedding", "label", 20, scratch)
+    n = kept.count()
+    pairs = vectors.near_blocks(kept, vectors.epsilon(0.93), scratch)
+    assert pairs.count() < 0.2 * n * (n + 1) / 2 and pairs.where("i > j").isEmpty() and pairs.distinct().count() == pairs.count()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(frame, block=20).collect()}
+    assert got == {i: (39, i % 40) for i in range(1600)}
+
+
+def test_ids_at_the_ends(spark):
+    text = [" ".join(words(60)) for _ in range(4)]
+    ids = [2**63 - 1 - i for i in range(8)] + [-(2**63) + i for i in range(8)]
+    frame = spark.createDataFrame([(i, text[k % 4]) for k, i in enumerate(ids)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame).collect()}
+    assert got == {i: min(j for m, j in enumerate(ids) if m % 4 == k % 4) for k, i in enumerate(ids)}
+
+
+def test_words_of_one_repeated_pattern(spark):
+    """Words that a polynomial modulo 2^64 cannot tell apart (Thue-Morse), and windows of other lengths."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    from numfold.llm.text import Words, flat
+
+    w = Words(*flat(pa.array([f"{a} {b} {a}"])), 0, 1, lower=True)
+    assert w.hash[0] != w.hash[1] and w.hash2[0] != w.hash2[1] and w.hash[0] == w.hash[2]
+    tail = " ".join(words(40))
+    frame = spark.createDataFrame([(1, f"{a} {tail}"), (2, f"{b} {tail[:30]}"), (3, f"{a} {tail}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.dedup(frame).collect()} == {1: 0, 2: 0, 3: 41}
+    long = spark.createDataFrame([(1, " ".join(map(str, range(400)))), (2, " ".join(map(str, range(400))))], "doc_id long, text string")
+    for window in (1, 4, 6, 200):
+        assert {r.doc_id: r.n_removed for r in substring.dedup(long, window).collect()} == {1: 0, 2: 400}, window
+    with pytest.raises(ValueError):
+        substring.dedup(long, 0)
+
+
+def test_a_bucket_of_several_components(spark, monkeypatch):
+    """Round 2 alone: a bucket's largest component against others, in small blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    base = words(100)
+    rows = []
+    for k in range(24):
+        for m in range(4):
+            rows.append((len(rows), " ".join([*base[:80], *(f"g{k}x{i}" if i < 10 else base[80 + i] for i in range(18)), *(f"d{m}",) * (m % 2)])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t, 2) for _, t in rows]
+    up = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = up[a], up[b]
+                up = [min(x, y) if u in (x, y) else u for u in up]
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame, 2).collect()} == dict(enumerate(up))
 
 
 def test_pipeline_stages(spark):
