@@ -15,6 +15,12 @@ def at(a: Column, m: int, i: int | Column, j: int | Column) -> Column:
     return F.get(a, (F.lit(j) * m + F.lit(i)).cast("int")) if isinstance(i, Column) or isinstance(j, Column) else a[j * m + i]
 
 
+def bound(f: Callable[..., Column], *columns: Column) -> Column:
+    """f of columns that are evaluated once, however often f names them."""
+    one = F.array(F.struct(*(c.alias(f"c{k}") for k, c in enumerate(columns))))
+    return F.transform(one, lambda s: f(*(s[f"c{k}"] for k in range(len(columns)))))[0]
+
+
 def from_fn(m: int, n: int, f: Callable[[Column, Column], Column]) -> Column:
     """Column-major matrix of f(row, column)."""
     return F.transform(F.sequence(F.lit(0), F.lit(m * n - 1)), lambda k: f(k % m, F.floor(k / m).cast("int")))
@@ -25,7 +31,37 @@ def identity(n: int) -> Column:
 
 
 def transpose(a: Column, m: int, n: int) -> Column:
-    return from_fn(n, m, lambda i, j: at(a, m, j, i))
+    return bound(lambda a: from_fn(n, m, lambda i, j: at(a, m, j, i)), a)
+
+
+def filled(m: int, n: int, value: float | Column = 0.0) -> Column:
+    return F.array_repeat(F.lit(value), m * n)
+
+
+def from_rows(rows: list[list[Column]]) -> Column:
+    """Column-major matrix of rows of entries."""
+    if len({len(r) for r in rows}) > 1:
+        raise ValueError("rows differ in length")
+    return F.array(*(r[j] for j in range(len(rows[0])) for r in rows))
+
+
+def is_square(m: int, n: int) -> bool:
+    return m == n
+
+
+def cast(a: Column, kind: str) -> Column:
+    """Entries as another numeric type; integers take what stands before the point."""
+    return a.cast(f"array<{kind}>")
+
+
+def with_at(a: Column, m: int, i: int, j: int, value: Column) -> Column:
+    """The matrix with one entry replaced."""
+    return F.transform(a, lambda x, k: F.when(k == j * m + i, value).otherwise(x))
+
+
+def columns(a: Column, m: int, n: int) -> Column:
+    """The columns as an array of arrays."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.slice(a, j * m + 1, m))
 
 
 def diag(a: Column, m: int, n: int) -> Column:
@@ -40,6 +76,11 @@ def block(a: Column, m: int, i0: int, j0: int, p: int, q: int) -> Column:
     return from_fn(p, q, lambda i, j: at(a, m, i + i0, j + j0))
 
 
+def corner(a: Column, m: int, n: int, p: int, q: int, bottom: bool = False, right: bool = False) -> Column:
+    """A p x q block in a corner; p = m or q = n gives edge rows or columns."""
+    return block(a, m, m - p if bottom else 0, n - q if right else 0, p, q)
+
+
 def set_block(a: Column, m: int, n: int, b: Column, i0: int, j0: int, p: int, q: int) -> Column:
     inside = lambda i, j: (i >= i0) & (i < i0 + p) & (j >= j0) & (j < j0 + q)
     return from_fn(m, n, lambda i, j: F.when(inside(i, j), at(b, p, i - i0, j - j0)).otherwise(at(a, m, i, j)))
@@ -65,9 +106,19 @@ def set_row(a: Column, m: int, n: int, i0: int, values: Column) -> Column:
     return from_fn(m, n, lambda i, j: F.when(i == i0, F.get(values, j)).otherwise(at(a, m, i, j)))
 
 
+def set_col(a: Column, m: int, n: int, j0: int, values: Column) -> Column:
+    return F.concat(*([F.slice(a, 1, j0 * m)] if j0 else []), F.slice(values, 1, m), *([F.slice(a, (j0 + 1) * m + 1, (n - 1 - j0) * m)] if j0 < n - 1 else []))
+
+
 def matmul(a: Column, b: Column, m: int, k: int, n: int) -> Column:
-    terms = F.sequence(F.lit(0), F.lit(k - 1))
-    return from_fn(m, n, lambda i, j: F.aggregate(terms, F.lit(0.0), lambda s, t: s + at(a, m, i, t) * at(b, k, t, j)))
+    """Product of m x k and k x n; rows of the first and columns of the second are cut once."""
+
+    def product(a: Column, b: Column) -> Column:
+        lines = columns(transpose(a, m, k), k, m)
+        inner = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+        return bound(lambda lines: F.flatten(F.transform(columns(b, k, n), lambda y: F.transform(lines, lambda x: inner(x, y)))), lines)
+
+    return bound(product, a, b)
 
 
 def kronecker(a: Column, m: int, n: int, b: Column, p: int, q: int) -> Column:
@@ -91,11 +142,14 @@ def trace(a: Column, m: int, n: int) -> Column:
 
 
 def is_symmetric(a: Column, n: int) -> Column:
-    out = F.lit(True)
-    for i in range(n):
-        for j in range(i):
-            out = out & (a[j * n + i] == a[i * n + j])
-    return out
+    def test(a: Column) -> Column:
+        out = F.lit(True)
+        for i in range(n):
+            for j in range(i):
+                out = out & (a[j * n + i] == a[i * n + j])
+        return out
+
+    return bound(test, a)
 
 
 def frobenius(a: Column) -> Column:
@@ -115,35 +169,44 @@ def norm_one(a: Column, m: int, n: int) -> Column:
 def det(a: Column, n: int) -> Column:
     """Determinant by cofactors, n up to 4."""
 
-    def minor(rows: tuple[int, ...], cols: tuple[int, ...]) -> Column:
+    def minor(a: Column, rows: tuple[int, ...], cols: tuple[int, ...]) -> Column:
         if len(rows) == 1:
             return a[cols[0] * n + rows[0]]
         out = None
         for k, j in enumerate(cols):
-            term = a[j * n + rows[0]] * minor(rows[1:], cols[:k] + cols[k + 1 :])
+            term = a[j * n + rows[0]] * minor(a, rows[1:], cols[:k] + cols[k + 1 :])
             out = term if out is None else (out + term if k % 2 == 0 else out - term)
         return out
 
-    return minor(tuple(range(n)), tuple(range(n)))
+    return bound(lambda a: minor(a, tuple(range(n)), tuple(range(n))), a)
 
 
-def cofactor(a: Column, n: int, i: int, j: int) -> Column:
-    rest = F.array(*(a[c * n + r] for c in range(n) if c != j for r in range(n) if r != i))
-    value = det(rest, n - 1) if n > 1 else F.lit(1.0)
-    return value if (i + j) % 2 == 0 else -value
+def solve(a: Column, b: Column, n: int, eps: float = 2.220446049250313e-16) -> Column:
+    """Solution of a x = b by elimination with the largest pivot of each column; null if a pivot is under eps (absolute).
 
+    The state of the fold is the list of rows (with b), so a step's work is written once."""
+    rows = bound(lambda a, b: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.get(a, (j * n + i).cast("int"))), F.array(F.get(b, i)))), a, b)
 
-def inverse(a: Column, n: int, eps: float = 2.220446049250313e-16) -> Column:
-    """Adjugate inverse, n up to 4; null if the determinant is under eps (absolute)."""
-    d = det(a, n)
-    return F.when(F.abs(d) >= eps, F.array(*(ieee_div(cofactor(a, n, j, i), d) for j in range(n) for i in range(n))))
+    def step(rows: Column, k: Column) -> Column:
+        size = F.transform(rows, lambda r, i: F.when(i >= k, F.abs(F.get(r, k))).otherwise(-1.0))
+        place = (F.array_position(size, F.array_max(size)) - 1).cast("int")
 
+        def eliminate(place: Column) -> Column:
+            top = F.get(rows, place)
+            swapped = F.transform(rows, lambda r, i: F.when(i == k, top).when(i == place, F.get(rows, k)).otherwise(r))
+            clear = lambda r, i: F.when(i == k, r).otherwise(F.zip_with(r, top, lambda x, y: x - y * ieee_div(F.get(r, k), F.get(top, k))))
+            return F.when(F.abs(F.get(top, k)) >= eps, F.transform(swapped, clear))
 
-def solve(a: Column, b: Column, n: int, eps: float = 2.220446049250313e-16) -> Column:
-    """Solution of a x = b by Cramer's rule, n up to 4; null if singular."""
-    d = det(a, n)
-    replaced = lambda k: F.concat(*(F.slice(b, 1, n) if j == k else F.slice(a, j * n + 1, n) for j in range(n)))
-    return F.when(F.abs(d) >= eps, F.array(*(ieee_div(det(replaced(k), n), d) for k in range(n))))
+        return bound(eliminate, place)
+
+    finish = lambda rows: F.transform(rows, lambda r, i: ieee_div(F.get(r, F.lit(n)), F.get(r, i)))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), rows, step, finish)
+
+
+def inverse(a: Column, n: int, eps: float = 2.220446049250313e-16) -> Column:
+    """Inverse, column by column; null if singular."""
+    unit = lambda j: F.array(*(F.lit(1.0 if i == j else 0.0) for i in range(n)))
+    return bound(lambda a: F.when(solve(a, unit(0), n, eps).isNotNull(), F.concat(*(solve(a, unit(j), n, eps) for j in range(n)))), a)
 
 
 def cholesky(a: Column, n: int) -> Column:

@@ -16,8 +16,8 @@ LANCZOS_G = 7.0
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
 
-def lgamma(x: Column) -> Column:
-    """log |gamma(x)| for x > 0."""
+def lanczos(x: Column) -> Column:
+    """log gamma for x of 1/2 and more."""
     z = x - 1
     series = F.lit(LANCZOS[0])
     for k, c in enumerate(LANCZOS[1:], 1):
@@ -26,8 +26,31 @@ def lgamma(x: Column) -> Column:
     return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(series)
 
 
+def stirling(x: Column) -> Column:
+    """log gamma for large x."""
+    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x)
+
+
+INFINITE, NAN = float("inf"), float("nan")
+
+
+def lgamma(x: Column) -> Column:
+    """log |gamma(x)|: by reflection below 1/2, infinite at 0, -1, -2, ..."""
+    x = x.cast("double")
+    up = F.greatest(F.when(x < 0.5, 1 - x).otherwise(x), F.lit(0.5))
+    right = F.when(up > 1e6, stirling(up)).otherwise(lanczos(up))
+    mirrored = math.log(math.pi) - F.log(F.abs(F.sin(math.pi * x))) - right
+    return F.when(F.isnan(x), NAN).when((x <= 0) & (x == F.floor(x)), INFINITE).when(x < 0.5, mirrored).otherwise(right)
+
+
 def gamma(x: Column) -> Column:
-    return F.exp(lgamma(x))
+    """Exact factorials for 1 to 21, infinite at the poles, by reflection below 1/2."""
+    x = x.cast("double")
+    whole = x == F.floor(x)
+    size = F.exp(lgamma(x))
+    negative = (x < 0) & (F.floor(x) % 2 != 0)
+    exact = F.factorial(F.when(whole & (x >= 1) & (x <= 21), x - 1).otherwise(0.0).cast("int")).cast("double")
+    return F.when(F.isnan(x), NAN).when(whole & (x >= 1) & (x <= 21), exact).when(negative & ~whole, -size).otherwise(size)
 
 
 def lbeta(a: Column, b: Column) -> Column:
@@ -39,37 +62,38 @@ def beta(a: Column, b: Column) -> Column:
 
 
 def digamma(x: Column) -> Column:
-    """For x > 0: six recurrence steps, then the asymptotic series."""
+    """Six recurrence steps, then the asymptotic series; by reflection below 0, NaN at the poles."""
+    x = x.cast("double")
+    up = F.when(x < 0, 1 - x).when(x == 0, 1.0).otherwise(x)
     out = F.lit(0.0)
     for k in range(6):
-        out = out - 1 / (x + k)
-    y = x + 6
+        out = out - 1 / (up + k)
+    y = up + 6
     z = 1 / (y * y)
-    return out + F.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132))))
+    value = out + F.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132))))
+    pole = (x <= 0) & (x == F.floor(x))
+    mirrored = value - math.pi / F.when(pole, 1.0).otherwise(F.tan(math.pi * x))
+    return F.when(pole | F.isnan(x), NAN).when(x < 0, mirrored).otherwise(value)
 
 
-@F.pandas_udf(DoubleType())
-def erf(x: pd.Series) -> pd.Series:
-    return x.map(math.erf)
-
-
-@F.pandas_udf(DoubleType())
-def erfc(x: pd.Series) -> pd.Series:
-    return x.map(math.erfc)
+log_gamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-def lower_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised P(a, x): series below a + 1, else a continued fraction."""
+def gamma_parts(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Regularised P and Q of (a, x): a series for P below a + 1, else a continued fraction for Q; NaN outside a > 0, x >= 0."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
-    scale = np.exp(a * np.log(np.maximum(x, 1e-300)) - x - np.vectorize(math.lgamma, otypes=[float])(a))
+    fine = (a > 0) & (x >= 0)
+    a, x = np.where(fine, a, 1.0), np.where(fine, x, 1.0)
+    shapes, at = np.unique(a, return_inverse=True)
+    scale = np.exp(a * np.log(np.maximum(x, 1e-300)) - x - log_gamma(shapes)[at].reshape(a.shape) if a.size else a)
+    low, tiny = x < a + 1, 1e-300
     term = total = 1 / a
     for n in range(1, 500):
         term = term * x / (a + n)
-        total = total + np.where(x < a + 1, term, 0)
-        if np.all((np.abs(term) < 1e-17 * np.abs(total)) | (x >= a + 1)):
+        total = total + np.where(low, term, 0)
+        if np.all((np.abs(term) < 1e-17 * np.abs(total)) | ~low):
             break
     b = x + 1 - a
-    tiny = 1e-300
     c, d = np.full_like(b, 1 / tiny), 1 / np.where(b == 0, tiny, b)
     h = d
     for n in range(1, 500):
@@ -80,9 +104,34 @@ def lower_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         c = b + k / c
         c = np.where(np.abs(c) < tiny, tiny, c)
         h = h * d * c
-        if np.all((np.abs(d * c - 1) < 1e-16) | (x < a + 1)):
+        if np.all((np.abs(d * c - 1) < 1e-16) | low):
             break
-    return np.where(x <= 0, 0.0, np.where(x < a + 1, scale * total, 1 - scale * h))
+    p = np.where(x <= 0, 0.0, np.where(low, scale * total, 1 - scale * h))
+    q = np.where(x <= 0, 1.0, np.where(low, 1 - scale * total, scale * h))
+    return np.where(fine, p, np.nan), np.where(fine, q, np.nan)
+
+
+def lower_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return gamma_parts(a, x)[0]
+
+
+def nullable(values: np.ndarray, *inputs: pd.Series) -> pd.Series:
+    """Null where an input is null or the value lies outside the domain."""
+    out = pd.Series(values)
+    return out.where(~out.isna() & np.logical_and.reduce([x.notna().to_numpy() for x in inputs]))
+
+
+@F.pandas_udf(DoubleType())
+def erf(x: pd.Series) -> pd.Series:
+    v = x.to_numpy(float, na_value=np.nan)
+    return nullable(np.where(np.abs(v) > 6, np.sign(v), np.sign(v) * gamma_parts(0.5, np.minimum(v * v, 40.0))[0]), x)
+
+
+@F.pandas_udf(DoubleType())
+def erfc(x: pd.Series) -> pd.Series:
+    v = x.to_numpy(float, na_value=np.nan)
+    p, q = gamma_parts(0.5, np.minimum(v * v, 729.0))
+    return nullable(np.where(v > 27, 0.0, np.where(v >= 0, q, 1 + p)), x)
 
 
 def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -105,21 +154,32 @@ def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
 def regular_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """I_x(a, b), with the symmetric form above the mean."""
     a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
-    lg = np.vectorize(math.lgamma, otypes=[float])
+
+    def lg(v: np.ndarray) -> np.ndarray:  # few distinct parameters as a rule
+        shapes, at = np.unique(v, return_inverse=True)
+        return log_gamma(shapes)[at].reshape(v.shape)
+
+    fine = (a > 0) & (b > 0) & (x >= 0) & (x <= 1)
+    a, b = np.where(fine, a, 1.0), np.where(fine, b, 1.0)
     inside = np.clip(x, 1e-300, 1 - 1e-16)
     front = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(inside) + b * np.log1p(-inside))
     out = np.where(x < (a + 1) / (a + b + 2), front * beta_fraction(a, b, inside) / a, 1 - front * beta_fraction(b, a, 1 - inside) / b)
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
+    return np.where(fine, np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out)), np.nan)
 
 
 @F.pandas_udf(DoubleType())
 def gamma_p(a: pd.Series, x: pd.Series) -> pd.Series:
-    return pd.Series(lower_gamma(a.to_numpy(), x.to_numpy()))
+    return nullable(gamma_parts(a.to_numpy(float, na_value=np.nan), x.to_numpy(float, na_value=np.nan))[0], a, x)
+
+
+@F.pandas_udf(DoubleType())
+def gamma_q(a: pd.Series, x: pd.Series) -> pd.Series:
+    return nullable(gamma_parts(a.to_numpy(float, na_value=np.nan), x.to_numpy(float, na_value=np.nan))[1], a, x)
 
 
 @F.pandas_udf(DoubleType())
 def betainc(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
-    return pd.Series(regular_beta(a.to_numpy(), b.to_numpy(), x.to_numpy()))
+    return nullable(regular_beta(a.to_numpy(float, na_value=np.nan), b.to_numpy(float, na_value=np.nan), x.to_numpy(float, na_value=np.nan)), a, b, x)
 
 
 def normal_pdf(x: Column, mu: float = 0.0, sigma: float = 1.0) -> Column:
@@ -344,11 +404,100 @@ def quat_to_matrix(q: Column) -> list[list[Column]]:
 
 
 def quat_from_axis_angle(axis: list[Column], angle: Column) -> Column:
+    """An axis without length is taken as it stands."""
     n = F.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
-    s = F.sin(angle / 2) / n
+    s = F.sin(angle / 2) / F.when(n > 2.220446049250313e-16, n).otherwise(1.0)
     return quaternion(F.cos(angle / 2), axis[0] * s, axis[1] * s, axis[2] * s)
 
 
+def quat_identity() -> Column:
+    return quaternion(*map(F.lit, (1.0, 0.0, 0.0, 0.0)))
+
+
+def quat_rot(axis: str, angle: Column) -> Column:
+    """Rotation about x, y or z."""
+    s = F.sin(angle / 2)
+    return quaternion(F.cos(angle / 2), *(s if c == axis else F.lit(0.0) for c in "xyz"))
+
+
+def cross_of(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def scaled_to_one(v: list[Column]) -> list[Column]:
+    n = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    return [x / n for x in v]
+
+
+UNIT_EPS = 2.220446049250313e-16
+
+
+def quat_between(a: list[Column], b: list[Column]) -> Column:
+    """The shortest rotation from a to b; opposite vectors turn about an axis across a."""
+    a, b = scaled_to_one(a), scaled_to_one(b)
+    dot, axis = a[0] * b[0] + a[1] * b[1] + a[2] * b[2], cross_of(a, b)
+    near_x = F.abs(a[0]) < 0.9
+    across = scaled_to_one(cross_of(a, [F.when(near_x, 1.0).otherwise(0.0), F.when(near_x, 0.0).otherwise(1.0), F.lit(0.0)]))
+    turned = quat_normalize(quaternion(1 + dot, *axis))
+    return F.when(dot > 1 - UNIT_EPS, quat_identity()).when(dot < -(1 - UNIT_EPS), quaternion(F.lit(0.0), *across)).otherwise(turned)
+
+
+def quat_from_matrix(m: list[list[Column]]) -> Column:
+    """From a rotation matrix, by its largest diagonal sum."""
+    trace = m[0][0] + m[1][1] + m[2][2]
+    root = lambda v: F.sqrt(F.greatest(v, F.lit(1e-300)))
+
+    def by(k: int) -> Column:
+        i, j = (k + 1) % 3, (k + 2) % 3
+        big = root((1 + m[k][k] - m[i][i] - m[j][j]) / 4)
+        part = {k: big, i: (m[k][i] + m[i][k]) / (4 * big), j: (m[k][j] + m[j][k]) / (4 * big)}
+        return quaternion((m[j][i] - m[i][j]) / (4 * big), part[0], part[1], part[2])
+
+    s = root(trace + 1)
+    whole = quaternion(s / 2, (m[2][1] - m[1][2]) / (2 * s), (m[0][2] - m[2][0]) / (2 * s), (m[1][0] - m[0][1]) / (2 * s))
+    return F.when(trace > 0, whole).when((m[0][0] >= m[1][1]) & (m[0][0] >= m[2][2]), by(0)).when(m[1][1] >= m[2][2], by(1)).otherwise(by(2))
+
+
+def quat_from_euler(roll: Column, pitch: Column, yaw: Column) -> Column:
+    """Turns about z, then y, then x (ZYX, intrinsic)."""
+    return quat_mul(quat_mul(quat_rot("z", yaw), quat_rot("y", pitch)), quat_rot("x", roll))
+
+
+def quat_from_velocity(omega: list[Column], dt: float | Column) -> Column:
+    """The turn of an angular velocity over dt; the identity for a vanishing angle."""
+    angle = F.sqrt(omega[0] * omega[0] + omega[1] * omega[1] + omega[2] * omega[2]) * dt
+    return F.when(angle < UNIT_EPS, quat_identity()).otherwise(quat_from_axis_angle(omega, angle))
+
+
+def quat_to_axis_angle(q: Column) -> tuple[list[Column], Column]:
+    n = F.sqrt(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
+    still = n < UNIT_EPS
+    axis = [F.when(still, 1.0 if c == "x" else 0.0).otherwise(F.try_divide(q[c], n)) for c in "xyz"]
+    return axis, F.when(still, 0.0).otherwise(2 * F.atan2(n, q["w"]))
+
+
+def quat_dot(p: Column, q: Column) -> Column:
+    return p["w"] * q["w"] + p["x"] * q["x"] + p["y"] * q["y"] + p["z"] * q["z"]
+
+
+def quat_neg(q: Column) -> Column:
+    return quaternion(*(-q[c] for c in "wxyz"))
+
+
+def quat_derivative(q: Column, omega: list[Column]) -> Column:
+    """Half of q times the velocity."""
+    out = quat_mul(q, quaternion(F.lit(0.0), *omega))
+    return quaternion(*(out[c] * 0.5 for c in "wxyz"))
+
+
+def quat_propagate(q: Column, omega: list[Column], dt: float | Column) -> Column:
+    return quat_normalize(quat_mul(q, quat_from_velocity(omega, dt)))
+
+
+def quat_text(q: Column) -> Column:
+    return F.concat(F.lit("("), q["w"].cast("string"), F.lit(" + "), q["x"].cast("string"), F.lit("i + "), q["y"].cast("string"), F.lit("j + "), q["z"].cast("string"), F.lit("k)"))
+
+
 def quat_to_euler(q: Column) -> list[Column]:
     """Roll, pitch, yaw (ZYX); pitch is clamped to a quarter turn."""
     w, x, y, z = (q[c] for c in "wxyz")

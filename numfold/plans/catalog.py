@@ -1,7 +1,4 @@
-"""Queries of the numerical operators, each with its DuckDB form.
-
-Values are compared on a grid of 1e-6 (1e-4 for larger ones) by floor(x * s + 0.5) / s,
-the same IEEE operations in both engines."""
+"""Queries of the numerical operators, each with its DuckDB form."""
 
 from __future__ import annotations
 
@@ -16,35 +13,9 @@ from pyspark.sql.types import DoubleType
 
 from numfold.functions import design, mat, rng, special, vec
 from numfold.operators import image, interp, linalg, numeric, scan, stiff
+from numfold.plans.registry import IMG_SQL, M_SQL, ORACLES, QUERIES, S_SQL, V_SQL, Query, q, register, sq
 from numfold.sources.tables import HEIGHT, WIDTH, from_json, images, signal, table, to_json, vectors
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, query: Query, sql: str | None = None) -> None:
-    QUERIES[name] = query
-    if sql:
-        ORACLES[name] = sql
-
-
-def q(x: Column, digits: int = 6) -> Column:
-    s = float(10**digits)
-    return F.floor(x * s + 0.5) / s
-
-
-def sq(x: str, digits: int = 6) -> str:
-    return f"floor(({x})*1e{digits}+0.5)/1e{digits}"
-
-
-V_SQL = "v AS (SELECT vec_id, t.i::INT AS pos, embedding[t.i+1]::DOUBLE AS a, embedding[64-t.i]::DOUBLE AS b FROM embeddings, range(64) t(i))"
-M_SQL = "m AS (SELECT vec_id, (t.i % 8)::INT AS i, (t.i // 8)::INT AS j, embedding[t.i+1]::DOUBLE AS v FROM embeddings, range(64) t(i))"
-S_SQL = "s AS (SELECT vec_id, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(9)) + " FROM embeddings)"
-IMG_SQL = f"""img AS (SELECT g.img, g.r, g.c, coalesce(p.v, 0::DOUBLE) AS v FROM (SELECT DISTINCT event_type AS img, r.i::INT AS r, c.i::INT AS c FROM events, range({HEIGHT}) r(i), range({WIDTH}) c(i)) g
- LEFT JOIN (SELECT event_type AS img, (day(ts)-1)::INT AS r, hour(ts)::INT AS c, sum(floor(value))::DOUBLE AS v FROM events GROUP BY ALL) p USING (img, r, c))"""
-
-
 # --- vectors -------------------------------------------------------------------------
 
 def elementwise(name: str, f: Callable[[Column, Column], Column], sql: str) -> None:
@@ -109,7 +80,7 @@ matrices("block", lambda a: mat.block(a, 8, 2, 3, 3, 4), 3, "SELECT vec_id, i-2
 matrices("set_block", lambda a: mat.set_block(a, 8, 8, F.array(*(F.lit(float(k)) for k in range(4))), 1, 2, 2, 2), 8, "SELECT vec_id, i, j, CASE WHEN i BETWEEN 1 AND 2 AND j BETWEEN 2 AND 3 THEN ((j-2)*2+i-1)::DOUBLE ELSE v END AS v FROM m")
 matrices("swap_rows", lambda a: mat.swap_rows(a, 8, 8, 1, 5), 8, "SELECT vec_id, CASE i WHEN 1 THEN 5 WHEN 5 THEN 1 ELSE i END AS i, j, v FROM m")
 matrices("swap_cols", lambda a: mat.swap_cols(a, 8, 8, 0, 7), 8, "SELECT vec_id, i, CASE j WHEN 0 THEN 7 WHEN 7 THEN 0 ELSE j END AS j, v FROM m")
-matrices("set_row", lambda a: mat.set_row(a, 8, 8, 3, mat.row(a, 8, 8, 0)), 8, "SELECT m.vec_id, m.i, m.j, CASE WHEN m.i=3 THEN z.v ELSE m.v END AS v FROM m JOIN m z ON z.vec_id=m.vec_id AND z.j=m.j AND z.i=0")
+matrices("set_row", lambda a: mat.bound(lambda a: mat.set_row(a, 8, 8, 3, mat.row(a, 8, 8, 0)), a), 8, "SELECT vec_id, i, j, CASE WHEN i=3 THEN embedding[8*j+1]::DOUBLE ELSE v END AS v FROM m JOIN embeddings USING (vec_id)")
 matrices("identity", lambda a: mat.identity(8), 8, "SELECT vec_id, i, j, CASE WHEN i=j THEN 1::DOUBLE ELSE 0 END AS v FROM m")
 matrices("from_diag", lambda a: mat.from_diag(mat.diag(a, 8, 8), 8), 8, "SELECT vec_id, i, j, CASE WHEN i=j THEN v ELSE 0 END AS v FROM m")
 matrices("mat_from_fn", lambda a: mat.from_fn(8, 8, lambda i, j: (i * 10 + j).cast("double")), 8, "SELECT vec_id, i, j, (i*10+j)::DOUBLE AS v FROM m")
@@ -157,56 +128,6 @@ def sym2(spark: SparkSession, sf: str) -> DataFrame:
 register("eig_sym_2x2", sym2, f"WITH {SPD_SQL}, r AS (SELECT *, sqrt((a-d)*(a-d)+4*b*b) w FROM p) SELECT vec_id, {sq('(a+d-w)/2')} AS l0, {sq('(a+d+w)/2')} AS l1, {sq('(a+d+w)/(a+d-w)')} AS cond FROM r")
 
 
-def kernel_check(name: str, check: Callable[[np.ndarray], float], tol: float = 1e-9) -> None:
-    """A numpy kernel over every 8 x 8 matrix, compared with what it must satisfy."""
-
-    def query(spark: SparkSession, sf: str) -> DataFrame:
-        out = linalg.per_matrix(vectors(spark, sf).withColumnRenamed("vec_id", "mat_id"), lambda a: np.array([check(a)]), 8, 8)
-        return out.select(F.col("mat_id").alias("vec_id"), (F.col("out")[0] <= tol).alias("ok"), "status")
-
-    register(name, query, "SELECT vec_id, true AS ok, 'ok' AS status FROM embeddings")
-
-
-def worst(x: np.ndarray) -> float:
-    return float(np.abs(x).max())
-
-
-def lu_error(a: np.ndarray) -> float:
-    f, perm, _ = linalg.lu(a)
-    return worst((np.tril(f, -1) + np.eye(8)) @ np.triu(f) - a[perm])
-
-
-def qr_error(a: np.ndarray) -> float:
-    x, r, perm = linalg.pivoted_qr(a)
-    return max(worst(x @ r - a[:, perm]), worst(x.T @ x - np.eye(8)))
-
-
-def svd_error(a: np.ndarray) -> float:
-    u, s, vt = np.linalg.svd(a)
-    return worst((u * s) @ vt - a)
-
-
-def eig_error(a: np.ndarray) -> float:
-    w, x = np.linalg.eigh(a + a.T)
-    return worst((a + a.T) @ x - x * w)
-
-
-def hessenberg_error(a: np.ndarray) -> float:
-    h, x = linalg.hessenberg(a)
-    return max(worst(x @ h @ x.T - a), worst(np.tril(h, -2)))
-
-
-kernel_check("lu_n", lu_error)
-kernel_check("lu_det_n", lambda a: abs(linalg.lu_det(a) - float(np.linalg.det(a))))
-kernel_check("solve_refined_n", lambda a: worst((a @ a.T + np.eye(8)) @ linalg.lu_solve(a @ a.T + np.eye(8), a[:, 0], 3) - a[:, 0]))
-kernel_check("qr_pivot_n", qr_error)
-kernel_check("svd_n", svd_error)
-kernel_check("pinv_n", lambda a: worst(a @ linalg.pinv(a) @ a - a))
-kernel_check("eig_sym_n", eig_error)
-kernel_check("hessenberg_n", hessenberg_error)
-kernel_check("expm_n", lambda a: worst(linalg.expm(a) @ linalg.expm(-a) - np.eye(8)))
-kernel_check("cholesky_rank1_n", lambda a: worst((lambda l: l @ l.T)(linalg.rank1_update(np.linalg.cholesky(a @ a.T + np.eye(8)), a[:, 1])) - (a @ a.T + np.eye(8) + np.outer(a[:, 1], a[:, 1]))))
-
 register("lsq_line", lambda s, sf: table(s, sf, "lineitem").groupBy("l_returnflag").agg(q(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), q(F.regr_intercept("l_extendedprice", "l_quantity"), 3).alias("intercept")),
          f"SELECT l_returnflag, {sq('regr_slope(l_extendedprice, l_quantity)', 4)} AS slope, {sq('regr_intercept(l_extendedprice, l_quantity)', 3)} AS intercept FROM lineitem GROUP BY l_returnflag")
 
@@ -312,11 +233,12 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 KNOTS_SQL = "kn AS (SELECT day(ts)::DOUBLE AS x, sum(floor(value))::DOUBLE AS y, day(ts)/2::DOUBLE AS dy FROM events GROUP BY ALL), sg AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(dy) OVER w AS d1, row_number() OVER w AS n, lead(x, 2) OVER w AS x2 FROM kn WINDOW w AS (ORDER BY x)), pt AS (SELECT event_id, value/4 AS t FROM events), j AS (SELECT * FROM pt JOIN sg ON sg.x1 IS NOT NULL AND (t>=x OR n=1) AND (t<x1 OR x2 IS NULL))"
 register("interp_linear", lambda s, sf: interp.linear(points(s, sf), knots(s, sf)).select("event_id", q(F.col("y"), 4).alias("y"), q(F.col("slope"), 4).alias("slope")), f"WITH {KNOTS_SQL} SELECT event_id, {sq('y+(y1-y)/(x1-x)*(t-x)', 4)} AS y, {sq('(y1-y)/(x1-x)', 4)} AS slope FROM j")
-register("interp_hermite", lambda s, sf: interp.hermite(points(s, sf), knots(s, sf)).select("event_id", q(F.col("y") + 1e-3 / 7, 2).alias("y")), f"WITH {KNOTS_SQL}, u AS (SELECT *, (t-x)/(x1-x) AS u, x1-x AS h FROM j) SELECT event_id, {sq('(1+2*u)*(1-u)*(1-u)*y+u*(1-u)*(1-u)*h*dy+u*u*(3-2*u)*y1+u*u*(u-1)*h*d1+1e-3::DOUBLE/7', 2)} AS y FROM u")
-register("interp_spline", lambda s, sf: interp.spline(points(s, sf), knots(s, sf)).select("event_id", q(F.col("y"), 2).alias("y")))
+register("interp_hermite", lambda s, sf: interp.hermite(points(s, sf), knots(s, sf)).select("event_id", q(F.col("y"), 3).alias("y"), q(F.col("slope"), 3).alias("slope")), f"WITH {KNOTS_SQL}, u AS (SELECT *, (t-x)/(x1-x) AS u, x1-x AS h FROM j) SELECT event_id, {sq('(1+2*u)*(1-u)*(1-u)*y+u*(1-u)*(1-u)*h*dy+u*u*(3-2*u)*y1+u*u*(u-1)*h*d1', 3)} AS y, {sq('6*u*(u-1)*(y-y1)/h+(1-u)*(1-3*u)*dy+u*(3*u-2)*d1', 3)} AS slope FROM u")
+THOMAS_SQL = "kk AS (SELECT x, y, row_number() OVER (ORDER BY x) AS n, lead(x) OVER (ORDER BY x)-x AS h, x-lag(x) OVER (ORDER BY x) AS g, (lead(y) OVER (ORDER BY x)-y)/(lead(x) OVER (ORDER BY x)-x) AS d, (y-lag(y) OVER (ORDER BY x))/(x-lag(x) OVER (ORDER BY x)) AS e FROM kn), f AS (SELECT n, 0::DOUBLE AS c, 0::DOUBLE AS r FROM kk WHERE n=1 UNION ALL SELECT kk.n, kk.h/(2*(kk.g+kk.h)-kk.g*f.c), (6*(kk.d-kk.e)-kk.g*f.r)/(2*(kk.g+kk.h)-kk.g*f.c) FROM f JOIN kk ON kk.n=f.n+1 WHERE kk.h IS NOT NULL), b AS (SELECT max(n)+1 AS n, 0::DOUBLE AS m FROM f UNION ALL SELECT f.n, f.r-f.c*b.m FROM b JOIN f ON f.n=b.n-1 WHERE f.n>1), mm AS (SELECT kk.x, coalesce(b.m, 0::DOUBLE) AS m FROM kk LEFT JOIN b USING (n))"
+register("interp_spline", lambda s, sf: interp.spline(points(s, sf), knots(s, sf)).select("event_id", q(F.col("y"), 3).alias("y"), q(F.col("slope"), 3).alias("slope")), f"WITH RECURSIVE {KNOTS_SQL}, {THOMAS_SQL}, u AS (SELECT event_id, t, j.x, j.x1, y, y1, p.m AS m0, z.m AS m1, j.x1-j.x AS h, j.x1-t AS a, t-j.x AS b FROM j JOIN mm p ON p.x=j.x JOIN mm z ON z.x=j.x1) SELECT event_id, {sq('(m0*a*a*a+m1*b*b*b)/(6*h)+(y/h-m0*h/6)*a+(y1/h-m1*h/6)*b', 3)} AS y, {sq('(m1*b*b-m0*a*a)/(2*h)+(y1-y)/h-(m1-m0)*h/6', 3)} AS slope FROM u")
 LAG = [(0.0, 1.0), (1.0, 3.0), (3.0, -2.0), (6.0, 4.0)]
-register("interp_lagrange", lambda s, sf: interp.lagrange(points(s, sf), s.createDataFrame(LAG, "x double, y double")).select("event_id", q(F.col("y"), 4).alias("y")),
-         "WITH p AS (SELECT event_id, value/4 AS t FROM events) SELECT event_id, " + sq("+".join(f"({y}::DOUBLE)*" + "*".join(f"(t-{z})/({x - z}::DOUBLE)" for z, _ in LAG if z != x) for x, y in LAG), 4) + " AS y FROM p")
+register("interp_lagrange", lambda s, sf: interp.lagrange(table(s, sf, "events").select("event_id", (F.col("value") / 4.1).alias("x")), s.createDataFrame(LAG, "x double, y double")).select("event_id", q(F.col("y"), 4).alias("y"), q(F.col("slope"), 4).alias("slope")),
+         "WITH p AS (SELECT event_id, value/4.1::DOUBLE AS t FROM events) SELECT event_id, " + sq("+".join(f"({y}::DOUBLE)*" + "*".join(f"(t-{z})/({x - z}::DOUBLE)" for z, _ in LAG if z != x) for x, y in LAG), 4) + " AS y, " + sq("+".join(f"({y}::DOUBLE)*(" + "+".join("*".join(["1", *(f"(t-{z})" for z, _ in LAG if z not in (x, o))]) for o, _ in LAG if o != x) + ")/" + "*".join(f"({x - z}::DOUBLE)" for z, _ in LAG if z != x).join("()") for x, y in LAG), 4) + " AS slope FROM p")
 register("interp_bilinear", lambda s, sf: table(s, sf, "part").select("p_partkey", q(interp.bilinear(F.col("p_size").cast("double"), F.col("p_retailprice") / 100, [0.0, 20.0, 60.0], [0.0, 30.0], [[1.0, 2.0], [3.0, 5.0], [-1.0, 4.0]])).alias("z")),
          f"WITH p AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice/100/30 AS u FROM part), g AS (SELECT *, CASE WHEN a<20 THEN a/20 ELSE (a-20)/40 END AS t, CASE WHEN a<20 THEN 1 ELSE 3 END AS z00, CASE WHEN a<20 THEN 2 ELSE 5 END AS z01, CASE WHEN a<20 THEN 3 ELSE -1 END AS z10, CASE WHEN a<20 THEN 5 ELSE 4 END AS z11 FROM p) SELECT p_partkey, {sq('(1-t)*(1-u)*z00+t*(1-u)*z10+(1-t)*u*z01+t*u*z11')} AS z FROM g")
 
@@ -349,7 +271,7 @@ H, W = HEIGHT, WIDTH
 for border_ in ("zero", "constant", "replicate", "reflect"):
     picture(f"convolve2d_{border_}", lambda i, b=border_: image.convolve(i, image.SOBEL_X, H, W, b, 3.0 if b == "constant" else 0.0), conv_sql(image.SOBEL_X, border_, constant=3.0 if border_ == "constant" else 0.0))
 picture("gaussian_blur", lambda i: image.gaussian_blur(i, 1.0, H, W), "SELECT * FROM bl", blur_ctes(1.0))
-picture("box_blur", lambda i: image.convolve_separable(i, [1 / 3] * 3, [1 / 3] * 3, H, W), f"SELECT img, r, c, sum(v)/9 AS v FROM ({near_sql(image.square(1), 'replicate')}) GROUP BY ALL")
+picture("box_blur", lambda i: image.convolve_separable(i, image.box_kernel(3), image.box_kernel(3), H, W), f"SELECT img, r, c, sum(v)/9 AS v FROM ({near_sql(image.square(1), 'replicate')}) GROUP BY ALL")
 picture("convolve_separable", lambda i: image.convolve_separable(i, [1.0, 2.0, 1.0], [1.0, 0.0, -1.0], H, W, "reflect"), conv_sql([[1.0, 0.0, -1.0], [2.0, 0.0, -2.0], [1.0, 0.0, -1.0]], "reflect"))
 picture("laplacian", lambda i: image.convolve(i, image.LAPLACIAN, H, W), conv_sql(image.LAPLACIAN, "replicate"))
 picture("laplacian_of_gaussian", lambda i: image.convolve(image.gaussian_blur(i, 1.0, H, W), image.LAPLACIAN, H, W), conv_sql(image.LAPLACIAN, "replicate", "bl"), blur_ctes(1.0))
@@ -391,7 +313,7 @@ picture("flip_v", lambda i: i.withColumn("r", H - 1 - F.col("r")), f"SELECT img,
 picture("rot90", lambda i: i.select("img", F.col("c").alias("r"), (H - 1 - F.col("r")).alias("c"), "v"), f"SELECT img, c AS r, {H - 1}-r AS c, v FROM img")
 picture("rot180", lambda i: i.select("img", (H - 1 - F.col("r")).alias("r"), (W - 1 - F.col("c")).alias("c"), "v"), f"SELECT img, {H - 1}-r AS r, {W - 1}-c AS c, v FROM img")
 picture("rot270", lambda i: i.select("img", (W - 1 - F.col("c")).alias("r"), F.col("r").alias("c"), "v"), f"SELECT img, {W - 1}-c AS r, r AS c, v FROM img")
-picture("crop", lambda i: i.where("r between 5 and 14 and c between 3 and 12").select("img", (F.col("r") - 5).alias("r"), (F.col("c") - 3).alias("c"), "v"), "SELECT img, r-5 AS r, c-3 AS c, v FROM img WHERE r BETWEEN 5 AND 14 AND c BETWEEN 3 AND 12")
+picture("crop", lambda i: image.crop(i, H, W, 5, 3, 10, 10), "SELECT img, r-5 AS r, c-3 AS c, v FROM img WHERE r BETWEEN 5 AND 14 AND c BETWEEN 3 AND 12")
 picture("difference_of_gaussians", lambda i: image.minus(image.gaussian_blur(i, 1.0, H, W), image.gaussian_blur(i, 2.0, H, W)), "SELECT img, r, c, a.v-b.v AS v FROM ba a JOIN bb b USING (img, r, c)", blur_ctes(1.0, "img", "ba") + ", " + blur_ctes(2.0, "img", "bb"))
 CORNERS = f"gx AS ({conv_sql(image.SOBEL_X, 'replicate')}), gy AS ({conv_sql(image.SOBEL_Y, 'replicate')}), p AS (SELECT img, r, c, x.v*x.v AS v FROM gx x), q AS (SELECT img, r, c, x.v*y.v AS v FROM gx x JOIN gy y USING (img, r, c)), s AS (SELECT img, r, c, y.v*y.v AS v FROM gy y), {blur_ctes(1.0, 'p', 'bp')}, {blur_ctes(1.0, 'q', 'bq')}, {blur_ctes(1.0, 's', 'bs')}, t AS (SELECT img, r, c, bp.v AS a, bq.v AS b, bs.v AS d FROM bp JOIN bq USING (img, r, c) JOIN bs USING (img, r, c))"
 picture("harris", lambda i: image.harris(i, 1.0, 0.04, H, W).withColumn("v", F.col("v") / 1e6), "SELECT img, r, c, (a*d-b*b-0.04::DOUBLE*(a+d)*(a+d))/1e6 AS v FROM t", CORNERS, 3)
@@ -554,3 +476,4 @@ def sampled(kind: str, *parameters: float) -> None:
 
 for kind_, parameters_ in {"uniform": (0.5, 1.5), "exponential": (1.5,), "normal": (1.0, 2.0), "gamma": (2.5, 1.5), "chi_squared": (3.0,), "beta": (2.0, 3.0), "student_t": (5.0,), "bernoulli": (0.3,), "binomial": (60, 0.3), "poisson": (7.5,)}.items():
     sampled(kind_, *parameters_)
+from numfold.plans import linear, more, pictures  # noqa: E402,F401  they register their queries
