@@ -1,7 +1,11 @@
-"""Ordered scans over signals (series, k, x): filters, controllers, estimators, integration.
+"""Ordered scans over signals (series, k, x): filters, controllers, scalar estimators, integration.
 
-One step function serves the batch form (a grouped map over each series' ordered samples,
-linear in its length) and the streaming form (state per series).
+One step function serves the batch form and the streaming form (state per series). The batch
+form sorts in Spark and streams the samples of a partition through Python, carrying one state,
+so no series has to fit a worker. Linear filters also have linear_scan(), which splits a long
+series over tasks: a range of samples acts on the state by a matrix and a vector.
+
+Null and NaN samples leave the state as it is and give null, in both forms.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,21 +81,113 @@ def kalman_step(a: float, q: float, h: float, r: float, gamma: float = 1.0, gate
     return step
 
 
-def scan(signal: DataFrame, step: Step, start: list[float]) -> DataFrame:
-    """(series, k, y) in each series' order of k; null samples leave the state and give null."""
+def missing(x: float | None) -> bool:
+    return x is None or x != x
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        state, out = list(start), []
-        for x in pdf["x"].tolist():
-            if x is None or x != x:
-                out.append(None)
-            else:
-                state, y = step(state, x)
-                out.append(y)
-        return pd.DataFrame({"series": pdf["series"], "k": pdf["k"], "y": pd.Series(out, index=pdf.index, dtype="float64")})
 
-    return signal.select("series", "k", "x").groupBy("series").applyInPandas(run, "series long, k long, y double")
+def in_order(signal: DataFrame) -> DataFrame:
+    """Whole series in a partition each, sorted, with spilling left to Spark."""
+    return signal.select(F.col("series").cast("long").alias("series"), F.col("k").cast("long").alias("k"), "x").repartition("series").sortWithinPartitions("series", "k")
+
+
+def scan(signal: DataFrame, step: Step, start: list[float]) -> DataFrame:
+    """(series, k, y) in each series' order of k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Any = run  # no series is this
+        state: list = []
+        for batch in batches:
+            out = []
+            for series, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if series != now:
+                    now, state = series, list(start)
+                if missing(x):
+                    out.append(None)
+                else:
+                    state, y = step(state, x)
+                    out.append(y)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["series", "k", "y"])
+
+    return in_order(signal).mapInArrow(run, "series long, k long, y double")
+
+
+Linear = tuple[np.ndarray, np.ndarray, np.ndarray, float]
+
+
+def cascade(sections: list[tuple[float, float, float, float, float]]) -> Linear:
+    """Sections in series as one linear step: z' = A z + b x and y = c z + d x, transposed direct form II."""
+    n = 2 * len(sections)
+    a, b, c, d = np.zeros((n, n)), np.zeros(n), np.zeros(n), 1.0
+    for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+        i, j = 2 * k, 2 * k + 1
+        into, x = c.copy(), d  # what the section is fed, in terms of the states before and the sample
+        out = b0 * into
+        out[i] += 1.0
+        a[i], b[i] = b1 * into - a1 * out, (b1 - a1 * b0) * x
+        a[i, j] += 1.0
+        a[j], b[j] = b2 * into - a2 * out, (b2 - a2 * b0) * x
+        c, d = out, b0 * x
+    return a, b, c, d
+
+
+def linear_scan(signal: DataFrame, system: Linear, partitions: int | None = None) -> DataFrame:
+    """(series, k, y) of a linear step from a zero state, with every series split by ranges of (series, k).
+
+    The first pass runs each part of a series from zero and keeps what it does to a state, one
+    row for a part; parts are composed by series (as many as there are partitions at most), and
+    the second pass runs them from their true states."""
+    from .shared import Shared
+
+    a, b, c, d = system
+    n = len(b)
+    rows = signal.select(F.col("series").cast("long").alias("series"), F.col("k").cast("long").alias("k"), F.col("x").cast("double").alias("x"))
+    cut = rows.repartitionByRange(partitions, "series", "k") if partitions else rows.repartitionByRange("series", "k")
+    shared = Shared(signal.sparkSession, "scan")
+    parts = shared.keep(cut.withColumn("part", F.spark_partition_id()))
+    sums = parts.groupBy("part", "series").agg(F.count(F.when(~F.isnan("x"), F.col("x"))).alias("n"))
+    ends = sums.groupBy("series").agg(F.count("*").alias("parts")).where("parts > 1").select("series")
+
+    def run_part(batches: Iterator[pa.RecordBatch], samples: bool) -> Iterator[pa.RecordBatch]:
+        now: Any = run_part
+        z, seen = np.zeros(n), 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([np.linalg.matrix_power(a, seen).reshape(-1).tolist()]), pa.array([z.tolist()])], ["part", "series", "m", "v"])
+
+        for batch in batches:
+            part, series, xs = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            starts = batch.column(4).to_pylist() if samples else None
+            out = []
+            for i, (key, x) in enumerate(zip(zip(part, series, strict=True), xs, strict=True)):
+                if key != now:
+                    if not samples and now is not run_part:
+                        yield done()
+                    now, seen = key, 0
+                    z = np.array(starts[i] or [0.0] * n) if samples else np.zeros(n)
+                if missing(x):
+                    out.append(None)
+                else:
+                    out.append(float(c @ z + d * x))
+                    z, seen = a @ z + b * x, seen + 1
+            if samples:
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.float64())], ["series", "k", "y"])
+        if not samples and now is not run_part:
+            yield done()
+
+    long = parts.join(ends, "series", "left_semi").select("part", "series", "k", "x")
+    effects = shared.keep(long.repartition("part", "series").sortWithinPartitions("part", "series", "k").mapInArrow(lambda x: run_part(x, False), "part int, series long, m array<double>, v array<double>"))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        z, out = np.zeros(n), []
+        for m, v in zip(pdf["m"], pdf["v"], strict=True):
+            out.append(z.tolist())
+            z = np.asarray(m).reshape(n, n) @ z + np.asarray(v)
+        return pd.DataFrame({"part": pdf["part"], "series": pdf["series"], "start": out})
+
+    starts = shared.keep(effects.groupBy("series").applyInPandas(compose, "part int, series long, start array<double>"))
+    ready = parts.join(starts, ["part", "series"], "left").select("part", "series", "k", "x", "start")
+    return ready.repartition("part", "series").sortWithinPartitions("part", "series", "k").mapInArrow(lambda x: run_part(x, True), "series long, k long, y double")
 
 
 def biquad_fold(x: Column, b0: float, b1: float, b2: float, a1: float, a2: float) -> Column:
@@ -117,120 +214,6 @@ def rk4_linear(y0: Column, rate: float, dt: float, steps: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), y0.cast("double"), step)
 
 
-def rts_scalar(signal: DataFrame, a: float, q: float, r: float, x0: float, p0: float) -> DataFrame:
-    """Rauch-Tung-Striebel smoother of a scalar model: (series, k, y)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        x, p, track = x0, p0, []
-        for z in pdf["x"].tolist():
-            xp, pp = a * x, a * a * p + q
-            g = pp / (pp + r)
-            x, p = xp + g * (z - xp), (1 - g) * pp
-            track.append((x, p, xp, pp))
-        out = [t[0] for t in track]
-        for k in range(len(track) - 2, -1, -1):
-            out[k] = track[k][0] + track[k][1] * a / track[k + 1][3] * (out[k + 1] - track[k + 1][2])
-        return pd.DataFrame({"series": pdf["series"], "k": pdf["k"], "y": out})
-
-    return signal.select("series", "k", "x").groupBy("series").applyInPandas(run, "series long, k long, y double")
-
-
-class Gaussian:
-    """State estimate (x, P) with extended, unscented and cubature steps on numpy functions."""
-
-    def __init__(self, x: np.ndarray, p: np.ndarray):
-        self.x, self.p = np.array(x, float), np.array(p, float)
-
-    @staticmethod
-    def jacobian(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray) -> np.ndarray:
-        y, out = f(x), []
-        for j in range(len(x)):
-            h = math.sqrt(np.finfo(float).eps) * max(abs(x[j]), 1.0)
-            z = x.copy()
-            z[j] += h
-            out.append((f(z) - y) / h)
-        return np.array(out).T
-
-    @staticmethod
-    def root(p: np.ndarray) -> np.ndarray:
-        for jitter in (0.0, 1e-9, 1e-7, 1e-5):
-            try:
-                return np.linalg.cholesky(p + jitter * np.eye(len(p)))
-            except np.linalg.LinAlgError:
-                continue
-        raise np.linalg.LinAlgError("covariance is not positive definite")
-
-    def points(self, kind: str, alpha: float = 1.0, beta: float = 2.0, kappa: float = 0.0):
-        n = len(self.x)
-        if kind == "cubature":
-            step = math.sqrt(n) * self.root(self.p).T
-            return np.vstack([self.x + step, self.x - step]), np.full(2 * n, 0.5 / n), np.full(2 * n, 0.5 / n)
-        lam = alpha * alpha * (n + kappa) - n
-        step = math.sqrt(n + lam) * self.root(self.p).T
-        wm = np.full(2 * n + 1, 0.5 / (n + lam))
-        wm[0] = lam / (n + lam)
-        wc = wm.copy()
-        wc[0] += 1 - alpha * alpha + beta
-        return np.vstack([self.x, self.x + step, self.x - step]), wm, wc
-
-    def predict(self, f: Callable, q: np.ndarray, kind: str = "extended", gamma: float = 1.0) -> None:
-        if kind == "extended":
-            j = self.jacobian(f, self.x)
-            self.x, self.p = f(self.x), gamma * j @ self.p @ j.T + q
-        else:
-            s, wm, wc = self.points(kind)
-            y = np.array([f(z) for z in s])
-            self.x = wm @ y
-            self.p = gamma * (wc[:, None] * (y - self.x)).T @ (y - self.x) + q
-        self.p = 0.5 * (self.p + self.p.T)
-
-    def update(self, z: np.ndarray, h: Callable, r: np.ndarray, kind: str = "extended", gate: float = math.inf, rounds: int = 1) -> float | None:
-        """Returns the normalised innovation squared, or None if the gate rejects."""
-        if kind == "extended":
-            x = self.x
-            for _ in range(rounds):
-                j = self.jacobian(h, x)
-                s = j @ self.p @ j.T + r
-                k = np.linalg.solve(s, j @ self.p).T
-                y = z - h(x) - j @ (self.x - x)
-                x = self.x + k @ y
-            nis = float(y @ np.linalg.solve(s, y))
-            if nis > gate:
-                return None
-            i = np.eye(len(self.x)) - k @ j
-            self.x, self.p = x, i @ self.p @ i.T + k @ r @ k.T
-        else:
-            pts, wm, wc = self.points(kind)
-            y = np.array([h(p) for p in pts])
-            mean = wm @ y
-            s = (wc[:, None] * (y - mean)).T @ (y - mean) + r
-            c = (wc[:, None] * (pts - self.x)).T @ (y - mean)
-            k = np.linalg.solve(s, c.T).T
-            e = z - mean
-            nis = float(e @ np.linalg.solve(s, e))
-            if nis > gate:
-                return None
-            self.x, self.p = self.x + k @ e, self.p - k @ s @ k.T
-        self.p = 0.5 * (self.p + self.p.T)
-        return nis
-
-
-def track(signal: DataFrame, f: Callable, h: Callable, q: np.ndarray, r: np.ndarray, x0: np.ndarray, p0: np.ndarray, kind: str = "extended", gate: float = math.inf, rounds: int = 1) -> DataFrame:
-    """Filtered first state of each sample by `kind` extended, unscented or cubature."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        g, out = Gaussian(x0, p0), []
-        for z in pdf["x"].tolist():
-            g.predict(f, q, kind)
-            g.update(np.array([z]), h, r, kind, gate, rounds)
-            out.append(float(g.x[0]))
-        return pd.DataFrame({"series": pdf["series"], "k": pdf["k"], "y": out})
-
-    return signal.select("series", "k", "x").groupBy("series").applyInPandas(run, "series long, k long, y double")
-
-
 def streaming(step: Step, start: list[float]):
     """A stateful function for applyInPandasWithState: (series, k, y), state (values array)."""
 
@@ -239,9 +222,12 @@ def streaming(step: Step, start: list[float]):
         rows = pd.concat(list(frames)).sort_values("k")
         out = []
         for x in rows["x"].tolist():
-            values, y = step(values, x)
-            out.append(y)
+            if missing(x):
+                out.append(None)
+            else:
+                values, y = step(values, x)
+                out.append(y)
         state.update((values,))
-        yield pd.DataFrame({"series": rows["series"], "k": rows["k"], "y": out})
+        yield pd.DataFrame({"series": rows["series"], "k": rows["k"], "y": pd.Series(out, index=rows.index, dtype="float64")})
 
     return run

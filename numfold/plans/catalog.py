@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from numfold.functions import design, mat, rng, special, vec
-from numfold.operators import image, interp, linalg, numeric, scan, stiff
+from numfold.operators import estimate, image, interp, linalg, numeric, scan, stiff
 from numfold.plans.registry import IMG_SQL, M_SQL, ORACLES, QUERIES, S_SQL, V_SQL, Query, q, register, sq
 from numfold.sources.tables import HEIGHT, WIDTH, from_json, images, signal, table, to_json, vectors
 
@@ -133,11 +133,9 @@ register("lsq_line", lambda s, sf: table(s, sf, "lineitem").groupBy("l_returnfla
 
 
 def batch_lsq(spark: SparkSession, sf: str) -> DataFrame:
-    """Information form with unit noise and prior I: sums first, then the closed 2 x 2 solution."""
-    x, y = F.col("l_quantity") / 50, F.col("l_discount")
-    s = table(spark, sf, "lineitem").groupBy("l_returnflag").agg((F.count("*") + 1.0).alias("a"), F.sum(x).alias("b"), (F.sum(x * x) + 1.0).alias("d"), F.sum(y).alias("u"), F.sum(x * y).alias("w"))
-    det = F.col("a") * F.col("d") - F.col("b") * F.col("b")
-    return s.select("l_returnflag", q((F.col("d") * F.col("u") - F.col("b") * F.col("w")) / det).alias("x0"), q((F.col("a") * F.col("w") - F.col("b") * F.col("u")) / det).alias("x1"))
+    """Information form with unit noise and prior I."""
+    found = estimate.batch_lsq(table(spark, sf, "lineitem"), ["l_returnflag"], [F.lit(1.0), F.col("l_quantity") / 50], F.col("l_discount"), prior=(np.zeros(2), np.eye(2)))
+    return found.select("l_returnflag", q(F.col("x")[0]).alias("x0"), q(F.col("x")[1]).alias("x1"))
 
 
 register("batch_lsq", batch_lsq, f"WITH s AS (SELECT l_returnflag, count(*)+1::DOUBLE a, sum(l_quantity/50) b, sum(l_quantity/50*l_quantity/50)+1 d, sum(l_discount) u, sum(l_quantity/50*l_discount) w FROM lineitem GROUP BY 1) SELECT l_returnflag, {sq('(d*u-b*w)/(a*d-b*b)')} AS x0, {sq('(a*w-b*u)/(a*d-b*b)')} AS x1 FROM s")
@@ -152,25 +150,96 @@ def scanned(step: scan.Step, start: list[float]) -> Query:
     return lambda s, sf: scan.scan(signal(s, sf), step, start).select("series", "k", q(F.col("y")).alias("y"))
 
 
-b0, b1, b2, a1, a2 = (f"({x!r})::DOUBLE" for x in BW)
-register("biquad", scanned(scan.biquad_step(*BW), [0.0, 0.0]),
-         f"WITH RECURSIVE {ORDERED}, f AS (SELECT series, k, n, {b0}*x AS y, {b1}*x-{a1}*({b0}*x) AS z0, {b2}*x-{a2}*({b0}*x) AS z1 FROM o WHERE n=1 UNION ALL SELECT o.series, o.k, o.n, {b0}*o.x+f.z0, {b1}*o.x-{a1}*({b0}*o.x+f.z0)+f.z1, {b2}*o.x-{a2}*({b0}*o.x+f.z0) FROM f JOIN o ON o.series=f.series AND o.n=f.n+1) SELECT series, k, {sq('y')} AS y FROM f")
-register("biquad_cascade", scanned(scan.cascade_step(special.butterworth(4, 1000.0, 8000.0)), [0.0] * 4))
+
+
+def cascade_sql(sections: list[design.Section]) -> str:
+    """Sections in series, two states each, one step a sample."""
+    parts = [[f"({x!r})::DOUBLE" for x in sec] for sec in sections]
+
+    def columns(x: str, z: Callable[[int], str]) -> tuple[str, str]:
+        states = []
+        for k, (b0, b1, b2, a1, a2) in enumerate(parts):
+            y = f"({b0}*{x}+{z(2 * k)})"
+            states += [f"{b1}*{x}-{a1}*{y}+{z(2 * k + 1)}", f"{b2}*{x}-{a2}*{y}"]
+            x = y
+        return x, ", ".join(f"{v} AS z{k}" for k, v in enumerate(states))
+
+    y0, s0 = columns("x", lambda k: "0::DOUBLE")
+    y1, s1 = columns("o.x", lambda k: f"f.z{k}")
+    return f"WITH RECURSIVE {ORDERED}, f AS (SELECT series, k, n, {y0} AS y, {s0} FROM o WHERE n=1 UNION ALL SELECT o.series, o.k, o.n, {y1}, {s1} FROM f JOIN o ON o.series=f.series AND o.n=f.n+1) SELECT series, k, {sq('y')} AS y FROM f"
+
+
+def filtered(name: str, sections: list[design.Section]) -> None:
+    register(name, scanned(scan.cascade_step(sections), [0.0] * (2 * len(sections))), cascade_sql(sections))
+    register(f"{name}_split", lambda s, sf: scan.linear_scan(signal(s, sf), scan.cascade(sections), 7).select("series", "k", q(F.col("y")).alias("y")), cascade_sql(sections))
+
+
+filtered("biquad", [BW])
+filtered("biquad_cascade", special.butterworth(4, 1000.0, 8000.0))
+filtered("chebyshev1_filter", design.chebyshev1(2, 1.0, 1000.0, 8000.0))
+filtered("lead_filter", [design.lead(math.pi / 4, 10.0, 1.0, 1000.0)])
 register("pid", scanned(scan.pid_step(0.5, 0.1, 0.05, 1.0, 50.0, -20.0, 20.0), [0.0] * 5),
          f"WITH RECURSIVE {ORDERED}, f AS (SELECT series, k, n, x, 0::DOUBLE AS i, 50-x AS e, 0::DOUBLE AS d, greatest(-20, least(20, 0.5::DOUBLE*(50-x))) AS y FROM o WHERE n=1 UNION ALL SELECT series, k, n, x, i+0.2::DOUBLE*(greatest(-20, least(20, u))-u), e, d, greatest(-20, least(20, u)) FROM (SELECT *, 0.5::DOUBLE*e+i+0.05::DOUBLE*d AS u FROM (SELECT o.series, o.k, o.n, o.x, f.i+0.1::DOUBLE*0.5*((50-o.x)+f.e) AS i, 50-o.x AS e, -(o.x-f.x) AS d FROM f JOIN o ON o.series=f.series AND o.n=f.n+1))) SELECT series, k, {sq('y')} AS y FROM f")
-KF = "WITH RECURSIVE " + ORDERED + ", f AS (SELECT series, k, n, 50+(10.1::DOUBLE/(10.1::DOUBLE+4))*(x-50) AS s, (1-10.1::DOUBLE/(10.1::DOUBLE+4))*10.1::DOUBLE AS p FROM o WHERE n=1 UNION ALL SELECT series, k, n, s+(p/(p+4))*(x-s), (1-p/(p+4))*p FROM (SELECT o.series, o.k, o.n, o.x, f.s, f.p+0.1::DOUBLE AS p FROM f JOIN o ON o.series=f.series AND o.n=f.n+1))"
-register("kf_scalar", scanned(scan.kalman_step(1.0, 0.1, 1.0, 4.0), [50.0, 10.0]), KF + f" SELECT series, k, {sq('s')} AS y FROM f")
-register("kf_gated", scanned(scan.kalman_step(1.0, 0.1, 1.0, 4.0, gate=9.0), [50.0, 10.0]))
-register("kf_fading", scanned(scan.kalman_step(1.0, 0.1, 1.0, 4.0, gamma=1.02), [50.0, 10.0]))
-register("rts_scalar", lambda s, sf: scan.rts_scalar(signal(s, sf), 1.0, 0.1, 4.0, 50.0, 10.0).select("series", "k", q(F.col("y")).alias("y")))
+register("pid_filtered", scanned(scan.pid_step(0.4, 0.2, 0.3, 0.5, 40.0, -15.0, 15.0, tau=0.8, kb=0.6), [0.0] * 5),
+         f"WITH RECURSIVE {ORDERED}, f AS (SELECT series, k, n, x, 0::DOUBLE AS i, 40-x AS e, 0::DOUBLE AS d, greatest(-15, least(15, 0.4::DOUBLE*(40-x))) AS y FROM o WHERE n=1 UNION ALL SELECT series, k, n, x, i+0.6::DOUBLE*(greatest(-15, least(15, u))-u)*0.5, e, d, greatest(-15, least(15, u)) FROM (SELECT *, 0.4::DOUBLE*e+i+0.3::DOUBLE*d AS u FROM (SELECT o.series, o.k, o.n, o.x, f.i+0.2::DOUBLE*0.5*((40-o.x)+f.e)*0.5 AS i, 40-o.x AS e, f.d+(0.5::DOUBLE/1.3::DOUBLE)*(-(o.x-f.x)/0.5::DOUBLE-f.d) AS d FROM f JOIN o ON o.series=f.series AND o.n=f.n+1))) SELECT series, k, {sq('y')} AS y FROM f")
+
+
+def kf_sql(step: str, columns: str = "s, p", out: str = "s AS y", digits: int = 6, predicted: str = "f.p+0.1::DOUBLE", first: str = "10.1::DOUBLE") -> str:
+    """Scalar filters from s = 50, p = 10: `step` gives the new columns from z, s and the predicted p."""
+    return f"WITH RECURSIVE {ORDERED}, f AS (SELECT series, k, n, {step} FROM (SELECT series, k, n, x AS z, 50::DOUBLE AS s, {first} AS p FROM o WHERE n=1) UNION ALL SELECT series, k, n, {step} FROM (SELECT o.series, o.k, o.n, o.x AS z, f.s, {predicted} AS p FROM f JOIN o ON o.series=f.series AND o.n=f.n+1)) SELECT series, k, {sq(out.split(' AS ')[0], digits)} AS y FROM f"
+
+
+PLAIN = "s+(p/(p+4))*(z-s) AS s, (1-p/(p+4))*p AS p"
+register("kf_scalar", scanned(scan.kalman_step(1.0, 0.1, 1.0, 4.0), [50.0, 10.0]), kf_sql(PLAIN))
+register("kf_gated", scanned(scan.kalman_step(1.0, 0.1, 1.0, 4.0, gate=9.0), [50.0, 10.0]), kf_sql("CASE WHEN (z-s)*(z-s)/(p+4)>9 THEN s ELSE s+(p/(p+4))*(z-s) END AS s, CASE WHEN (z-s)*(z-s)/(p+4)>9 THEN p ELSE (1-p/(p+4))*p END AS p"))
+register("kf_fading", scanned(scan.kalman_step(1.0, 0.1, 1.0, 4.0, gamma=1.02), [50.0, 10.0]), kf_sql(PLAIN, predicted="1.02::DOUBLE*f.p+0.1::DOUBLE", first="1.02::DOUBLE*10+0.1::DOUBLE"))
+
+SCALAR = dict(q=np.array([[0.1]]), r=np.array([[4.0]]), x0=np.array([50.0]), p0=np.array([[10.0]]))
+same = lambda x: x
+bent = lambda x: x + 0.002 * (x - 50.0) ** 2
+one = lambda x: np.eye(1)
+LEVEL = estimate.Model(same, same, **SCALAR, df=one, dh=one)
+CURVED = estimate.Model(same, bent, **SCALAR, df=one, dh=lambda x: np.array([[1 + 0.004 * (x[0] - 50.0)]]))
+DIFFERENCED = estimate.Model(same, bent, **SCALAR)
+
+
+def tracked(model: estimate.Model, digits: int = 4, **options) -> Query:
+    return lambda s, sf: estimate.track(signal(s, sf), model, estimate.Options(**options)).select("series", "k", q(F.col("state")[0], digits).alias("y"))
+
+
+H_SQL = "({0}+0.002::DOUBLE*({0}-50)*({0}-50))"
+EKF_SQL = "s+p*g/(g*g*p+4)*(z-" + H_SQL.format("s") + ") AS s, (1-p*g/(g*g*p+4)*g)*(1-p*g/(g*g*p+4)*g)*p+4*(p*g/(g*g*p+4))*(p*g/(g*g*p+4)) AS p"
+EKF_SQL = EKF_SQL.replace("g", "(1+0.004::DOUBLE*(s-50))")
+A_SQL, B_SQL = H_SQL.format("(s+sqrt(p))"), H_SQL.format("(s-sqrt(p))")
 
 
-def tracked(kind: str, rounds: int = 1) -> Query:
-    return lambda s, sf: scan.track(signal(s, sf), lambda x: x, lambda x: x, np.array([[0.1]]), np.array([[4.0]]), np.array([50.0]), np.array([[10.0]]), kind, rounds=rounds).select("series", "k", q(F.col("y"), 2).alias("y"))
+def sigma_sql(centre: str) -> str:
+    """Two points at a standard deviation's distance, and the middle one with a covariance weight of `centre`."""
+    mean = f"(0.5::DOUBLE*{A_SQL}+0.5::DOUBLE*{B_SQL})"
+    v = f"({centre}*({H_SQL.format('s')}-{mean})*({H_SQL.format('s')}-{mean})+0.5::DOUBLE*({A_SQL}-{mean})*({A_SQL}-{mean})+0.5::DOUBLE*({B_SQL}-{mean})*({B_SQL}-{mean})+4)"
+    c = f"(0.5::DOUBLE*sqrt(p)*({A_SQL}-{B_SQL}))"
+    return f"s+{c}/{v}*(z-{mean}) AS s, p-{c}*{c}/{v} AS p"
 
 
-for name_, kind_, rounds_ in (("ekf_fd", "extended", 1), ("iekf", "extended", 3), ("ukf", "unscented", 1), ("srukf", "unscented", 1), ("ckf", "cubature", 1)):
-    register(name_, tracked(kind_, rounds_), KF + f" SELECT series, k, {sq('s', 2)} AS y FROM f")
+register("ekf_fd", tracked(DIFFERENCED, 2), kf_sql(EKF_SQL, digits=2))
+for name_, options_, sql_ in (("ekf", {}, EKF_SQL), ("ukf", {"kind": "unscented"}, sigma_sql("2")), ("srukf", {"kind": "square_root"}, sigma_sql("2")), ("ckf", {"kind": "cubature"}, sigma_sql("0"))):
+    register(name_, tracked(CURVED, **options_), kf_sql(sql_, digits=4))
+FLOOR_SQL = "s+(p/(p+4))*(z-s) AS s, greatest(1.5::DOUBLE, (1-p/(p+4))*p) AS p"
+for name_, kind_ in (("kf_min_variance", "extended"), ("srukf_min_variance", "square_root")):
+    register(name_, tracked(LEVEL, kind=kind_, min_variance=1.5), kf_sql(FLOOR_SQL, digits=4, predicted="greatest(1.5::DOUBLE, f.p+0.1::DOUBLE)"))
+for name_, kind_ in (("ekf_gated", "extended"), ("ukf_gated", "unscented"), ("srukf_gated", "square_root"), ("ckf_gated", "cubature")):
+    register(name_, tracked(LEVEL, kind=kind_, gate=9.0, gamma=1.02), kf_sql("CASE WHEN (z-s)*(z-s)/(p+4)>9 THEN s ELSE s+(p/(p+4))*(z-s) END AS s, CASE WHEN (z-s)*(z-s)/(p+4)>9 THEN p ELSE (1-p/(p+4))*p END AS p", digits=4, predicted="1.02::DOUBLE*f.p+0.1::DOUBLE", first="1.02::DOUBLE*10+0.1::DOUBLE"))
+register("iekf", tracked(LEVEL, rounds=3), kf_sql(PLAIN, digits=4))
+#: A position and its change, of which the position is seen.
+DRIFT = estimate.Model(lambda x: np.array([x[0] + x[1], 0.9 * x[1]]), lambda x: x[:1], np.diag([0.1, 0.2]), np.array([[4.0]]), np.array([50.0, 0.0]), np.diag([10.0, 1.0]), df=lambda x: np.array([[1.0, 1.0], [0.0, 0.9]]), dh=lambda x: np.array([[1.0, 0.0]]))
+DRIFT_P = "SELECT series, k, n, z, s+v AS s, 0.9::DOUBLE*v AS v, a+2*b+d+0.1::DOUBLE AS a, 0.9::DOUBLE*(b+d) AS b, 0.81::DOUBLE*d+0.2::DOUBLE AS d FROM ({})"
+DRIFT_U = "SELECT series, k, n, s+a/(a+4)*(z-s) AS s, v+b/(a+4)*(z-s) AS v, a-a*a/(a+4) AS a, b-a*b/(a+4) AS b, d-b*b/(a+4) AS d FROM ({})"
+DRIFT_SQL = f"WITH RECURSIVE {ORDERED}, f AS ({DRIFT_U.format(DRIFT_P.format('SELECT series, k, n, x AS z, 50::DOUBLE AS s, 0::DOUBLE AS v, 10::DOUBLE AS a, 0::DOUBLE AS b, 1::DOUBLE AS d FROM o WHERE n=1'))} UNION ALL {DRIFT_U.format(DRIFT_P.format('SELECT o.series, o.k, o.n, o.x AS z, f.s, f.v, f.a, f.b, f.d FROM f JOIN o ON o.series=f.series AND o.n=f.n+1'))})"
+for kind_ in estimate.KINDS:
+    register(f"kf_drift_{kind_}", lambda s, sf, kind=kind_: estimate.track(signal(s, sf), DRIFT, estimate.Options(kind)).select("series", "k", q(F.col("state")[0], 4).alias("y"), q(F.col("state")[1], 4).alias("v"), q(F.col("covariance")[1], 4).alias("b")), DRIFT_SQL + f" SELECT series, k, {sq('s', 4)} AS y, {sq('v', 4)} AS v, {sq('b', 4)} AS b FROM f")
+RTS_SQL = kf_sql("s+(p/(p+4))*(z-s) AS s, (1-p/(p+4))*p AS p").split(" SELECT series, k, floor")[0] + ", m AS (SELECT series, max(n) AS last FROM f GROUP BY series), b AS (SELECT f.series, f.k, f.n, f.s, f.p FROM f JOIN m ON m.series=f.series AND m.last=f.n UNION ALL SELECT f.series, f.k, f.n, f.s+f.p/(f.p+0.1::DOUBLE)*(b.s-f.s), f.p+f.p/(f.p+0.1::DOUBLE)*(b.p-f.p-0.1::DOUBLE)*f.p/(f.p+0.1::DOUBLE) FROM b JOIN f ON f.series=b.series AND f.n=b.n-1)"
+for name_, kind_ in (("rts_scalar", "extended"), ("rts_unscented", "unscented")):
+    register(name_, lambda s, sf, kind=kind_: estimate.smooth(signal(s, sf), LEVEL, estimate.Options(kind)).select("series", "k", q(F.col("state")[0], 5).alias("y"), q(F.col("covariance")[0], 5).alias("p")), RTS_SQL + f" SELECT series, k, {sq('s', 5)} AS y, {sq('p', 5)} AS p FROM b")
 
 
 def butterworth_design(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,8 +285,6 @@ designed("chebyshev1_highpass_design", design.chebyshev1(2, 1.0, 1000.0, 8000.0,
 FIRST_SQL = f"SELECT 0::INT AS section, {sq('k*(c+z)/(c+p)')} AS b0, {sq('k*(z-c)/(c+p)')} AS b1, 0::DOUBLE AS b2, {sq('(p-c)/(c+p)')} AS a1, 0::DOUBLE AS a2 FROM t"
 designed("lead_design", [design.lead(math.pi / 4, 10.0, 1.0, 1000.0)], "WITH m AS (SELECT (1-sin(pi()/4))/(1+sin(pi()/4)) AS m), t AS (SELECT 2000::DOUBLE AS c, 1/m AS k, 20*pi()*sqrt(m) AS z, 20*pi()/sqrt(m) AS p FROM m) " + FIRST_SQL)
 designed("lag_design", [design.lag(10.0, 1.0, 1000.0)], "WITH t AS (SELECT 2000::DOUBLE AS c, 1::DOUBLE AS k, 2*pi() AS z, 0.2::DOUBLE*pi() AS p) " + FIRST_SQL)
-register("chebyshev1_filter", scanned(scan.biquad_step(*design.chebyshev1(2, 1.0, 1000.0, 8000.0)[0]), [0.0, 0.0]))
-register("lead_filter", scanned(scan.biquad_step(*design.lead(math.pi / 4, 10.0, 1.0, 1000.0)), [0.0, 0.0]))
 
 # --- interpolation -------------------------------------------------------------------
 
