@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .mat import bound
+
 #: Lanczos coefficients (g = 7, nine terms).
 LANCZOS_G = 7.0
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
@@ -359,11 +361,15 @@ def quaternion(w: Column, x: Column, y: Column, z: Column) -> Column:
 
 def quat_mul(p: Column, q: Column) -> Column:
     """Hamilton product."""
-    return quaternion(
-        p["w"] * q["w"] - p["x"] * q["x"] - p["y"] * q["y"] - p["z"] * q["z"],
-        p["w"] * q["x"] + p["x"] * q["w"] + p["y"] * q["z"] - p["z"] * q["y"],
-        p["w"] * q["y"] - p["x"] * q["z"] + p["y"] * q["w"] + p["z"] * q["x"],
-        p["w"] * q["z"] + p["x"] * q["y"] - p["y"] * q["x"] + p["z"] * q["w"],
+    return bound(
+        lambda p, q: quaternion(
+            p["w"] * q["w"] - p["x"] * q["x"] - p["y"] * q["y"] - p["z"] * q["z"],
+            p["w"] * q["x"] + p["x"] * q["w"] + p["y"] * q["z"] - p["z"] * q["y"],
+            p["w"] * q["y"] - p["x"] * q["z"] + p["y"] * q["w"] + p["z"] * q["x"],
+            p["w"] * q["z"] + p["x"] * q["y"] - p["y"] * q["x"] + p["z"] * q["w"],
+        ),
+        p,
+        q,
     )
 
 
@@ -375,9 +381,12 @@ def quat_norm(q: Column) -> Column:
     return F.sqrt(q["w"] * q["w"] + q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
 
 
+def bound_pair(q: Column) -> tuple[Column, Column]:
+    return q, bound(quat_norm, q)
+
+
 def quat_normalize(q: Column) -> Column:
-    n = quat_norm(q)
-    return quaternion(*(q[c] / n for c in "wxyz"))
+    return bound(lambda q, n: quaternion(*(q[c] / n for c in "wxyz")), *bound_pair(q))
 
 
 def quat_inverse(q: Column) -> Column:
@@ -434,12 +443,18 @@ UNIT_EPS = 2.220446049250313e-16
 
 def quat_between(a: list[Column], b: list[Column]) -> Column:
     """The shortest rotation from a to b; opposite vectors turn about an axis across a."""
-    a, b = scaled_to_one(a), scaled_to_one(b)
-    dot, axis = a[0] * b[0] + a[1] * b[1] + a[2] * b[2], cross_of(a, b)
-    near_x = F.abs(a[0]) < 0.9
-    across = scaled_to_one(cross_of(a, [F.when(near_x, 1.0).otherwise(0.0), F.when(near_x, 0.0).otherwise(1.0), F.lit(0.0)]))
-    turned = quat_normalize(quaternion(1 + dot, *axis))
-    return F.when(dot > 1 - UNIT_EPS, quat_identity()).when(dot < -(1 - UNIT_EPS), quaternion(F.lit(0.0), *across)).otherwise(turned)
+
+    def turn(a: Column, b: Column) -> Column:
+        a, b = ([v[k] for k in range(3)] for v in (a, b))
+        dot, axis = a[0] * b[0] + a[1] * b[1] + a[2] * b[2], cross_of(a, b)
+        near_x = F.abs(a[0]) < 0.9
+        beside = cross_of(a, [F.when(near_x, 1.0).otherwise(0.0), F.when(near_x, 0.0).otherwise(1.0), F.lit(0.0)])
+        across = bound(lambda v: quaternion(F.lit(0.0), *scaled_to_one([v[k] for k in range(3)])), F.array(*beside))
+        # w is lost in rounding closer to the opposite than 1e-14, where the cross product still has seven digits
+        return F.when(dot > 1 - UNIT_EPS, quat_identity()).when(dot < -(1 - 1e-14), across).otherwise(quat_normalize(quaternion(1 + dot, *axis)))
+
+    one = lambda v: bound(lambda v: F.array(*scaled_to_one([v[k] for k in range(3)])), F.array(*v))
+    return bound(turn, one(a), one(b))
 
 
 def quat_from_matrix(m: list[list[Column]]) -> Column:
@@ -466,7 +481,7 @@ def quat_from_euler(roll: Column, pitch: Column, yaw: Column) -> Column:
 def quat_from_velocity(omega: list[Column], dt: float | Column) -> Column:
     """The turn of an angular velocity over dt; the identity for a vanishing angle."""
     angle = F.sqrt(omega[0] * omega[0] + omega[1] * omega[1] + omega[2] * omega[2]) * dt
-    return F.when(angle < UNIT_EPS, quat_identity()).otherwise(quat_from_axis_angle(omega, angle))
+    return bound(lambda v, angle: F.when(angle < UNIT_EPS, quat_identity()).otherwise(quat_from_axis_angle([v[k] for k in range(3)], angle)), F.array(*omega), angle)
 
 
 def quat_to_axis_angle(q: Column) -> tuple[list[Column], Column]:

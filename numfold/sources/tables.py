@@ -40,3 +40,36 @@ def from_json(text: Column) -> Column:
     """Column-major values of nested row-major JSON."""
     rows = F.from_json(text, "array<array<double>>")
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(rows[0]) - 1), lambda j: F.transform(rows, lambda r: F.get(r, j))))
+
+
+def vector_to_json(values: Column) -> Column:
+    """Flat JSON array."""
+    return F.to_json(values)
+
+
+def vector_from_json(text: Column) -> Column:
+    return F.from_json(text, "array<double>")
+
+
+def sized_to_json(values: Column, nrows: Column, ncols: Column) -> Column:
+    """JSON object of nrows, ncols and column-major data."""
+    return F.to_json(F.struct(nrows.cast("int").alias("nrows"), ncols.cast("int").alias("ncols"), values.alias("data")))
+
+
+def sized_from_json(text: Column) -> Column:
+    """Struct (nrows, ncols, data); an error if the sizes do not fit the data."""
+    m = F.from_json(text, "nrows int, ncols int, data array<double>")
+    return F.when(m["nrows"] * m["ncols"] == F.size(m["data"]), m).otherwise(F.raise_error(F.lit("the data does not fit nrows and ncols")))
+
+
+def to_ml(values: Column) -> Column:
+    """A vector of pyspark.ml."""
+    from pyspark.ml.functions import array_to_vector
+
+    return array_to_vector(values)
+
+
+def from_ml(vector: Column) -> Column:
+    from pyspark.ml.functions import vector_to_array
+
+    return vector_to_array(vector)
