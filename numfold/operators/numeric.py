@@ -1,9 +1,10 @@
-"""Root finding, minimisation, least squares, quadrature and differential equations."""
+"""Root finding, minimisation, least squares and quadrature; batches of problems at once."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -40,40 +41,86 @@ def newton(f: Column, df: Callable[[Column], Column], x: Column) -> Column:
     return F.when(F.abs(df(x)) >= EPS, x - f / df(x))
 
 
-def gradient(f: Callable[[np.ndarray], float], x: np.ndarray) -> np.ndarray:
-    base, out = f(x), np.zeros(len(x))
-    for j in range(len(x)):
-        h = math.sqrt(EPS) * max(abs(x[j]), 1.0)
+class OptimError(ArithmeticError):
+    """A search that reached its limit, a singular system, or a line search without progress."""
+
+
+@dataclass
+class Minimum:
+    """Of a batch of problems: places (b, n), values, gradient norms, rounds, calls of f, and status."""
+
+    x: np.ndarray
+    f: np.ndarray
+    grad_norm: np.ndarray
+    rounds: np.ndarray
+    evals: np.ndarray
+    status: np.ndarray
+
+
+def steps_of(x: np.ndarray) -> np.ndarray:
+    return math.sqrt(EPS) * np.maximum(np.abs(x), 1.0)
+
+
+def jacobian(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Forward-difference Jacobians (b, m, n) of f on stacks (b, n) -> (b, m)."""
+    base, h, out = f(x), steps_of(x), []
+    for j in range(x.shape[1]):
         z = x.copy()
-        z[j] += h
-        out[j] = (f(z) - base) / h
-    return out
+        z[:, j] += h[:, j]
+        out.append((f(z) - base) / h[:, j, None])
+    return np.stack(out, axis=2)
 
 
-def bfgs(f: Callable[[np.ndarray], float], g: Callable[[np.ndarray], np.ndarray], x: np.ndarray, tol: float = 1e-8, rounds: int = 200) -> tuple[np.ndarray, float, int]:
-    """Minimum by inverse-Hessian updates with backtracking."""
-    x, h = np.array(x, float), np.eye(len(x))
-    fx, gx = f(x), g(x)
-    for k in range(rounds):
-        if np.linalg.norm(gx) < tol:
-            return x, fx, k
-        p = -h @ gx
-        if p @ gx >= 0:
-            h, p = np.eye(len(x)), -gx
-        t = 1.0
+def gradient(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Forward-difference gradients (b, n) of f on stacks (b, n) -> (b,)."""
+    return jacobian(lambda z: f(z)[:, None], x)[:, 0]
+
+
+def bfgs(f: Callable[[np.ndarray], np.ndarray], g: Callable[[np.ndarray], np.ndarray] | None, x: np.ndarray, tol: float = 1e-8, rounds: int = 200) -> Minimum:
+    """Minima of a batch by inverse-Hessian updates with backtracking; f and g take (rows, x) of the problems still open.
+
+    Without g, forward differences."""
+    x = np.array(x, float)
+    b, n = x.shape
+    rows = np.arange(b)
+    g = g or (lambda some, z: gradient(lambda y: f(some, y), z))
+    h, fx, gx = np.tile(np.eye(n), (b, 1, 1)), f(rows, x), g(rows, x)
+    spent, evals, status = np.zeros(b, int), np.ones(b, int), np.full(b, "ok", object)
+    going = np.sqrt((gx * gx).sum(axis=1)) >= tol
+    for _ in range(rounds):
+        at = np.flatnonzero(going)
+        if not len(at):
+            break
+        p = -(h[at] @ gx[at, :, None])[:, :, 0]
+        slope = (p * gx[at]).sum(axis=1)
+        up = slope >= 0
+        h[at[up]], p[up] = np.eye(n), -gx[at[up]]
+        slope = (p * gx[at]).sum(axis=1)
+        t, fy, found = np.ones(len(at)), fx[at].copy(), np.zeros(len(at), bool)
         for _ in range(40):
-            fy = f(x + t * p)
-            if fy <= fx + 1e-4 * t * (p @ gx):
+            open_ = np.flatnonzero(~found)
+            if not len(open_):
                 break
-            t *= 0.5
-        s = t * p
-        gy = g(x + s)
-        y = gy - gx
-        if y @ s > EPS:
-            r = np.eye(len(x)) - np.outer(s, y) / (y @ s)
-            h = r @ h @ r.T + np.outer(s, s) / (y @ s)
-        x, fx, gx = x + s, fy, gy
-    return x, fx, rounds
+            fy[open_] = f(at[open_], x[at[open_]] + t[open_, None] * p[open_])
+            evals[at[open_]] += 1
+            found[open_] = fy[open_] <= fx[at[open_]] + 1e-4 * t[open_] * slope[open_]
+            t[open_[~found[open_]]] *= 0.5
+        status[at[~found]], going[at[~found]] = "LineSearchFailed", False
+        at, p, t, fy = at[found], p[found], t[found], fy[found]
+        s = t[:, None] * p
+        gy = g(at, x[at] + s)
+        y = gy - gx[at]
+        ys = (y * s).sum(axis=1)
+        bent = ys > EPS
+        rho = 1 / np.where(bent, ys, 1.0)
+        left = np.eye(n) - rho[:, None, None] * s[:, :, None] * y[:, None, :]
+        new = left @ h[at] @ left.transpose(0, 2, 1) + rho[:, None, None] * s[:, :, None] * s[:, None, :]
+        h[at] = np.where(bent[:, None, None], new, h[at])
+        x[at], fx[at], gx[at] = x[at] + s, fy, gy
+        spent[at] += 1
+        going[at] = np.sqrt((gy * gy).sum(axis=1)) >= tol
+    status[going] = "MaxIterations"
+    return Minimum(x, fx, np.sqrt((gx * gx).sum(axis=1)), spent, evals, status)
 
 
 def normal_equations(df: DataFrame, residual: Callable[[list[float]], Column], jacobian: Callable[[list[float]], list[Column]], params: list[float]) -> tuple[np.ndarray, np.ndarray, float]:
@@ -92,11 +139,14 @@ def normal_equations(df: DataFrame, residual: Callable[[list[float]], Column], j
 
 
 def levenberg_marquardt(df: DataFrame, residual, jacobian, params: list[float], damping: float = 1e-3, rounds: int = 50, tol: float = 1e-10) -> tuple[list[float], float]:
-    """Least squares over all rows of df; damping 0 gives Gauss-Newton steps."""
+    """Least squares over all rows of df; damping 0 gives Gauss-Newton steps. A singular system is an OptimError."""
     x, mu = list(params), damping
     jj, g, cost = normal_equations(df, residual, jacobian, x)
     for _ in range(rounds):
-        step = np.linalg.solve(jj + mu * np.eye(len(x)), -g)
+        try:
+            step = np.linalg.solve(jj + mu * np.eye(len(x)), -g)
+        except np.linalg.LinAlgError:
+            raise OptimError("Singular") from None
         new = [a + float(b) for a, b in zip(x, step, strict=True)]
         jj2, g2, cost2 = normal_equations(df, residual, jacobian, new)
         if not damping or cost2 < cost:
@@ -135,80 +185,21 @@ def simpson(f: Callable[[Column], Column], a: Column, b: Column, n: int) -> Colu
     return h / 3 * (f(a) + f(b) + inner)
 
 
-def adaptive_simpson(f: Callable[[float], float], a: float, b: float, tol: float) -> float:
-    """Worklist of halved intervals with Richardson correction, at most 50 deep."""
+def adaptive_simpson(f: Callable[[np.ndarray], np.ndarray], a: np.ndarray, b: np.ndarray, tol: float, deepest: int = 50) -> np.ndarray:
+    """Integrals of f over a batch of intervals: all open halves at once, with Richardson's correction, at most 50 deep."""
     if not tol > 0:
         raise ValueError("tol must be positive")
+    lo, hi = np.broadcast_arrays(np.asarray(a, float).reshape(-1), np.asarray(b, float).reshape(-1))
     simple = lambda lo, hi: (hi - lo) / 6 * (f(lo) + 4 * f((lo + hi) / 2) + f(hi))
-    work, total = [(a, b, simple(a, b), tol, 0)], 0.0
-    while work:
-        lo, hi, whole, t, depth = work.pop()
+    total, of, whole, t = np.zeros(len(lo)), np.arange(len(lo)), simple(lo, hi), tol
+    for depth in range(deepest + 1):
+        if not len(of):
+            break
         mid = (lo + hi) / 2
         left, right = simple(lo, mid), simple(mid, hi)
         error = left + right - whole
-        if abs(error) <= 15 * t or depth >= 50:
-            total += left + right + error / 15
-        else:
-            work += [(lo, mid, left, t / 2, depth + 1), (mid, hi, right, t / 2, depth + 1)]
+        done = (np.abs(error) <= 15 * t) | (depth == deepest)
+        np.add.at(total, of[done], (left + right + error / 15)[done])
+        lo, hi, whole = (np.concatenate([x[~done], y[~done]]) for x, y in ((lo, mid), (mid, hi), (left, right)))
+        of, t = np.concatenate([of[~done]] * 2), t / 2
     return total
-
-
-#: Embedded Runge-Kutta tableaus (nodes, stages, weights, error weights, order).
-RKF45 = (
-    (0, 1 / 4, 3 / 8, 12 / 13, 1, 1 / 2),
-    ((), (1 / 4,), (3 / 32, 9 / 32), (1932 / 2197, -7200 / 2197, 7296 / 2197), (439 / 216, -8, 3680 / 513, -845 / 4104), (-8 / 27, 2, -3544 / 2565, 1859 / 4104, -11 / 40)),
-    (16 / 135, 0, 6656 / 12825, 28561 / 56430, -9 / 50, 2 / 55),
-    (16 / 135 - 25 / 216, 0, 6656 / 12825 - 1408 / 2565, 28561 / 56430 - 2197 / 4104, -9 / 50 + 1 / 5, 2 / 55),
-    5,
-)
-#: Tsitouras 5(4). A stage's first weight is its node less the weights named here.
-TSIT_NODES = (0.0, 0.161, 0.327, 0.9, 0.9800255409045097, 1.0)
-TSIT_STAGES = (
-    (),
-    (),
-    (0.335480655492357,),
-    (-6.359448489975075, 4.362295432869581),
-    (-11.74888356406283, 7.495539342889836, -0.09249506636175525),
-    (-12.92096931784711, 8.159367898576159, -0.071584973281401, -0.02826905039406838),
-)
-TSIT_WEIGHTS = (0.09646076681806523, 0.01, 0.4798896504144996, 1.379008574103742, -3.290069515436081, 2.324710524099774)
-TSIT_ERRORS = (0.001780011052226, 0.000816434459657, -0.007880878010262, 0.144711007173263, -0.582357165452555, 0.458082105929187, -1 / 66)
-TSIT54 = (
-    (*TSIT_NODES, 1.0),
-    ((), *((c - sum(rest), *rest) for c, rest in zip(TSIT_NODES[1:], TSIT_STAGES[1:], strict=True)), TSIT_WEIGHTS),
-    (*TSIT_WEIGHTS, 0.0),
-    TSIT_ERRORS,
-    5,
-)
-TABLEAUS = {"rkf45": RKF45, "tsit54": TSIT54}
-
-
-def solve_ivp(f: Callable[[float, np.ndarray], np.ndarray], t0: float, t1: float, y0: np.ndarray, method: str = "rkf45", rtol: float = 1e-10, atol: float = 1e-10, dense: bool = False):
-    """Adaptive integration: (y at t1, accepted, rejected, [(t, y)])."""
-    nodes, stages, weights, errors, order = TABLEAUS[method]
-    t, y, last = t0, np.array(y0, float), 1.0
-    sign = 1.0 if t1 >= t0 else -1.0
-    h = sign * min(abs(t1 - t0), 1e-3 * max(abs(t1 - t0), 1e-6)) or 1e-6
-    accepted = rejected = run = 0
-    path = [(t, y)]
-    while (t1 - t) * sign > 0:
-        h = sign * min(abs(h), abs(t1 - t))
-        k: list[np.ndarray] = []
-        for c, row in zip(nodes, stages, strict=True):
-            k.append(f(t + c * h, y + h * sum((a * s for a, s in zip(row, k, strict=False)), np.zeros_like(y))))
-        new = y + h * sum(w * s for w, s in zip(weights, k, strict=True))
-        e = h * sum(w * s for w, s in zip(errors, k, strict=True))
-        err = float(np.sqrt(np.mean((e / (atol + rtol * np.maximum(np.abs(y), np.abs(new)))) ** 2)))
-        if not math.isfinite(err):
-            raise ArithmeticError("step is not finite")
-        if err < 1:
-            t, y, accepted, run = t + h, new, accepted + 1, 0
-            path.append((t, y))
-            h *= min(5.0, max(0.2, 0.9 * max(err, 1e-10) ** (-0.7 / order) * last ** (0.4 / order)))
-            last = max(err, 1e-10)
-        else:
-            rejected, run = rejected + 1, run + 1
-            h *= max(0.1, 0.9 * err ** (-1 / order))
-            if run > 60:
-                raise ArithmeticError("too many rejected steps")
-    return y, accepted, rejected, path if dense else []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from numfold.functions import design, mat, rng, special, vec
-from numfold.operators import estimate, image, interp, linalg, numeric, scan, stiff
+from numfold.operators import estimate, image, interp, linalg, numeric, ode, scan
 from numfold.plans.registry import IMG_SQL, M_SQL, ORACLES, QUERIES, S_SQL, V_SQL, Query, q, register, sq
 from numfold.sources.tables import HEIGHT, WIDTH, from_json, images, signal, table, to_json, vectors
 
@@ -486,9 +486,24 @@ def vectorised(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Colu
 
 
 scalars(vectorised(lambda x: numeric.brent(lambda t: t**3 - x, np.zeros_like(x), np.full_like(x, 10.0))), "pow(x, 1/3::DOUBLE)", "brent")
-scalars(vectorised(lambda x: np.array([numeric.adaptive_simpson(math.exp, 0.0, t, 1e-10) for t in x])), "exp(x)-1", "adaptive_simpson")
-scalars(vectorised(lambda x: np.array([numeric.solve_ivp(lambda t, y: -y, 0.0, 1.0, [t])[0][0] for t in x])), "x*exp(-1::DOUBLE)", "ode_rkf45")
-scalars(vectorised(lambda x: np.array([numeric.bfgs(lambda y, t=t: (y[0] - t) ** 2 + (y[1] + t) ** 2, lambda y, t=t: np.array([2 * (y[0] - t), 2 * (y[1] + t)]), [0.0, 0.0])[0][0] for t in x])), "x", "bfgs")
+scalars(vectorised(lambda x: numeric.adaptive_simpson(np.exp, np.zeros_like(x), x, 1e-10)), "exp(x)-1", "adaptive_simpson")
+scalars(vectorised(lambda x: ode.solve_many(lambda t, y: -y, 0.0, 1.0, x[:, None]).y[:, 0]), "x*exp(-1::DOUBLE)", "ode_rkf45")
+target = lambda x: np.stack([x, -x], axis=1)
+scalars(vectorised(lambda x: numeric.bfgs(lambda i, y: ((y - target(x[i])) ** 2).sum(axis=1), lambda i, y: 2 * (y - target(x[i])), np.zeros((len(x), 2))).x[:, 0]), "x", "bfgs")
+# (1 - u)^2 + 5 (v - u^2)^2 + (w - x)^2: a bent valley whose floor is at (1, 1, x)
+valley = lambda x, i, y: (1 - y[:, 0]) ** 2 + 5 * (y[:, 1] - y[:, 0] ** 2) ** 2 + (y[:, 2] - x[i]) ** 2
+off = lambda f: lambda x: vectorised(f)(x * 0.975318642)  # noqa: E731  points without decimal ties
+scalars(off(lambda x: numeric.bfgs(lambda i, y: valley(x, i, y), None, np.full((len(x), 3), -0.5), 1e-6).x.sum(axis=1)), "x*0.975318642::DOUBLE+2", "bfgs_valley", 3)
+# x^3, sin(2 x): forward differences against the derivatives
+scalars(off(lambda x: numeric.jacobian(lambda z: np.stack([z[:, 0] ** 3 + np.sin(2 * z[:, 1]), z[:, 0] * z[:, 1]], axis=1), np.stack([x, x / 2], axis=1)) @ np.array([1.0, 10.0]) @ np.array([1.0, 100.0])), "3*z*z+20*cos(z)+100*(z/2)+1000*z".replace("z", "(x*0.975318642::DOUBLE)"), "finite_difference_jacobian", 3)
+scalars(off(lambda x: numeric.gradient(lambda z: z[:, 0] ** 3 + z[:, 1] * z[:, 0], np.stack([x, 2 * x], axis=1)).sum(axis=1)), "3*z*z+3*z".replace("z", "(x*0.975318642::DOUBLE)"), "finite_difference_gradient", 3)
+scalars(vectorised(lambda x: ode.rk4(lambda t, y: -0.5 * y, 0.0, 1.03, x[:, None], 0.1)[:, 0]), "x*pow(1-0.05::DOUBLE+0.00125::DOUBLE-0.05::DOUBLE*0.05*0.05/6+pow(0.05::DOUBLE,4)/24, 10)*(1-0.015::DOUBLE+0.015::DOUBLE*0.015/2-0.015::DOUBLE*0.015*0.015/6+pow(0.015::DOUBLE,4)/24)", "rk4_cut")
+for method_ in ("order65", "order87", "order98"):
+    # y'' = -y from (x, 0), and backwards
+    scalars(vectorised(lambda x, m=method_: ode.solve_many(lambda t, y: np.stack([y[:, 1], -y[:, 0]], axis=1), 0.0, 2.0, np.stack([x, 0 * x], axis=1), m, 1e-11, 1e-11).y[:, 0]), "x*cos(2::DOUBLE)", f"ode_{method_}")
+    scalars(vectorised(lambda x, m=method_: ode.solve_many(lambda t, y: np.stack([y[:, 1], -y[:, 0]], axis=1), 2.0, 0.0, np.stack([x, 0 * x], axis=1), m, 1e-11, 1e-11).y[:, 1]), "x*sin(2::DOUBLE)", f"ode_{method_}_backwards")
+for method_ in ("rkf45", "tsit54", "order87"):
+    scalars(vectorised(lambda x, m=method_: ode.solve_many(lambda t, y: y * np.cos(t)[:, None], 0.0, 3.0, x[:, None], m, 1e-11, 1e-11, dense=True).at(np.where(x > 1.5, 1.234, 2.5))[:, 0]), "x*exp(sin(CASE WHEN x>1.5 THEN 1.234::DOUBLE ELSE 2.5::DOUBLE END))", f"ode_dense_{method_}", 5)
 scalars(lambda x: scan.rk4_linear(x, -0.5, 0.1, 20), "x*pow(1-0.05::DOUBLE+0.00125::DOUBLE-0.05::DOUBLE*0.05*0.05/6+pow(0.05::DOUBLE,4)/24, 20)", "rk4_decay")
 
 
@@ -530,8 +545,8 @@ rotations("quat_to_euler", lambda p, v: dict(zip(("roll", "pitch", "yaw"), speci
 rotations("quat_slerp", lambda p, v: wxyz(special.quat_slerp(p, special.quaternion(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)), 0.3)), {"w": "(sin(0.7::DOUBLE*acos(abs(w)))*w+sin(0.3::DOUBLE*acos(abs(w)))*sign(w))/sin(acos(abs(w)))", "x": "sin(0.7::DOUBLE*acos(abs(w)))*i/sin(acos(abs(w)))", "y": "sin(0.7::DOUBLE*acos(abs(w)))*j/sin(acos(abs(w)))", "z": "sin(0.7::DOUBLE*acos(abs(w)))*k/sin(acos(abs(w)))"})
 register("matrix_json", lambda s, sf: vectors(s, sf).select("vec_id", F.posexplode(from_json(to_json(F.slice("a", 1, 6), 2, 3))).alias("pos", "v")).select("vec_id", "pos", q(F.col("v")).alias("v")), f"WITH {V_SQL} SELECT vec_id, pos, {sq('a')} AS v FROM v WHERE pos<6")
 register("vec_order", lambda s, sf: vectors(s, sf).select("vec_id", (F.slice("a", 1, 3) < F.slice("a", 4, 3)).alias("less")), f"WITH {S_SQL} SELECT vec_id, e0<e3 OR (e0=e3 AND (e1<e4 OR (e1=e4 AND e2<e5))) AS less FROM s")
-scalars(vectorised(lambda x: np.array([numeric.solve_ivp(lambda t, y: -y, 0.0, 1.0, [t], "tsit54")[0][0] for t in x])), "x*exp(-1::DOUBLE)", "ode_tsit54")
-scalars(vectorised(lambda x: np.array([stiff.solve_stiff(lambda t, y: -50 * (y - np.cos(t)), 0.0, 0.5, [t])[0][0] for t in x])), "(2500*cos(0.5::DOUBLE)+50*sin(0.5::DOUBLE))/2501+(x-2500::DOUBLE/2501)*exp(-25::DOUBLE)", "ode_rodas4")
+scalars(vectorised(lambda x: ode.solve_many(lambda t, y: -y, 0.0, 1.0, x[:, None], "tsit54").y[:, 0]), "x*exp(-1::DOUBLE)", "ode_tsit54")
+scalars(vectorised(lambda x: ode.solve_stiff_many(lambda t, y: -50 * (y - np.cos(t)[:, None]), 0.0, 0.5, x[:, None]).y[:, 0]), "(2500*cos(0.5::DOUBLE)+50*sin(0.5::DOUBLE))/2501+(x-2500::DOUBLE/2501)*exp(-25::DOUBLE)", "ode_rodas4")
 
 
 # --- random streams ------------------------------------------------------------------

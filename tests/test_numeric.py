@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from numfold.functions import design, mat, rng, special, vec
-from numfold.operators import image, interp, linalg, numeric, scan, stiff
+from numfold.functions import distributions as dist
+from numfold.operators import estimate, image, interp, linalg, numeric, ode, scan
 
 
 def test_solve_literal(spark):
@@ -46,8 +47,8 @@ def test_numeric():
     assert numeric.brent(lambda t: t * t - 2, np.array([0.0]), np.array([2.0]))[0] == pytest.approx(math.sqrt(2))
     with pytest.raises(numeric.BracketInvalid):
         numeric.brent(lambda t: t * t + 1, np.array([0.0]), np.array([2.0]))
-    assert numeric.adaptive_simpson(math.sin, 0.0, math.pi, 1e-12) == pytest.approx(2.0)
-    y, *_ = numeric.solve_ivp(lambda t, y: np.array([y[1], -y[0]]), 0.0, 2 * math.pi, np.array([1.0, 0.0]))
+    assert numeric.adaptive_simpson(np.sin, 0.0, math.pi, 1e-12)[0] == pytest.approx(2.0)
+    y, *_ = ode.solve_ivp(lambda t, y: np.array([y[1], -y[0]]), 0.0, 2 * math.pi, np.array([1.0, 0.0]))
     assert y == pytest.approx([1.0, 0.0], abs=1e-8)
 
 
@@ -89,7 +90,7 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert [(r.series, r.k, r.y) for r in got] == [(r.series, r.k, r.y) for r in want]
 
 
-@pytest.mark.parametrize("name", ["segmentation", "biquad", "interp_linear", "normal_quantile", "erf", "lu_n"])
+@pytest.mark.parametrize("name", ["segmentation", "biquad", "interp_linear", "normal_quantile", "erf", "lu_n", "schur_n", "srukf", "rts_scalar", "sample_gamma", "canny", "dist_gamma", "interp_spline", "quat_propagate"])
 def test_queries_match_sql(spark, name):
     import duckdb
 
@@ -149,9 +150,178 @@ def test_streams(spark):
 
 def test_solvers():
     turn = lambda t, y: np.array([y[1], -y[0]])
-    assert np.allclose(numeric.solve_ivp(turn, 0.0, 3.0, [0.0, 1.0], "tsit54")[0], [math.sin(3), math.cos(3)], atol=1e-8)
-    assert np.allclose(stiff.solve_stiff(turn, 3.0, 0.0, [math.sin(3), math.cos(3)])[0], [0.0, 1.0], atol=1e-6)
-    fast = stiff.solve_stiff(lambda t, y: -1000 * y, 0.0, 0.01, [1.0], lambda t, y: np.array([[-1000.0]]))
+    assert np.allclose(ode.solve_ivp(turn, 0.0, 3.0, [0.0, 1.0], "tsit54")[0], [math.sin(3), math.cos(3)], atol=1e-8)
+    assert np.allclose(ode.solve_stiff(turn, 3.0, 0.0, [math.sin(3), math.cos(3)])[0], [0.0, 1.0], atol=1e-6)
+    fast = ode.solve_stiff(lambda t, y: -1000 * y, 0.0, 0.01, [1.0], lambda t, y: np.array([[-1000.0]]))
     assert fast[0][0] == pytest.approx(math.exp(-10), abs=1e-8)
-    robertson = stiff.solve_stiff(lambda t, y: np.array([-0.04 * y[0] + 1e4 * y[1] * y[2], 0.04 * y[0] - 1e4 * y[1] * y[2] - 3e7 * y[1] ** 2, 3e7 * y[1] ** 2]), 0.0, 40.0, [1.0, 0.0, 0.0], rtol=1e-8, atol=1e-12)
+    robertson = ode.solve_stiff(lambda t, y: np.array([-0.04 * y[0] + 1e4 * y[1] * y[2], 0.04 * y[0] - 1e4 * y[1] * y[2] - 3e7 * y[1] ** 2, 3e7 * y[1] ** 2]), 0.0, 40.0, [1.0, 0.0, 0.0], rtol=1e-8, atol=1e-12)
     assert robertson[0] == pytest.approx([0.7158270688, 9.185534765e-6, 0.2841637458], rel=1e-4) and robertson[1] < 1000
+
+
+def test_square_root_filter_equals_textbook():
+    """A bent 2-D model: sigma-point filters against the plain formulas, the square root staying a factor."""
+    f = lambda x: np.array([x[0] + 0.1 * x[1], x[1] - 0.1 * math.sin(x[0])])
+    h = lambda x: np.array([math.hypot(x[0] + 2, x[1]), x[0] * x[1]])
+    model = estimate.Model(f, h, np.diag([0.01, 0.02]), np.diag([0.1, 0.2]), np.array([0.5, 0.1]), np.array([[1.0, 0.2], [0.2, 0.5]]))
+
+    def textbook(kind, zs):
+        x, p, out = model.x0, model.p0, []
+        for z in zs:
+            for g, noise, seen in ((f, model.q, None), (h, model.r, z)):
+                low = np.linalg.cholesky(p)
+                pts = [x] * (kind == "unscented") + [x + s * math.sqrt(2) * low[:, k] for s in (1, -1) for k in range(2)]
+                wm = [0.0, *[0.25] * 4] if kind == "unscented" else [0.25] * 4
+                wc = [2.0, *[0.25] * 4] if kind == "unscented" else [0.25] * 4
+                y = [g(v) for v in pts]
+                mean = sum(w * v for w, v in zip(wm, y, strict=True))
+                cov = sum(w * np.outer(v - mean, v - mean) for w, v in zip(wc, y, strict=True)) + noise
+                if seen is None:
+                    x, p = mean, cov
+                else:
+                    cross = sum(w * np.outer(u - x, v - mean) for w, u, v in zip(wc, pts, y, strict=True))
+                    k = cross @ np.linalg.inv(cov)
+                    x, p = x + k @ (seen - mean), p - k @ cov @ k.T
+            out.append((x, p))
+        return out
+
+    zs = np.random.default_rng(3).normal(size=(12, 2)) * 0.3 + [2.5, 0.1]
+    for kind, like in (("unscented", "unscented"), ("square_root", "unscented"), ("cubature", "cubature")):
+        g = estimate.Filter(model, estimate.Options(kind))
+        for z, (x, p) in zip(zs, textbook(like, zs), strict=True):
+            g.predict()
+            assert g.update(z) >= 0
+            assert g.x == pytest.approx(x, abs=1e-9) and np.allclose(g.p, p, atol=1e-9)
+            if kind == "square_root":
+                assert np.allclose(np.triu(g.s, 1), 0)
+    # iterated: the update of a bent measurement reaches the point where another round changes nothing
+    g = estimate.Filter(model, estimate.Options(rounds=50))
+    g.predict()
+    x, p = g.x.copy(), g.p.copy()
+    g.update(zs[0])
+    j = estimate.jacobian(h, g.x)
+    k = p @ j.T @ np.linalg.inv(j @ p @ j.T + model.r)
+    assert g.x == pytest.approx(x + k @ (zs[0] - h(g.x) - j @ (x - g.x)), abs=1e-6)
+
+
+def test_estimators_keep_going(spark):
+    rows = [(1, k, x) for k, x in enumerate([1.0, None, float("nan"), 2.0, 50.0])] + [(2, 0, 1.0), (None, 0, 3.0)]
+    signal = spark.createDataFrame(rows, "series long, k long, x double")
+    model = estimate.Model(lambda x: x, lambda x: x, np.eye(1), np.eye(1), np.zeros(1), np.eye(1))
+    got = {(r.series, r.k): r for r in estimate.track(signal, model, estimate.Options(gate=20.0)).collect()}
+    assert [got[1, k].status for k in range(5)] == ["ok", "missing", "missing", "ok", "gated"] and got[2, 0].status == "ok"
+    assert got[1, 2].covariance[0] == pytest.approx(got[1, 0].covariance[0] + 2)
+    bad = estimate.Model(lambda x: x, lambda x: x, np.eye(1) * -5, np.eye(1), np.zeros(1), np.eye(1))
+    assert {r.status for r in estimate.track(signal, bad, estimate.Options("cubature")).collect()} <= {"CovarianceNotPD", "missing"}
+    assert estimate.smooth(signal, model).count() == 7 and estimate.smooth(signal.limit(0), model).count() == 0
+    out = {(r.series, r.k): r.y for r in scan.scan(signal, scan.kalman_step(1.0, 1.0, 1.0, 1.0), [0.0, 1.0]).collect()}
+    assert out[1, 1] is None and out[1, 2] is None and out[1, 3] is not None
+
+
+def test_a_series_split_over_tasks(spark):
+    rows = spark.range(3000).select(F.lit(7).alias("series"), F.col("id").alias("k"), F.when(F.col("id") % 50 == 3, None).otherwise(F.sin(F.col("id") * 0.1)).alias("x"))
+    sections = special.butterworth(5, 1000.0, 8000.0)
+    one = {r.k: r.y for r in scan.scan(rows, scan.cascade_step(sections), [0.0] * (2 * len(sections))).collect()}
+    many = {r.k: r.y for r in scan.linear_scan(rows, scan.cascade(sections), 9).collect()}
+    assert one.keys() == many.keys() and all((one[k] is None and many[k] is None) or one[k] == pytest.approx(many[k], abs=1e-12) for k in one)
+
+
+def test_many_knots(spark, monkeypatch):
+    rng_ = np.random.default_rng(8)
+    xs = np.sort(rng_.choice(4000, 700, replace=False)).astype(float)
+    knots = spark.createDataFrame([(float(x), math.sin(x / 50), math.cos(x / 50) / 50) for x in xs], "x double, y double, dy double")
+    at = spark.createDataFrame([(i, float(x)) for i, x in enumerate([*rng_.uniform(-100, 4100, 300), *xs[:20], xs[-1], xs[0]])] + [(999, None)], "id long, x double")
+    want = {f: {r.id: (r.y, r.slope) for r in f(at, knots).collect()} for f in (interp.linear, interp.hermite, interp.spline)}
+    monkeypatch.setattr(interp, "KNOTS", 10)
+    monkeypatch.setattr(interp, "BLOCK", 100)
+    for f, small in want.items():
+        large = {r.id: (r.y, r.slope) for r in f(at, knots).collect()}
+        assert large.keys() == small.keys() and large[999] == (None, None)
+        assert all(large[i] == pytest.approx(small[i], rel=1e-9, abs=1e-12) for i in large if i != 999), f.__name__
+    with pytest.raises(interp.InterpError):
+        interp.lagrange(at, knots)
+    with pytest.raises(interp.InterpError):
+        interp.linear(at, knots.union(knots))
+
+
+def test_components_of_literal_images(spark):
+    def found(lines, eight=False):
+        img = spark.createDataFrame([("a", r, c, float(v)) for r, line in enumerate(lines) for c, v in enumerate(line)], "img string, r int, c int, v double")
+        return image.component_stats(image.labelled(img, len(lines), len(lines[0]), eight)).orderBy("label").collect()
+
+    two = found([[1, 1, 0, 0, 0], [1, 1, 0, 0, 0], [0, 0, 0, 1, 1], [0, 0, 0, 1, 1]])
+    assert [(r.label, r.area, r.r0, r.c0, r.r1, r.c1) for r in two] == [(1, 4, 0, 0, 1, 1), (2, 4, 2, 3, 3, 4)]
+    assert len(found([[1, 0], [0, 1]])) == 2 and len(found([[1, 0], [0, 1]], True)) == 1
+    u = found([[1, 0, 1], [1, 0, 1], [1, 1, 1], [0, 0, 0]])
+    assert [(r.label, r.area) for r in u] == [(1, 7)]
+    block = found([[1 if 1 <= r <= 3 and 2 <= c <= 4 else 0 for c in range(8)] for r in range(6)])
+    assert [(r.area, r.cy, r.cx, r.mu20, r.mu02, r.mu11) for r in block] == [(9, 2.0, 3.0, 6.0, 6.0, 0.0)]
+    spiral = found(["1111111", "0000001", "1111101", "1000101", "1011101", "1000001", "1111111"])
+    assert len(spiral) == 1
+    assert found([[0, 0], [0, 0]]) == []
+
+
+def test_canny_finds_a_step(spark):
+    img = spark.createDataFrame([("a", r, c, 1.0 if c >= 8 else 0.0) for r in range(16) for c in range(16)], "img string, r int, c int, v double")
+    edges = {(r.r, r.c) for r in image.canny(img, 1.0, 0.05, 0.15, 16, 16).where("v = 1").collect()}
+    assert edges and {c for _, c in edges} <= {7, 8} and {r for r, _ in edges} == set(range(1, 15))
+
+
+def test_distributions_refuse_bad_parameters():
+    for make in (lambda: dist.Normal(0, 0), lambda: dist.Uniform(1, 1), lambda: dist.Exponential(0), lambda: dist.Gamma(-1, 1), lambda: dist.Beta(0, 1), lambda: dist.Bernoulli(1.5), lambda: dist.Binomial(-1, 0.5), lambda: dist.Poisson(0), lambda: dist.ChiSquared(0), lambda: dist.StudentT(0)):
+        with pytest.raises(dist.StatsError):
+            make()
+    assert math.isnan(dist.StudentT(1.0).mean()) and dist.StudentT(1.5).variance() == math.inf
+
+
+def test_extrapolated_pairs_have_their_order():
+    decay = lambda t, y: -2 * y + np.cos(t)[:, None]
+    exact = lambda t: (2 * math.cos(t) + math.sin(t)) / 5 + (1 - 0.4) * math.exp(-2 * t)
+    for name, order in (("order65", 6), ("order87", 8)):
+        step = ode.explicit(decay, ode.TABLEAUS[name])
+        errors = [abs(step(np.zeros(1), np.ones((1, 1)), np.array([h]))[0][0, 0] - exact(h)) for h in (0.8, 0.4)]
+        assert errors[0] / errors[1] == pytest.approx(2 ** (order + 1), rel=0.35), name
+    for t in ode.TABLEAUS.values():
+        assert sum(t[2]) == pytest.approx(1, abs=1e-9) and sum(t[3]) == pytest.approx(0, abs=1e-9)
+    with pytest.raises(ode.OdeError):
+        ode.solve_many(decay, 0.0, 1.0, np.ones((1, 1))).at(0.5)
+    stopped = ode.solve_many(lambda t, y: np.where(y > 2, np.nan, y * y), 0.0, 2.0, np.array([[0.1], [1.0]]))
+    assert list(stopped.status) == ["ok", "NotFinite"] and stopped.y[0, 0] == pytest.approx(0.1 / 0.8)
+
+
+def test_searches_report_how_they_ended():
+    m = numeric.bfgs(lambda i, x: (x**2).sum(axis=1), None, np.array([[1.0, 2.0], [0.0, 0.0]]), tol=1e-6, rounds=1)
+    assert list(m.status) == ["MaxIterations", "ok"] and m.evals[0] > 1 and m.rounds[1] == 0
+    assert numeric.adaptive_simpson(np.sin, np.zeros(2), np.array([math.pi, 1.0]), 1e-12) == pytest.approx([2.0, 1 - math.cos(1.0)])
+    with pytest.raises(ValueError):
+        numeric.adaptive_simpson(np.sin, np.zeros(1), np.ones(1), 0.0)
+
+
+def test_circle_and_decay_fits(spark):
+    points = spark.createDataFrame([(1 + 2 * math.cos(t), 1 + 2 * math.sin(t)) for t in range(6)], "px double, py double")
+    away = lambda p: F.sqrt((F.col("px") - p[0]) ** 2 + (F.col("py") - p[1]) ** 2)
+    for damping in (0.0, 1e-3):
+        x, cost = numeric.levenberg_marquardt(points, lambda p: away(p) - p[2], lambda p: [(F.lit(p[0]) - F.col("px")) / away(p), (F.lit(p[1]) - F.col("py")) / away(p), F.lit(-1.0)], [0.3, 0.2, 1.5], damping)
+        assert x == pytest.approx([1, 1, 2], abs=1e-6) and cost < 1e-12
+    decay = spark.createDataFrame(list(zip([0.0, 1.0, 2.0, 3.0, 4.0], [2.0, 2.7, 3.65, 4.95, 6.7], strict=True)), "t double, y double")
+    x, cost = numeric.levenberg_marquardt(decay, lambda p: p[0] * F.exp(p[1] * F.col("t")) - F.col("y"), lambda p: [F.exp(p[1] * F.col("t")), p[0] * F.col("t") * F.exp(p[1] * F.col("t"))], [1.0, 0.1])
+    assert cost < 0.1 and x == pytest.approx([2.0, 0.3], abs=0.05)
+
+
+def test_shared_folder_is_demanded_on_a_cluster(spark, monkeypatch):
+    from numfold.operators import shared
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Cluster())
+
+
+def test_matrices_between_forms(spark):
+    from numfold.sources import tables
+
+    row = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "a array<double>").select(tables.from_ml(tables.to_ml(F.col("a"))).alias("ml"), tables.to_json(F.col("a"), 2, 2).alias("j"), tables.sized_to_json(F.col("a"), F.lit(2), F.lit(2)).alias("s")).first()
+    assert row.ml == [1.0, 2.0, 3.0, 4.0] and row.j == "[[1.0,3.0],[2.0,4.0]]" and '"nrows":2' in row.s
+    with pytest.raises(Exception, match="does not fit"):
+        spark.createDataFrame([('{"nrows":2,"ncols":2,"data":[1.0]}',)], "j string").select(tables.sized_from_json(F.col("j"))).collect()
