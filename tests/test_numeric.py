@@ -289,8 +289,8 @@ def test_extrapolated_pairs_have_their_order():
 
 
 def test_searches_report_how_they_ended():
-    m = numeric.bfgs(lambda i, x: (x**2).sum(axis=1), None, np.array([[1.0, 2.0], [0.0, 0.0]]), tol=1e-6, rounds=1)
-    assert list(m.status) == ["MaxIterations", "ok"] and m.evals[0] > 1 and m.rounds[1] == 0
+    m = numeric.bfgs(lambda i, x: (x**2).sum(axis=1), None, np.array([[1.0, 2.0], [0.0, 0.0]]), tol=1e-6, rounds=0)
+    assert list(m.status) == ["MaxIterations", "ok"] and m.evals[0] == 1 and m.rounds[1] == 0
     assert numeric.adaptive_simpson(np.sin, np.zeros(2), np.array([math.pi, 1.0]), 1e-12) == pytest.approx([2.0, 1 - math.cos(1.0)])
     with pytest.raises(ValueError):
         numeric.adaptive_simpson(np.sin, np.zeros(1), np.ones(1), 0.0)
