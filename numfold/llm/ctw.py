@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map
-from .text import LOWER, U, Words, chunks, flat
+from .text import LOWER, U, Words, chunks, flat, sorted_distinct
 
 DEPTH = 5
 END = U(0x5851F42D4C957F2D)
@@ -268,9 +268,9 @@ class Asked:
         tokens, grams = [np.array([END])], []
         for a, b in chunks(offsets):
             w = Words(data, offsets, a, b, lower=True)
-            tokens.append(np.unique(w.hash))
-            grams.append(np.unique(codes(w.data, w.off)[0]))
-        self.tokens, self.grams = np.unique(np.concatenate(tokens)), np.unique(np.concatenate(grams))
+            tokens.append(sorted_distinct(w.hash))
+            grams.append(sorted_distinct(codes(w.data, w.off)[0]))
+        self.tokens, self.grams = sorted_distinct(np.concatenate(tokens)), sorted_distinct(np.concatenate(grams))
         own = gram_bucket(self.grams, buckets[1])
         self.order = np.argsort(own, kind="stable")
         edges = np.searchsorted(token_bucket(self.tokens, buckets[0]), np.arange(buckets[0] + 1))
@@ -284,6 +284,25 @@ class Asked:
             first += len(edges) - 1
 
 
+class Places:
+    """Places of keys among sorted distinct ones: one guess a key from a table, a search for the wrong guesses."""
+
+    BITS = 22
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.table = keys, np.zeros(1 << self.BITS, np.int32)
+        self.table[self.slot(keys)] = np.arange(len(keys))
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.BITS)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = self.table[self.slot(keys)]
+        wrong = np.flatnonzero(self.keys[at] != keys)
+        at[wrong] = np.searchsorted(self.keys, keys[wrong])
+        return at
+
+
 def packed(docs: DataFrame, buckets: tuple[int, int]) -> DataFrame:
     """Rows (chunk, bucket, n, body): for bucket -1 a chunk's ids and texts, else its n keys of a bucket."""
 
@@ -360,15 +379,16 @@ def gather(n_all: int, distinct: int, buckets: tuple[int, int]):
         value[asked.order] = np.frombuffer(b"".join(got[k] for k in sorted(got) if k >= buckets[0]), np.float32)
         log = np.log10((c + 1) / (n_all + distinct + 1))
         end = int(np.searchsorted(asked.tokens, END))
+        tokens_at, grams_at = Places(asked.tokens), Places(asked.grams)
         base, known, tokens, total = np.full(n, log[end]), np.full(n, int(c[end] > 0)), np.ones(n, np.int64), np.zeros(n)
         for a, b in chunks(off):
             w = Words(data, off, a, b, lower=True)
-            at, doc = np.searchsorted(asked.tokens, w.hash), w.doc()
+            at, doc = tokens_at.of(w.hash), w.doc()
             base[a:b] += np.bincount(doc, log[at], b - a)
             known[a:b] += np.bincount(doc, c[at] > 0, b - a).astype(np.int64)
             tokens[a:b] += w.counts
             code, start = codes(w.data, w.off)
-            total[a:b] = np.add.reduceat(value[np.searchsorted(asked.grams, code)].astype(np.float64), start[:-1])
+            total[a:b] = np.add.reduceat(value[grams_at.of(code)].astype(np.float64), start[:-1])
         return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(total)})
 
     return run
@@ -392,11 +412,15 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     rows = scratch.keep(packed(own, buckets))
     asked = rows.where("bucket >= 0")
     load = scratch.keep(asked.groupBy("bucket").agg(F.ceil(F.sum("n") / ENTRIES).cast("int").alias("tasks")))
+    chunks_all, groups = rows.where("bucket < 0").count(), load.agg(F.sum("tasks")).first()[0] or 0
     salted = asked.join(load, "bucket").select("chunk", "bucket", F.pmod(F.xxhash64("chunk"), "tasks").cast("int").alias("salt"), "body")
     dealt = model.join(load, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), "key", "c")
-    answers = salted.groupBy("bucket", "salt").cogroup(dealt.groupBy("bucket", "salt")).applyInArrow(answer(sent, buckets[0]), "chunk long, bucket int, body binary")
+    # partitions follow the input: a task gets some two groups, or some four chunks
+    split = [x.repartition(max(1, math.ceil(groups / 2)), "bucket", "salt") for x in (salted, dealt)]
+    answers = split[0].groupBy("bucket", "salt").cogroup(split[1].groupBy("bucket", "salt")).applyInArrow(answer(sent, buckets[0]), "chunk long, bucket int, body binary")
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    out = rows.where("bucket < 0").select("chunk", "bucket", "body").union(answers).groupBy("chunk").applyInArrow(gather(n_all, distinct, buckets), schema)
+    parts = rows.where("bucket < 0").select("chunk", "bucket", "body").union(answers)
+    out = parts.repartition(max(1, math.ceil(chunks_all / 4)), "chunk").groupBy("chunk").applyInArrow(gather(n_all, distinct, buckets), schema)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -43,14 +43,20 @@ def contract(batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(root[out])], ["a", "b"])
 
 
+def settled(links: DataFrame) -> bool:
+    """Whether links (a, b) are stars: every a names one b, and no b is an a itself."""
+    ends = links.select(F.col("a").alias("u"), F.lit(1).alias("child")).union(links.select("b", F.lit(0)))
+    seen = ends.groupBy("u").agg(F.sum("child").alias("c"), F.min("child").alias("low"))
+    return seen.where("c > 1 or (c = 1 and low = 0)").isEmpty()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (id, comp) of every id that has a smaller one in its component; comp is the smallest.
 
-    links: two long columns. Only kept tables of links move between rounds; the driver sees
-    a count and checksums, which no id overflows."""
+    links: two long columns. Only kept tables of links move between rounds; the driver learns
+    of each round whether it was the last."""
     now = scratch.keep(arrow_map(links.toDF("a", "b"), contract, "a long, b long").distinct())
-    sign = None
-    while True:
+    while not settled(now):
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = scratch.keep(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
@@ -59,7 +65,4 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.keep(spread.select("x.a", "x.b").where("a <> b").distinct())
         scratch.drop(least, large, least2, now)
         now = new
-        row = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-        if row[0] == 0 or row == sign:
-            return now.toDF("id", "comp")
-        sign = row
+    return now.toDF("id", "comp")

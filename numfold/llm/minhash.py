@@ -134,13 +134,13 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scra
     return scratch.keep(arrow_map(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb"), run, "a long, b long").distinct())
 
 
-def dealt(rows: DataFrame, scratch: Scratch) -> DataFrame:
+def dealt(rows: DataFrame) -> DataFrame:
     """Bucket members (key, id, comp, ...) in groups (key, main, i, j) of two blocks of about BLOCK members.
 
     With `main`, block i holds members of the bucket's largest component and block j others;
     without it both hold others. `first` says that a row is of the largest component."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    load = scratch.keep(sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).select("key", F.col("top.comp").alias("largest"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("others")))
+    load = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).select("key", F.col("top.comp").alias("largest"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("others"))
     own = rows.join(load, "key").withColumn("first", F.col("comp") == F.col("largest"))
     own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("first"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     place = lambda main, i, j: F.struct(main.alias("main"), i.alias("i"), j.alias("j"))
@@ -148,7 +148,8 @@ def dealt(rows: DataFrame, scratch: Scratch) -> DataFrame:
     with_main = F.when(F.col("first"), F.transform(upto(F.col("others")), lambda j: place(F.lit(True), F.col("block"), j))).otherwise(F.transform(upto(F.col("mains")), lambda i: place(F.lit(True), i, F.col("block"))))
     without = F.when(F.col("first"), F.array().cast("array<struct<main:boolean,i:int,j:int>>")).otherwise(F.transform(upto(F.col("others")), lambda j: place(F.lit(False), F.least("block", j), F.greatest("block", j))))
     out = own.withColumn("at", F.explode(F.concat(with_main, without)))
-    return out.select(*rows.columns, "first", "block", "at.main", "at.i", "at.j")
+    # by the whole group, or all groups of a hot bucket would stay in one task
+    return out.select(*rows.columns, "first", "block", "at.main", "at.i", "at.j").repartition("key", "main", "i", "j")
 
 
 def open_pairs(group: pa.Table, percent: int):
@@ -185,7 +186,7 @@ def cross_links(rows: DataFrame, docs: DataFrame, shingle: int, percent: int, sc
             found[x] = found[y] = True
         return group.select(["key", "id"]).filter(pa.array(found))
 
-    flagged = scratch.keep(dealt(rows, scratch).groupBy("key", "main", "i", "j").applyInArrow(flag, "key long, id long").distinct())
+    flagged = scratch.keep(dealt(rows).groupBy("key", "main", "i", "j").applyInArrow(flag, "key long, id long").distinct())
     ids = scratch.keep(flagged.select(F.col("id").alias("doc_id")).distinct())
     small = ids.count() <= BROADCAST_IDS  # 8 bytes each; beyond, a shuffled join
 
@@ -212,7 +213,7 @@ def cross_links(rows: DataFrame, docs: DataFrame, shingle: int, percent: int, sc
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     members = scratch.keep(rows.join(flagged, ["key", "id"]).join(full, "id"))
-    return scratch.keep(dealt(members, scratch).groupBy("key", "main", "i", "j").applyInArrow(link, "a long, b long").distinct())
+    return scratch.keep(dealt(members).groupBy("key", "main", "i", "j").applyInArrow(link, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

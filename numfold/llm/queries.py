@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, ctw, decontaminate, langid, minhash, quality, secrets, substring, vectors, warc
 from .common import fold
+from .oracles import ORACLES
 
 
 def vocabulary() -> str:
@@ -76,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

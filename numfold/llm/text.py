@@ -163,9 +163,17 @@ class Words:
         return out, so
 
 
+def sorted_distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique by sorting, which is several times faster than its hashing for these arrays."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each document, and their offsets."""
-    parts = [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    parts = [sorted_distinct(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     out = np.zeros(len(offsets), np.int64)
     np.cumsum([len(p) for p in parts], out=out[1:])
     return (np.concatenate(parts) if parts else hashes[:0]), out
