@@ -1,4 +1,7 @@
-"""Queries of the pipeline operators: whole tables, production parameters."""
+"""Queries of the pipeline operators: whole tables, production parameters.
+
+A fold is a remainder of crc32(doc_id as text); a row with a null id has a null held_out,
+never trains, and is scored like any other."""
 
 from __future__ import annotations
 
@@ -32,7 +35,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.fit(docs.where(fold("doc_id", 4) != 2))
+    model = langid.fit(docs.where(fold("doc_id", 4) != 2))  # a null fold is left out
     found = langid.predict(docs, model)
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 

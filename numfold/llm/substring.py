@@ -111,7 +111,7 @@ def first_windows(docs: DataFrame, doubtful: DataFrame, window: int, scratch: Sc
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32))], ["k1", "k2", "id", "rid", "s"])
 
     # few of these windows exist: only spans that differ around a common anchor
-    keys = scratch.keep(arrow_map(some.select("id", "rid", "text", "spans"), run, "k1 long, k2 long, id long, rid long, s int"))
+    keys = scratch.keep(arrow_map(some.where("spans is not null").select("id", "rid", "text", "spans"), run, "k1 long, k2 long, id long, rid long, s int"))
     least = scratch.keep(keys.groupBy("k1", "k2").agg(F.min(F.struct("id", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = keys.join(least, ["k1", "k2"]).where(F.struct("id", "s") > F.col("first"))
     return later.select("id", "rid", "s", F.lit(1).alias("c"))

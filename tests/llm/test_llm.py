@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from numfold.llm import bpe, common, ctw, decontaminate, langid, minhash, quality, secrets, substring, vectors, warc
+from numfold.llm import bpe, common, ctw, decontaminate, langid, minhash, quality, queries, secrets, substring, vectors, warc
 from numfold.llm.queries import vocabulary
 
 rng = np.random.default_rng(11)
@@ -416,3 +416,179 @@ def test_flat_slices():
 
     data, off = flat(pa.array(["ab", None, "c", ""]).slice(1))
     assert data.tobytes() == b"c" and off.tolist() == [0, 0, 1, 1]
+
+
+def textbook_language(rows, texts):
+    """Word-first backoff by its definition, with plain dictionaries."""
+    names = sorted({lang for _, lang in rows})
+    tables = [{} for _ in range(6)]
+
+    def spelled(text):
+        return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+
+    def pieces(word, n):
+        padded = f"\x02{word}\x03"
+        return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+    for text, lang in rows:
+        for w in spelled(text):
+            for n in range(6):
+                for g in [w] if n == 0 else pieces(w, n):
+                    tables[n].setdefault(g, Counter())[lang] += 1
+    totals = [{x: sum(c[x] for c in t.values()) for x in names} for t in tables]
+
+    def value(n, g):
+        size = max(1, len(tables[n]))
+        return np.array([math.log((tables[n][g][x] + 0.5) / (totals[n][x] + 0.5 * size)) + math.log(size) for x in names])
+
+    def of(word):
+        if word in tables[0]:
+            return value(0, word)
+        for n in range(5, 0, -1):
+            known = [value(n, g) for g in pieces(word, n) if g in tables[n]]
+            if known:
+                return np.mean(known, axis=0)
+        return np.zeros(len(names))
+
+    out = []
+    for text in texts:
+        total = [of(w) for w in spelled(text)]
+        if not total:
+            out.append(("und", 0.0))
+            continue
+        z = np.sum(total, axis=0)
+        out.append((names[int(z.argmax())], float(1 / np.exp(z - z.max()).sum())))
+    return out
+
+
+def test_language_by_its_definition(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 40)
+    some = ["the river and the old house", "der fluss und das alte haus", "la rivière et la vieille maison", "el río y la casa vieja", "O'Neill's h²o ΣΑΣ", ""]
+    rows = [(" ".join(rng.choice(some[k % 4].split(), 6)), ["en", "de", "fr", "es"][k % 4]) for k in range(40)] + [("equal", "de"), ("equal", "en"), (None, "en")]
+    texts = [*some, "houses", "flüsse", "equal", "equal equal", "zzzz", "日本", None, "12", "a" * 300 + " haus", "maison\u0301 x", "the " * 30]
+    model = langid.fit(spark.createDataFrame([(i, *r, 1) for i, r in enumerate(rows)], "doc_id long, text string, lang string, rows_of long"))
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, (lang, score) in enumerate(textbook_language(rows, texts)):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-5), texts[i]
+
+
+def test_held_out_quality_and_language(spark):
+    """On the whole sf0.01 tables: rows that nothing was learnt from."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = [r for r in queries.op2_language_id(spark, sf).collect() if r.held_out and truth[r.doc_id]]
+    assert len(found) > 150 and np.mean([r.lang_pred == truth[r.doc_id] for r in found]) > 0.97
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    scored = [(r.score, labels[r.doc_id], r.predicted) for r in queries.op7_quality(spark, sf).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    good, bad = [s for s, y, _ in scored if y == 1], [s for s, y, _ in scored if y == 0]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.95
+    assert all(p == int(s >= 0.3) for s, _, p in scored)
+
+
+def test_hinge_loss_reaches_its_dual(spark):
+    """At the end of dual coordinate descent the primal and dual values meet."""
+    x = rng.normal(size=(60, 5))
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=60) > 0, 1.0, -1.0)
+    rows = [np.arange(5)] * 60
+    w, bias = quality.descend(rows, list(x), y, 0.7, 400)
+    w = w[:5]
+    primal = 0.5 * (w @ w + bias**2) + 0.7 * np.maximum(0, 1 - y * (x @ w + bias)).sum()
+    best = primal
+    for _ in range(200):  # no nearby point is better
+        z, b = w + rng.normal(size=5) * 1e-3, bias + rng.normal() * 1e-3
+        best = min(best, 0.5 * (z @ z + b**2) + 0.7 * np.maximum(0, 1 - y * (x @ z + b)).sum())
+    assert best >= primal - 1e-6
+
+
+def test_odd_tables(spark):
+    """Empty tables, very long texts, null ids and columns with clashing names, operator by operator."""
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, label int, quality int")
+    page = spark.createDataFrame([], "page_id long, url string, html string")
+    assert secrets.scan(none).count() == 0 and secrets.redacted(none).count() == 0
+    assert quality.score(none, quality.fit(none, none.select("doc_id", "quality"))).count() == 0
+    assert bpe.encode(none, vocabulary()).count() == 0 and decontaminate.clean(none, none.selectExpr("doc_id as item_id", "text")).count() == 0
+    assert warc.archive(page).count() == 0
+    long = "alpha beta gamma token=abcdefghijklmnop " * 60_000
+    names = ["doc_id", "text", "lang", "label", "features", "n", "keys", "sketch", "spans", "id", "rid", "s", "c", "h", "gone", "lang_pred", "score"]
+    rows = [(i, t, "en", *range(len(names) - 3)) for i, t in ((1, long), (2, long), (None, long[:400]), (3, None), (4, "alpha beta"), (4, "alpha beta"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} long" for n in names[3:]))
+    labels = spark.createDataFrame([(1, 1, 5), (1, 1, 5), (4, 0, 6), (None, 1, 7), (3, None, 8)], "doc_id long, quality int, text long")
+    assert secrets.scan(docs).where("size(spans) = 60000").count() == 2
+    assert {r.doc_id: r.n_tokens for r in bpe.round_trip(docs, vocabulary()).collect()}[1] > 60_000
+    scores = quality.score(docs, quality.fit(docs, labels)).collect()
+    assert len(scores) == 6 and sum(r.doc_id is None for r in scores) == 1
+    assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()} == {"en", "und"}
+    assert sorted(str(r.doc_id) for r in langid.recognised(docs, langid.fit(docs)).collect()) == ["1", "2", "4", "4", "None"]
+    assert langid.recognised(docs, langid.fit(docs)).columns == names
+    near = sorted((str(r.doc_id), r.component_id, r.kept) for r in minhash.near_duplicates(docs, 2).collect())
+    assert near == [("1", 1, True), ("2", 1, False), ("3", 3, True), ("4", 4, True), ("4", 4, True), ("None", None, True)]
+    assert {r.doc_id: r.n_removed for r in substring.dedup(docs).collect()}[2] == 240_000
+    assert len(ctw.score(docs, F.lit(True)).collect()) == 6
+    assert decontaminate.search(docs, docs.select(F.col("doc_id").alias("item_id"), "text")).count() > 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    base = " ".join(words(80))
+    rows = [(5, base, "en", "a", 1), (5, base + " end", "en", "a", 1), (7, base, None, "b", 2), (None, " ".join(words(50)), "en", "c", 3), (9, "password = abcdefghijklmn " + " ".join(words(30)), "en", None, None), (11, "???", "en", "d", 3)]
+    odd = spark.createDataFrame([(*r, 1, 2) for r in rows], columns + ", gone long, __gone long")
+    now = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == odd.columns, name
+    got = {r.doc_id: r for r in now.collect()}
+    assert set(got) == {5, None, 9} and "<assign>" in got[9].text
+    assert got[5].text == min(base, base + " end")
+    spark.createDataFrame(rows, columns).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    before = common.mark()
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {5, None, 9} and len(common._roots) == before + 1
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_both_sides_of_the_broadcast_size(spark, docs, limit, monkeypatch):
+    for module in (minhash, substring, warc, langid):
+        name = "BROADCAST_LANGUAGES" if module is langid else "BROADCAST_IDS"
+        monkeypatch.setattr(module, name, limit)
+    near = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, 2).collect())
+    cut = sorted((r.doc_id, r.n_removed) for r in substring.dedup(docs).collect())
+    model = langid.fit(docs)
+    pages = spark.createDataFrame([(1, "u", "p"), (2, "u", "p"), (3, "v", "")], "page_id long, url string, html string")
+    kinds = sorted((r.page_id, r.record_type) for r in warc.archive(pages).collect())
+    seen = test_both_sides_of_the_broadcast_size.__dict__.setdefault("seen", (near, cut, kinds, len(model.keys[0])))
+    assert seen == (near, cut, kinds, len(model.keys[0]))
+
+
+def test_several_blocks_of_items(spark, docs, texts, monkeypatch):
+    bench = spark.createDataFrame([(i, " ".join((t or "").split()[5:25])) for i, t in enumerate(texts[:60])], "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.search(docs, bench).collect()))
+    kept = sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK", 200)
+    assert sorted(map(tuple, decontaminate.search(docs, bench).collect())) == one
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == kept
+
+
+def test_other_secret_kinds(spark):
+    texts = ["ghp_" + "a1B2" * 9, "xoxb-1234567890-abc", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.abcDEF123_-x", "-----BEGIN PRIVATE KEY-----", "ghp_short xoxb-1 eyJa.eyJb.c -----BEGIN KEY-----"]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in range(4)] == [(k, 0, len(t)) for k, t in zip(("forge", "chat", "jwt", "pem"), texts, strict=False)]
+    assert got[4] == []
+
+
+def test_queries_match_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        frame = queries.queries()[name](spark, sf)
+        want = con.sql(sql)
+        got = sorted((tuple(r) for r in frame.select(sorted(frame.columns)).collect()), key=str)
+        assert got == sorted(con.sql(f"select {', '.join(sorted(want.columns))} from ({sql})").fetchall(), key=str), name
