@@ -199,12 +199,14 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, whose text has a language with a score of `least` or more."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+def recognised(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """The rows, with all columns, whose text has a language with a score of `least` or more; `lang_col`, a string column, becomes that language."""
+    sent, at, to = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col else None
 
     def run(batch: pa.RecordBatch):
         lang, score = sent.value.predict(batch.column(at).to_pylist())
-        yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
+        keep = pa.array([x != "und" and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_())
+        columns = [pa.array(lang, pa.string()) if i == to else c for i, c in enumerate(batch.columns)]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(keep)
 
     return arrow_map(docs, run, docs.schema)

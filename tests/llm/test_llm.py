@@ -520,6 +520,7 @@ def test_odd_tables(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()} == {"en", "und"}
     assert sorted(str(r.doc_id) for r in langid.recognised(docs, langid.fit(docs)).collect()) == ["1", "2", "4", "4", "None"]
     assert langid.recognised(docs, langid.fit(docs)).columns == names
+    assert {r.lang for r in langid.recognised(docs.withColumn("lang", F.when(F.col("doc_id") == 4, F.col("lang"))), langid.fit(docs), lang_col="lang").collect()} == {"en"}
     near = sorted((str(r.doc_id), r.component_id, r.kept) for r in minhash.near_duplicates(docs, 2).collect())
     assert near == [("1", 1, True), ("2", 1, False), ("3", 3, True), ("4", 4, True), ("4", 4, True), ("None", None, True)]
     assert {r.doc_id: r.n_removed for r in substring.dedup(docs).collect()}[2] == 240_000
