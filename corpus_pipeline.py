@@ -15,9 +15,12 @@ BROADCAST_IDS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: no letter, or no language with a score of 0.5."""
+    """Documents without a recognised language go: no letter, or no language with a score of 0.5.
+
+    The model learns from the rows that have a language; `lang` of the rows that stay is the
+    recognised one, also where it was missing."""
     model = langid.fit(docs)
-    return langid.recognised(docs, model, least=0.5)
+    return langid.recognised(docs, model, least=0.5, lang_col="lang")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
