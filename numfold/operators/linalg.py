@@ -26,7 +26,7 @@ class Singular(ArithmeticError):
 
 
 def stack(a: np.ndarray) -> np.ndarray:
-    a = np.array(a, float)
+    a = np.array(a, complex if np.iscomplexobj(a) else float)
     return a[None] if a.ndim == 2 else a
 
 
@@ -34,7 +34,7 @@ def safe(d: np.ndarray) -> np.ndarray:
     return np.where(d == 0, 1.0, d)
 
 
-# --- LU ------------------------------------------------------------------------------
+# --- LU, of real or complex matrices ---------------------------------------------------
 
 def lu_stack(a: np.ndarray, eps: float = EPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Partial-pivot LU in one matrix, permutations, signs, and which matrices are regular."""
@@ -74,14 +74,14 @@ def solve_stack(a: np.ndarray, b: np.ndarray, refinements: int = 0) -> tuple[np.
     """Solutions for right sides (b, n, k); refinement stops where a correction does not shrink."""
     a = stack(a)
     f, perm, _, good = lu_stack(a)
-    x, last = lu_apply(f, perm, b), np.full(len(a), np.inf)
+    x, last = lu_apply(f, perm, np.asarray(b, np.result_type(a, b))), np.full(len(a), np.inf)
     going = good.copy()
     for _ in range(refinements):
         d = lu_apply(f, perm, b - a @ x)
-        size = np.sqrt((d * d).sum(axis=(1, 2)))
+        size = np.sqrt((np.abs(d) ** 2).sum(axis=(1, 2)))
         going &= size < last
         x, last = x + d * going[:, None, None], np.where(going, size, last)
-        going &= size > EPS * np.sqrt((x * x).sum(axis=(1, 2)))
+        going &= size > EPS * np.sqrt((np.abs(x) ** 2).sum(axis=(1, 2)))
     return x, good
 
 

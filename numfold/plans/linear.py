@@ -162,6 +162,22 @@ factored("lu_solve_matrix_n", lambda a: (lambda x: ({"g": gram(a), "x": x[0]}, x
 factored("solve_refined_n", lambda a: (lambda x: ({"g": gram(a), "x": x[0]}, x[1]))(linalg.solve_stack(gram(a), side(a), 3)), ["g", "x"], {"back": (N, times("g", "x", N, N, 1))}, [cut_sql("back", "j=0")], digits=9)
 
 
+def complex_kernel(a: np.ndarray):
+    """4 x 4 complex systems: real parts above, imaginary ones below, the right side in column 4."""
+    whole, right = a[:, :4, :4] + 1j * a[:, 4:, :4], (a[:, :4, 4] + 1j * a[:, 4:, 4])[:, :, None]
+    x, good = linalg.solve_stack(whole, right, 2)
+    inverse, _ = linalg.inverse_stack(whole)
+    unit = linalg.det_stack(whole) * linalg.det_stack(inverse)
+    return {"p": whole.real, "q": whole.imag, "x": x.real, "y": x.imag, "unit": np.stack([unit.real, unit.imag], axis=1)}, good
+
+
+factored("solve_complex", complex_kernel, ["p", "q", "x", "y", "unit"], {
+    "real": (4, lambda c: vec.sub(mat.matmul(c["p"], c["x"], 4, 4, 1), mat.matmul(c["q"], c["y"], 4, 4, 1))),
+    "imag": (4, lambda c: vec.add(mat.matmul(c["p"], c["y"], 4, 4, 1), mat.matmul(c["q"], c["x"], 4, 4, 1))),
+    "unit": (1, lambda c: c["unit"]),
+}, ["SELECT vec_id, 'real' AS part, i, 0 AS j, v FROM m WHERE i<4 AND j=4", "SELECT vec_id, 'imag' AS part, i-4 AS i, 0 AS j, v FROM m WHERE i>=4 AND j=4", "SELECT vec_id, 'unit' AS part, 0 AS i, k.j, 1-k.j::DOUBLE AS v FROM embeddings, range(2) k(j)"])
+
+
 def mixed(a: np.ndarray) -> np.ndarray:
     """6 x 6 matrices of the 3 x 3 blocks of the first and next nine entries, with rows and columns shuffled (an odd permutation in all)."""
     flat = a.transpose(0, 2, 1).reshape(len(a), -1)
