@@ -7,8 +7,10 @@ overlap), until no word has a known pair left. This equals taking the lowest pai
 a time because a merge never makes a pair of a lower rank than its own; the loader
 checks this for the vocabulary's merges.
 
-Nulls encode as empty texts; an empty text has no ids and decodes to ''. Very long words
-take part like any other. Repeated rows give repeated results.
+Defined results: nulls encode as empty texts; an empty text has no ids and decodes to ''.
+Very long words take part like any other, and of pairs with one rank in a word the leftmost
+merges first. Repeated rows give repeated results; ids may be null and are carried as they
+are; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ block as a rule, and then the query stays lazy. Of several blocks one is held at
 rows are written to the shared folder and its broadcast is destroyed before the next is built.
 Shingles are 64-bit hashes made from keyed 128-bit word hashes.
 
-Defined results: null and empty texts and items match nothing; a text of fewer words than
+Defined results: an empty table of documents or items gives no matches; null item ids are
+left out, null document ids are carried; null and empty texts and items match nothing; a text of fewer words than
 a shingle is one shingle of all its words; a repeated item row counts once; repeated
 documents each give their rows. Upper-case A-Z equals lower-case. Extra columns are kept
 by clean() and not read by search().

@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     rows = scratch.keep(placed.drop("c").join(mixed, "key").join(classes.select(F.col("rep").alias("id"), "n", "sketch", "keys"), "id"))
     more = cross_links(rows, docs, shingle, percent, scratch)
     if not more.isEmpty():
-        comps = components(links.union(more), scratch)
+        comps = components(comps.toDF("a", "b").union(more), scratch)  # the stars found so far, and what joins them
     scratch.drop(held, buckets, placed, mixed, pairs, rows)
 
     member = signed.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left")

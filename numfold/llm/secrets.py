@@ -8,8 +8,12 @@ on postings, and only the candidates are verified by the expression. A rule with
 mandatory trigram (runs of hex digits) scans every document.
 
 Matches are leftmost and do not overlap within one kind; starts and ends are code points,
-ends exclusive. Kinds beyond the first three add spans and change no base one. Null and
-empty texts have no spans. Long texts are scanned whole; repeated rows each give a row.
+ends exclusive. Kinds beyond the first three add spans and change no base one.
+
+Defined results: null and empty texts have no spans; long texts are scanned whole; repeated
+rows each give a row; spans that begin at one place stand in the order of the kinds; ids may
+be null; an empty table gives no rows. scan() reads two columns; redacted() keeps all columns
+whatever their names, and of overlapping spans the one that begins first names the gap.
 """
 
 from __future__ import annotations
