@@ -8,7 +8,7 @@ Numerical failures never end a job: the row's status names them and the predicti
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linalg import rank1_stack
+from numfold.protocols import Motion
+
+from .linalg import rank1_stack, solve_stack
 from .scan import in_order
 from .shared import Shared
 
-Function = Callable[[np.ndarray], np.ndarray]
 KINDS = ("extended", "unscented", "square_root", "cubature")
 #: What is added to a covariance's diagonal, in turn, until it has a factor.
 JITTER = (0.0, 1e-9, 1e-7, 1e-5)
@@ -31,7 +32,7 @@ class EstimateError(ArithmeticError):
     """CovarianceNotPD or SingularInnovation."""
 
 
-def jacobian(f: Function, x: np.ndarray) -> np.ndarray:
+def jacobian(f: Motion, x: np.ndarray) -> np.ndarray:
     """Forward differences, with steps of sqrt(eps) * max(|x|, 1)."""
     y, out = f(x), []
     for j in range(len(x)):
@@ -63,14 +64,14 @@ def gain(cross: np.ndarray, s: np.ndarray) -> np.ndarray:
 class Model:
     """x' = f(x) with noise q, z = h(x) with noise r; Jacobians by forward differences unless given."""
 
-    f: Function
-    h: Function
+    f: Motion
+    h: Motion
     q: np.ndarray
     r: np.ndarray
     x0: np.ndarray
     p0: np.ndarray
-    df: Function | None = None
-    dh: Function | None = None
+    df: Motion | None = None
+    dh: Motion | None = None
 
 
 @dataclass
@@ -294,8 +295,6 @@ def batch_lsq(rows: DataFrame, keys: list[str], design: list[Column], z: Column,
     is a mean and a covariance. Rows with a null are left out; a system that has no solution
     gives null and the status Singular."""
     n = len(design)
-    from .linalg import solve_stack
-
     weight = 1 / (F.lit(float(r)) if isinstance(r, (int, float)) else r)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
     fit = rows.groupBy(*keys).agg(*(F.sum(design[i] * design[j] * weight).alias(f"a{i}_{j}") for i, j in pairs), *(F.sum(d * z * weight).alias(f"b{i}") for i, d in enumerate(design)))

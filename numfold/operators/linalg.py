@@ -8,7 +8,7 @@ that does not settle) mark their own matrix and leave the others alone.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from numfold.protocols import Kernel
+
 EPS = float(np.finfo(float).eps)
-Kernel = Callable[[np.ndarray], tuple[dict[str, np.ndarray], np.ndarray]]
 
 
 class Singular(ArithmeticError):
@@ -430,6 +431,21 @@ def per_matrix(df: DataFrame, kernel: Kernel, m: int, n: int, outputs: list[str]
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(values).cast("array<double>").alias(values)).mapInArrow(run, schema)
 
 
+def gram_matrix(df: DataFrame, values: str, n: int) -> DataFrame:
+    """(i, j, v): X' X of the rows in an array column of length n. Each task adds up whole batches and hands on one matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            x = batch.column(0).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1).tolist()], pa.list_(pa.float64()))], ["m"])
+
+    parts = df.select(F.col(values).cast("array<double>").alias("a")).where(F.size("a") == n).mapInArrow(run, "m array<double>")
+    place = parts.select(F.posexplode("m").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
+    return place.select((F.col("pos") % n).alias("i"), F.floor(F.col("pos") / n).cast("int").alias("j"), "v")
+
+
 def tall_qr_r(df: DataFrame, columns: list[str]) -> np.ndarray:
     """R of a tall matrix of rows: QR in each batch, then QR of the stacked factors (n x n each)."""
     n = len(columns)

@@ -13,7 +13,8 @@ from fractions import Fraction
 
 import numpy as np
 
-Equation = Callable[[np.ndarray, np.ndarray], np.ndarray]
+from numfold.protocols import Equation
+
 #: nodes, stages, weights, error weights, order
 Tableau = tuple[tuple, tuple, tuple, tuple, int]
 StepTaker = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]

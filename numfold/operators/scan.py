@@ -11,7 +11,7 @@ Null and NaN samples leave the state as it is and give null, in both forms.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Step = Callable[[list, float], tuple[list, float]]
+from numfold.protocols import Step
 
 
 def biquad_step(b0: float, b1: float, b2: float, a1: float, a2: float) -> Step:

@@ -97,9 +97,8 @@ register("is_symmetric", lambda s, sf: vectors(s, sf).select("vec_id", mat.is_sy
 
 
 def gram(spark: SparkSession, sf: str) -> DataFrame:
-    """Gram matrix of all vectors: each row spreads its products, added up on the map side first."""
-    v = vectors(spark, sf).select(F.posexplode("a").alias("i", "x"), "a").select("i", "x", F.posexplode("a").alias("j", "y"))
-    return v.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v")).select("i", "j", q(F.col("v")).alias("v"))
+    """Gram matrix of all vectors."""
+    return linalg.gram_matrix(vectors(spark, sf), "a", 64).select("i", "j", q(F.col("v")).alias("v"))
 
 
 register("gram", gram, f"WITH {V_SQL} SELECT x.pos AS i, y.pos AS j, {sq('sum(x.a*y.a)')} AS v FROM v x JOIN v y USING (vec_id) GROUP BY ALL")
