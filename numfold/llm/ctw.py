@@ -415,12 +415,12 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     chunks_all, groups = rows.where("bucket < 0").count(), load.agg(F.sum("tasks")).first()[0] or 0
     salted = asked.join(load, "bucket").select("chunk", "bucket", F.pmod(F.xxhash64("chunk"), "tasks").cast("int").alias("salt"), "body")
     dealt = model.join(load, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), "key", "c")
-    # partitions follow the input: a task gets some two groups, or some four chunks
+    # partitions follow the input: a task gets some two groups, or a few chunks
     split = [x.repartition(max(1, math.ceil(groups / 2)), "bucket", "salt") for x in (salted, dealt)]
     answers = split[0].groupBy("bucket", "salt").cogroup(split[1].groupBy("bucket", "salt")).applyInArrow(answer(sent, buckets[0]), "chunk long, bucket int, body binary")
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     parts = rows.where("bucket < 0").select("chunk", "bucket", "body").union(answers)
-    out = parts.repartition(max(1, math.ceil(chunks_all / 4)), "chunk").groupBy("chunk").applyInArrow(gather(n_all, distinct, buckets), schema)
+    out = parts.repartition(max(1, chunks_all), "chunk").groupBy("chunk").applyInArrow(gather(n_all, distinct, buckets), schema)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
