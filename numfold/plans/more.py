@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from numfold.functions import distributions as dist
 from numfold.functions import special
+from numfold.operators import numeric
 from numfold.plans.catalog import rotations, scalars, wxyz
 from numfold.plans.registry import ORACLES, V_SQL, q, register, sq
 from numfold.sources import tables
@@ -178,3 +179,23 @@ def sized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 register("sized_matrix_json", sized, f"WITH {V_SQL} SELECT vec_id, 2::INT AS nrows, 3::INT AS ncols, pos, {sq('a')} AS v FROM v WHERE pos<6")
+
+register("ml_vectors", lambda s, sf: vectors(s, sf).select("vec_id", F.posexplode(tables.from_ml(tables.to_ml(F.col("a")))).alias("pos", "v")).select("vec_id", "pos", q(F.col("v")).alias("v")), f"WITH {V_SQL} SELECT vec_id, pos, {sq('a')} AS v FROM v")
+
+# --- least squares of a model that is not linear in its parameters -----------------------------
+
+
+def decay_fit(damping: float):
+    """y = 2 exp(-0.3 t), t from the parts' sizes, found from a start of (1, 0)."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        t = F.col("t")
+        d = table(spark, sf, "part").select((F.col("p_size") / 50).alias("t")).withColumn("y", 2 * F.exp(-0.3 * t))
+        x, cost = numeric.levenberg_marquardt(d, lambda p: p[0] * F.exp(p[1] * t) - F.col("y"), lambda p: [F.exp(p[1] * t), p[0] * t * F.exp(p[1] * t)], [1.0, 0.0], damping, tol=1e-14)
+        return spark.createDataFrame([tuple(math.floor(v * 1e5 + 0.5) / 1e5 for v in (*x, cost))], "x0 double, x1 double, cost double")
+
+    return query
+
+
+for name_, damping_ in (("gauss_newton_decay", 0.0), ("levenberg_marquardt_decay", 1e-3)):
+    register(name_, decay_fit(damping_), "SELECT 2::DOUBLE AS x0, -0.3::DOUBLE AS x1, 0::DOUBLE AS cost")
