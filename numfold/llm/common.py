@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -68,6 +69,15 @@ class Scratch:
             delete(self.spark, df._numfold_path)
 
 
+def trim() -> None:
+    """Gives the memory that a task has freed back to the system; workers are used again and would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a system without it
+        pass
+
+
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -81,6 +91,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        trim()
 
     return df.mapInArrow(run, schema)
 
