@@ -158,7 +158,7 @@ def near_blocks(kept: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
     size = LEADING + 1
     least = F.array(*(F.min(F.col("low")[k]) for k in range(size)))
     most = F.array(*(F.max(F.col("high")[k]) for k in range(size)))
-    supers = scratch.keep(kept.groupBy("super", "label", "dim").agg(least.alias("low"), most.alias("high")))
+    supers = kept.groupBy("super", "label", "dim").agg(least.alias("low"), most.alias("high"))
     directory = Directory([tuple(r) for r in supers.collect()], eps)
     sent = kept.sparkSession.sparkContext.broadcast(directory)
 
@@ -300,8 +300,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     info = classes.join(links, "node", "left").join(comps.select(F.col("id").alias("node"), "comp"), "node", "left")
     info = scratch.keep(info.select("label", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("comp", "node").alias("comp")))
-    names = scratch.keep(info.groupBy("comp").agg(F.min("rep").alias("component")))
-    info = scratch.keep(info.join(names, "comp").select("label", "v", "n_links", "component"))
+    names = info.groupBy("comp").agg(F.min("rep").alias("component"))
+    info = info.join(names, "comp").select("label", "v", "n_links", "component")
     out = rows.join(info, ["label", "v"], "left")
     comp = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, comp.isNull()).alias("kept"))
