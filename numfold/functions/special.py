@@ -137,7 +137,8 @@ def erfc(x: pd.Series) -> pd.Series:
 
 
 def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    tiny = 1e-300
+    """Lentz's form over flat arrays; a value whose factor is 1 to the last places leaves the turns."""
+    tiny, out, left = 1e-300, np.ones_like(x), np.arange(x.size)
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d
@@ -148,25 +149,32 @@ def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + k / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-16):
+        on = np.abs(d * c - 1) > 4.5e-16
+        if not on.all():
+            out[left[~on]] = h[~on]
+            a, b, x, c, d, h, left = (v[on] for v in (a, b, x, c, d, h, left))
+        if not left.size:
             break
-    return h
+    out[left] = h
+    return out
 
 
 def regular_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """I_x(a, b), with the symmetric form above the mean."""
-    a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
+    a, b, x = np.asarray(a, float), np.asarray(b, float), np.asarray(x, float)
 
     def lg(v: np.ndarray) -> np.ndarray:  # few distinct parameters as a rule
         shapes, at = np.unique(v, return_inverse=True)
         return log_gamma(shapes)[at].reshape(v.shape)
 
     fine = (a > 0) & (b > 0) & (x >= 0) & (x <= 1)
-    a, b = np.where(fine, a, 1.0), np.where(fine, b, 1.0)
-    inside = np.clip(x, 1e-300, 1 - 1e-16)
+    a, b = np.where(a > 0, a, 1.0), np.where(b > 0, b, 1.0)
+    inside = np.clip(np.where(fine, x, 0.5), 1e-300, 1 - 1e-16)
     front = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(inside) + b * np.log1p(-inside))
-    out = np.where(x < (a + 1) / (a + b + 2), front * beta_fraction(a, b, inside) / a, 1 - front * beta_fraction(b, a, 1 - inside) / b)
-    return np.where(fine, np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out)), np.nan)
+    low = inside < (a + 1) / (a + b + 2)
+    near, far = np.where(low, a, b), np.where(low, b, a)
+    part = front * beta_fraction(near.ravel(), far.ravel(), np.where(low, inside, 1 - inside).ravel()).reshape(low.shape) / near
+    return np.where(fine, np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(low, part, 1 - part))), np.nan)
 
 
 @F.pandas_udf(DoubleType())
@@ -274,28 +282,42 @@ def poisson_cdf(k: Column, lam: float) -> Column:
 
 
 def inverse(cdf: Callable[[np.ndarray], np.ndarray], p: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Quantiles of a continuous cdf, by secant steps kept inside a shrinking bracket; the support's ends at 0 and 1, NaN outside."""
+    """Quantiles of a continuous cdf, by inverse quadratic steps kept inside a shrinking bracket (Chandrupatla's rule, and
+    a bisection every fourth turn); a value leaves the turns when its bracket is closed. The support's ends at 0 and 1, NaN outside."""
     inner = np.clip(np.nan_to_num(p, nan=0.5), 1e-300, 1 - 1e-16)
-    a, b = np.full(len(p), max(low, -1.0)), np.full(len(p), min(high, 1.0))
-    for end, up in ((a, False), (b, True)):
+    ends = []
+    for start, limit, sign in ((max(low, -1.0), low, -1), (min(high, 1.0), high, 1)):
+        end = np.full(len(p), start)
+        f = cdf(end) - inner
         for _ in range(1100):
-            short = (cdf(end) < inner) if up else (cdf(end) > inner)
-            short &= (np.abs(end) < 1e300) & (end < high if up else end > low)
-            if not short.any():
+            short = np.flatnonzero((sign * f < 0) & (np.abs(end) < 1e300) & (sign * end < sign * limit))
+            if not short.size:
                 break
             end[short] *= 2
-    fa, fb = cdf(a) - inner, cdf(b) - inner
-    for turn in range(200):
-        with np.errstate(all="ignore"):
-            guess = b - fb * (b - a) / (fb - fa)
-        middle = 0.5 * (a + b)
-        x = middle if turn % 3 == 2 else np.where((guess > a) & (guess < b), guess, middle)
-        f = cdf(x) - inner
-        left = f < 0
-        a, fa, b, fb = np.where(left, x, a), np.where(left, f, fa), np.where(left, b, x), np.where(left, fb, f)
-        if np.all(b - a <= 4e-16 * np.maximum(np.abs(a), np.abs(b))):
+            f[short] = cdf(end[short]) - inner[short]
+        ends += [end, f]
+    a, fa, b, fb = ends
+    out, left = np.where(-fa < fb, a, b), np.flatnonzero((fa < 0) & (fb > 0))
+    a, fa, b, fb, goal = (v[left] for v in (a, fa, b, fb, inner))
+    c, fc, t = b, fb, np.full(len(left), 0.5)
+    for turn in range(4400):
+        if not left.size:
             break
-    out = np.where(-fa < fb, a, b)
+        x = a + t * (b - a)
+        f = cdf(x) - goal
+        same = np.sign(f) == np.sign(fa)
+        c, fc, b, fb = np.where(same, a, b), np.where(same, fa, fb), np.where(same, b, a), np.where(same, fb, fa)
+        a, fa = x, f
+        best = np.where(np.abs(fa) < np.abs(fb), a, b)
+        with np.errstate(all="ignore"):
+            least = 2e-16 * np.abs(best) / np.abs(b - a)
+            xi, phi = (a - b) / (c - b), (fa - fb) / (fc - fb)
+            step = fa / (fb - fa) * fc / (fb - fc) + (c - a) / (b - a) * fa / (fc - fa) * fb / (fc - fb)
+            t = np.where((turn % 4 != 3) & (phi * phi < xi) & ((1 - phi) ** 2 < 1 - xi) & np.isfinite(step), np.clip(step, least, 1 - least), 0.5)
+        on = (f != 0) & (least < 0.5) & (np.nextafter(a, b) != b)
+        out[left] = best
+        if not on.all():
+            a, fa, b, fb, c, fc, t, goal, left = (v[on] for v in (a, fa, b, fb, c, fc, t, goal, left))
     return np.where(p == 0, low, np.where(p == 1, high, np.where((p > 0) & (p < 1), out, np.nan)))
 
 
