@@ -218,7 +218,7 @@ class Beta(Continuous):
         return inside((x > 0) & (x < 1), (self.a - 1) * F.log(x) + (self.b - 1) * F.log(1 - x) - ln_b)
 
     def cdf(self, x: Column) -> Column:
-        return special.beta_cdf(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), self.a, self.b)
+        return special.beta_cdf(F.when(x < 0, 0.0).when(x > 1, 1.0).otherwise(x), self.a, self.b)
 
     def quantile(self, p: Column) -> Column:
         return special.beta_quantile(p, self.a, self.b)

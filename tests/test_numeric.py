@@ -142,6 +142,17 @@ def test_beta_quantile_takes_few_steps():
     assert special.inverse(lambda v: special.regular_beta(0.5, 1.0, v), far, 0.0, 1.0) == pytest.approx([1e-24, 1e-60, 0.25, np.nan, 1.0, 0.0], rel=1e-9, nan_ok=True)
 
 
+def test_beta_distribution_goes_there_and_back(spark):
+    """The cdf of 100,000 values took 5.6 CPU seconds, on both sides of the mean; a null counted as 1."""
+    x, start = np.linspace(0.0, 1.0, 100_000), time.process_time()
+    got = special.regular_beta(2.0, 3.5, x)
+    assert time.process_time() - start < 1
+    assert got == pytest.approx(1 - (1 - x) ** 3.5 * (1 + 3.5 * x), abs=1e-14)
+    d, rows = dist.Beta(2.0, 3.5), spark.createDataFrame([(None,), (-0.5,), (0.0,), (0.4,), (1.0,), (1.5,)], "x double")
+    assert [r.y for r in rows.select(d.cdf(F.col("x")).alias("y")).collect()] == [None, 0.0, 0.0, pytest.approx(1 - 0.6**3.5 * 2.4), 1.0, 1.0]
+    assert [r.y for r in rows.select(d.cdf(d.quantile(F.col("x"))).alias("y")).collect()] == [None, None, 0.0, pytest.approx(0.4), 1.0, None]
+
+
 def test_streams(spark):
     s = rng.Streams(np.zeros(1))
     s.state = np.array([[1], [2], [3], [4]], np.uint64)
