@@ -342,13 +342,13 @@ def chi_squared_quantile(p: Column, k: float) -> Column:
 
 
 def student_t_quantile(p: Column, nu: float) -> Column:
-    """Odd about 1/2: solved in the upper half."""
+    """Odd about 1/2: solved in the lower half, where small p keep their digits."""
 
-    def upper(x: np.ndarray) -> np.ndarray:
-        return 1 - 0.5 * regular_beta(nu / 2, 0.5, nu / (nu + x * x))
+    def lower(x: np.ndarray) -> np.ndarray:
+        return 0.5 * regular_beta(nu / 2, 0.5, nu / (nu + x * x))
 
-    half = by_inverse(upper, 0.0, math.inf)(F.greatest(p, 1 - p))
-    return F.when(p < 0.5, -half).when(p == 0.5, 0.0).otherwise(half)
+    half = by_inverse(lower, -math.inf, 0.0)(F.least(p, 1 - p))
+    return F.when(p < 0.5, half).when(p == 0.5, 0.0).otherwise(-half)
 
 
 def uniform_quantile(p: Column, a: float, b: float) -> Column:

@@ -153,6 +153,14 @@ def test_beta_distribution_goes_there_and_back(spark):
     assert [r.y for r in rows.select(d.cdf(d.quantile(F.col("x"))).alias("y")).collect()] == [None, None, 0.0, pytest.approx(0.4), 1.0, None]
 
 
+def test_student_t_goes_there_and_back(spark):
+    """Of quantiles far out too: a p of 1e-18 went to minus infinity and back to 0."""
+    d = dist.StudentT(5.0)
+    rows = spark.createDataFrame([(p,) for p in (1e-18, 1e-9, 0.01, 0.3, 0.5, 0.9, 0.999999, 0.0, 1.0, None, -0.1, 1.1)], "p double")
+    got = rows.select("p", d.cdf(d.quantile(F.col("p"))).alias("y")).collect()
+    assert [r.y for r in got[:9]] == pytest.approx([r.p for r in got[:9]], rel=1e-9, abs=0) and [r.y for r in got[9:]] == [None] * 3
+
+
 def test_streams(spark):
     s = rng.Streams(np.zeros(1))
     s.state = np.array([[1], [2], [3], [4]], np.uint64)
